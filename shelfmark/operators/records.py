@@ -31,26 +31,29 @@ def load_by_key(
 ) -> DataFrame:
     """Load record tables one after another; the later record replaces the whole earlier one.
 
-    ``position`` names columns that order the rows within one load and is needed where
-    a load repeats a key. Without it every load has each key once.
+    ``position`` names columns that order the rows within a load; they are dropped from
+    the result. A load without them has each key once.
 
-    The first load is not aggregated: the later loads are reduced to one row per key
-    and the replaced rows are taken out by an anti join, so that a large base with
-    small updates is neither sorted nor, when the keys fit a broadcast, shuffled.
+    The first load is only aggregated if it has positions: the later loads are reduced
+    to one row per key and the replaced rows are taken out by an anti join, so that a
+    large base with small updates is neither sorted nor, when the keys fit a broadcast,
+    shuffled.
     """
-    base, *updates = loads
-    if position:
-        base = last_per_key(base, keys, position)
+    base, *updates = (_last_in_load(load, keys, position) for load in loads)
     if not updates:
         return base
-    if len(updates) == 1:
-        merged = last_per_key(updates[0], keys, position) if position else updates[0]
-    else:
+    merged = updates[0]
+    if len(updates) > 1:
         numbered = [u.withColumn("load_no", F.lit(i)) for i, u in enumerate(updates)]
-        stacked = reduce(DataFrame.unionByName, numbered)
-        merged = last_per_key(stacked, keys, ["load_no", *position]).drop("load_no")
+        merged = last_per_key(reduce(DataFrame.unionByName, numbered), keys, ["load_no"])
+        merged = merged.drop("load_no")
     kept = base.join(merged.select(*keys), list(keys), "left_anti")
-    return kept.unionByName(merged)
+    return kept.select(*base.columns).unionByName(merged)
+
+
+def _last_in_load(load: DataFrame, keys: Sequence[str], position: Sequence[str]) -> DataFrame:
+    placed = [c for c in position if c in load.columns]
+    return last_per_key(load, keys, placed).drop(*placed) if placed else load
 
 
 def _atomic(df: DataFrame) -> list[str]:
@@ -83,11 +86,12 @@ def resolve_reference(
     left = referring.withColumn("__reference", reference)
     on = F.col("__reference") == F.col("__key")
     if optional:
-        spread = F.pmod(F.xxhash64(*_atomic(referring)), F.lit(NULL_SPREAD)).cast("int")
+        spread = F.pmod(F.xxhash64(*_atomic(referring)), F.lit(NULL_SPREAD))
         left = left.withColumn(
             "__spread", F.when(F.col("__reference").isNull(), spread).otherwise(F.lit(0))
         )
-        target = target.withColumn("__zero", F.lit(0))
+        # Always 0, but not a literal: the optimizer would take that out of the join keys.
+        target = target.withColumn("__zero", F.pmod(F.xxhash64("__key"), F.lit(1)))
         on = on & (F.col("__spread") == F.col("__zero"))
     joined = left.join(target, on, "left" if optional else "inner")
     return joined.select(*referring.columns, *take)

@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from shelfmark.operators.selection import time_literal
 
+# Up to this many rows per group Spark cuts a ranked group before the exchange.
+GROUP_LIMIT_SETTING = "spark.sql.optimizer.windowGroupLimitThreshold"
+
 
 def older_than_days(df: DataFrame, column: str, days: int, now: datetime) -> Column:
     """Age in whole days above ``days``.
@@ -45,6 +48,8 @@ def expired_files(
     expired = listing.where(older_than_days(listing, mtime, days, now))
     if keep <= 0:
         return expired
+    if keep > int(listing.sparkSession.conf.get(GROUP_LIMIT_SETTING)):
+        raise ValueError(f"raise {GROUP_LIMIT_SETTING} to {keep}, or whole folders meet in one task")
     newest_first = Window.partitionBy(folder).orderBy(F.desc(mtime), F.desc(path))
     spared = (
         (expired if keep_scope == "expired" else listing)

@@ -240,9 +240,7 @@ def fixture_upsert(spark, sf_dir):
         "o_orderdate",
         "o_orderkey",
     )
-    keys = ["model", "pk"]
-    last = records.last_per_key(later, keys, ["o_orderdate", "o_orderkey"])
-    return records.load_by_key([first, last.select(*first.columns)], keys)
+    return records.load_by_key([first, later], ["model", "pk"], ["o_orderdate", "o_orderkey"])
 
 
 # == references ====================================================================
@@ -314,11 +312,11 @@ def fk_dangling(spark, sf_dir):
     WITH a AS (SELECT CAST(p_partkey AS VARCHAR) AS path,
                       md5(concat_ws('|', p_name, p_brand, p_type, p_size)) AS md5
                FROM part),
-         m AS (SELECT CAST(l_partkey AS VARCHAR) AS path,
-                      min(md5(concat_ws('|', p_name, CASE WHEN l_returnflag = 'R' THEN 'x' ELSE p_brand END,
-                                        p_type, p_size))) AS md5
-               FROM lineitem JOIN part ON p_partkey = l_partkey
-               WHERE l_linestatus = 'O' GROUP BY l_partkey
+         r AS (SELECT l_partkey, bool_or(l_returnflag = 'R' AND l_quantity > 45) AS altered
+               FROM lineitem WHERE l_linestatus = 'O' GROUP BY l_partkey),
+         m AS (SELECT CAST(p_partkey AS VARCHAR) AS path,
+                      md5(concat_ws('|', p_name, CASE WHEN altered THEN 'x' ELSE p_brand END, p_type, p_size)) AS md5
+               FROM r JOIN part ON p_partkey = l_partkey
                UNION ALL SELECT concat('supplier ', s_suppkey), md5(s_name) FROM supplier)
     SELECT coalesce(m.path, a.path) AS path,
            CASE WHEN a.path IS NULL THEN 'missing' WHEN m.path IS NULL THEN 'unlisted'
@@ -326,28 +324,26 @@ def fk_dangling(spark, sf_dir):
     FROM a FULL JOIN m ON a.path = m.path
 """)
 def manifest_verify(spark, sf_dir):
-    """Parts as artefacts. The manifest comes from order lines: returned ones altered the part."""
+    """Parts as artefacts. The manifest lists ordered parts; large returns altered the part."""
     part = table(spark, sf_dir, "part")
 
     def digest(brand):
-        return F.md5(F.concat_ws("|", "p_name", brand, "p_type", F.col("p_size").cast("string")))
+        text_of_part = F.concat_ws("|", "p_name", brand, "p_type", F.col("p_size").cast("string"))
+        return F.col("p_partkey").cast("string").alias("path"), F.md5(text_of_part).alias("md5")
 
-    actual = part.select(
-        F.col("p_partkey").cast("string").alias("path"), digest(F.col("p_brand")).alias("md5")
-    )
-    altered = F.when(F.col("l_returnflag") == "R", "x").otherwise(F.col("p_brand"))
-    listed = (
+    ordered = (
         table(spark, sf_dir, "lineitem")
         .where(F.col("l_linestatus") == "O")
-        .select("l_partkey", "l_returnflag")
-        .join(part, F.col("p_partkey") == F.col("l_partkey"))
-        .groupBy(F.col("l_partkey").cast("string").alias("path"))
-        .agg(F.min(digest(altered)).alias("md5"))
+        .groupBy("l_partkey")
+        .agg(F.bool_or((F.col("l_returnflag") == "R") & (F.col("l_quantity") > 45)).alias("altered"))
+    )
+    listed = part.join(ordered, F.col("p_partkey") == F.col("l_partkey")).select(
+        *digest(F.when(F.col("altered"), "x").otherwise(F.col("p_brand")))
     )
     gone = table(spark, sf_dir, "supplier").select(
         F.concat(F.lit("supplier "), F.col("s_suppkey")).alias("path"), F.md5("s_name").alias("md5")
     )
-    return manifests.verify_manifest(actual, listed.unionByName(gone))
+    return manifests.verify_manifest(part.select(*digest(F.col("p_brand"))), listed.unionByName(gone))
 
 
 def _fingerprint_sql(name: str, columns: str) -> str:
@@ -631,6 +627,30 @@ def url_parts(spark, sf_dir):
     )
 
 
+@registered("""
+    SELECT page_id, concat('m', page_id % 7, '.example.test') AS host,
+           CASE WHEN page_id % 3 > 0 THEN CAST(page_id % 3 * 4000 + 80 AS INTEGER) END AS port,
+           CASE WHEN page_id % 2 = 0 THEN CAST(page_id AS VARCHAR) ELSE '' END AS last_part
+    FROM pages
+""")
+def url_parts_full(spark, sf_dir):
+    """URLs with upper-case hosts, users, ports, parameters, queries and open ends."""
+    page = F.col("page_id")
+    url = F.concat(
+        F.lit("HTTPS://me:pw@x@M"), page % 7, F.lit(".Example.TEST"),
+        F.when(page % 3 > 0, F.concat(F.lit(":"), page % 3 * 4000 + 80)).otherwise(F.lit("")),
+        F.lit("/a;b/"),
+        F.when(page % 2 == 0, F.concat(page, F.lit(";v=1?q=/z"))).otherwise(F.lit("#top/part")),
+    )
+    made = table(spark, sf_dir, "pages").select("page_id", url.alias("url"))
+    return made.select(
+        "page_id",
+        urls.url_host(F.col("url")).alias("host"),
+        urls.url_port(F.col("url")).alias("port"),
+        urls.url_last_part(F.col("url")).alias("last_part"),
+    )
+
+
 @registered("""
     SELECT page_id, replace(url, 'example.net', 'example.test') AS url,
            replace(html, 'example.net', 'example.test') AS html,
@@ -642,14 +662,20 @@ def baseurl_rewrite(spark, sf_dir):
 
 
 @registered(r"""
-    SELECT page_id, CASE WHEN regexp_matches(html, '(?s)title>[^<]+') AND regexp_matches(html, '(?s)h1>[^<]+')
-           THEN regexp_replace(regexp_replace(html, 'title>[^<]+', 'title>Cost $1 \\ year'), 'h1>[^<]+', 'h1>Heading')
+    WITH p AS (SELECT page_id, CASE WHEN starts_with(url, 'https') THEN html
+                                    ELSE replace(html, '<h1>', '<h2>') END AS html FROM pages)
+    SELECT page_id, CASE WHEN regexp_matches(html, 'title>[^<]+') AND regexp_matches(html, '<h1>[^<]+')
+           THEN regexp_replace(regexp_replace(html, 'title>[^<]+', 'title>Cost $1 \\ year'), '<h1>[^<]+', '<h1>Heading')
            ELSE html END AS html
-    FROM pages
+    FROM p
 """)
 def first_element_rewrite(spark, sf_dir):
-    pages = table(spark, sf_dir, "pages").select("page_id", "html")
-    return text.rewrite_elements(pages, "html", {"title": "Cost $1 \\ year", "h1": "Heading"})
+    """Pages without a first-level heading keep their title too."""
+    html = F.when(F.startswith("url", F.lit("https")), F.col("html")).otherwise(
+        F.replace("html", F.lit("<h1>"), F.lit("<h2>"))
+    )
+    pages = table(spark, sf_dir, "pages").select("page_id", html.alias("html"))
+    return text.rewrite_elements(pages, "html", {"title": "Cost $1 \\ year", "<h1": "Heading"})
 
 
 @registered("""

@@ -17,4 +17,4 @@ def load_record_files(
     loads = [
         read_records(spark, path, array_files=array_files, positions=True) for path in paths
     ]
-    return load_by_key(loads, ["model", "pk"], ["position"]).drop("position")
+    return load_by_key(loads, ["model", "pk"], ["position"])

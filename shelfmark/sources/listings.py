@@ -15,7 +15,10 @@ KINDS = ("vector", "raster", "time")
 
 
 def list_files(spark: SparkSession, root: str, pattern: str | None = None) -> DataFrame:
-    """All files below ``root``. The content column is not read, so no file is opened."""
+    """All files below ``root``. The content column is not read, so no file is opened.
+
+    Spark's file sources pass over empty files; where those matter, use an inventory table.
+    """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)

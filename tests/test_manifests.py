@@ -1,0 +1,57 @@
+import hashlib
+import json
+
+from pyspark.sql import functions as F
+
+from shelfmark.operators import manifests
+
+
+def verdicts(spark, actual, manifest, **options):
+    a = spark.createDataFrame(actual, "path string, md5 string")
+    m = spark.createDataFrame(manifest, "path string, md5 string")
+    out = manifests.verify_manifest(a, m, **options)
+    return sorted(tuple(r) for r in out.collect()), manifests.gate(out).first()
+
+
+def test_statuses_and_gate(spark):
+    actual = [("a", "1"), ("b", "2"), ("c", "3")]
+    rows, gate = verdicts(spark, actual, [("a", "1"), ("b", "x"), ("d", "4")])
+    assert rows == [("a", "ok"), ("b", "mismatch"), ("c", "unlisted"), ("d", "missing")]
+    assert not gate.passed and (gate.ok, gate.mismatch, gate.missing, gate.unlisted) == (1, 1, 1, 1)
+
+
+def test_unlisted_files_do_not_close_the_gate(spark):
+    rows, gate = verdicts(spark, [("a", "1"), ("b", "2")], [("a", "1")])
+    assert gate.passed and ("b", "unlisted") in rows
+    rows, gate = verdicts(spark, [("a", "1"), ("b", "2")], [("a", "1")], unlisted=False)
+    assert gate.passed and rows == [("a", "ok")]
+
+
+def test_every_line_gets_a_verdict(spark):
+    rows, gate = verdicts(spark, [("a", "1")], [("a", "1"), ("a", "1"), ("a", "2"), ("b", None)])
+    assert rows == [("a", "mismatch"), ("a", "ok"), ("a", "ok"), ("b", "missing")]
+    assert not gate.passed
+
+
+def test_nothing_listed_is_no_pass(spark):
+    assert not verdicts(spark, [("a", "1")], [])[1].passed
+    assert not verdicts(spark, [("a", "1")], [("a", None)])[1].passed
+
+
+def test_fingerprint_by_hand(spark):
+    rows = [(1, "a", None), (2, None, 2.5), (2, "", 2.5)]
+    df = spark.createDataFrame(rows, "id int, t string, x double")
+    texts = [json.dumps(dict(zip(["id", "t", "x"], r)), separators=(",", ":")) for r in rows]
+    total = sum(int(hashlib.md5(t.encode()).hexdigest()[:8], 16) for t in texts)
+    got = manifests.table_fingerprint(df).first()
+    assert (got.n, int(got.fingerprint)) == (3, total)
+    shuffled = manifests.table_fingerprint(df.orderBy(F.desc("id")).repartition(3)).first()
+    assert shuffled == got
+    assert manifests.table_fingerprint(df.where("id = 1")).first() != got
+    empty = manifests.table_fingerprint(df.where("id = 9")).first()
+    assert (empty.n, int(empty.fingerprint)) == (0, 0)
+
+
+def test_null_and_empty_text_differ(spark):
+    df = spark.createDataFrame([("", None), (None, "")], "a string, b string")
+    assert df.select(manifests.row_digest(df).alias("d")).distinct().count() == 2

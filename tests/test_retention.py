@@ -1,0 +1,126 @@
+from datetime import datetime, timedelta
+
+import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from shelfmark.operators import retention
+
+NOW = datetime(2024, 6, 1, 12)
+
+
+def listing(spark, rows, kind="timestamp_ntz"):
+    """Rows of folder, path and age in days."""
+    made = [(f, p, str(NOW - timedelta(days=age))) for f, p, age in rows]
+    df = spark.createDataFrame(made, "folder string, path string, m string")
+    zone = "" if kind == "timestamp_ntz" else "Z"
+    return df.select("folder", "path", F.concat("m", F.lit(zone)).cast(kind).alias("mtime"))
+
+
+def deleted(df, **options):
+    return sorted(r.path for r in retention.expired_files(df, NOW, **options).collect())
+
+
+AGES = [1, 2, 29, 32, 40, 50, 60, 70]
+
+
+@pytest.mark.parametrize("kind", ["timestamp", "timestamp_ntz"])
+def test_keep_scopes(spark, kind):
+    df = listing(spark, [("f", f"p{a}", a) for a in AGES], kind)
+    assert deleted(df) == ["p60", "p70"]
+    assert deleted(df, keep_scope="all") == ["p32", "p40", "p50", "p60", "p70"]
+    assert deleted(df, keep=0) == ["p32", "p40", "p50", "p60", "p70"]
+    with pytest.raises(ValueError):
+        deleted(df, keep_scope="some")
+
+
+def test_ages_are_cut_to_whole_days(spark):
+    rows = [("f", "stays", 30 + 23 / 24), ("f", "goes", 31), ("f", "just stays", 31 - 1 / 86400)]
+    assert deleted(listing(spark, rows), keep=0) == ["goes"]
+
+
+def test_folders_apart_ties_by_path_and_null_folder(spark):
+    rows = [("a", f"a{i}", 40) for i in range(5)] + [("b", f"a{i}", 40) for i in range(4)]
+    rows += [(None, f"n{i}", 40) for i in range(4)]
+    assert deleted(listing(spark, rows)) == ["a0", "a0", "a1", "n0"]
+
+
+def by_hand(rows, keep, scope):
+    expired = [r for r in rows if r[2] >= 31]
+    out = []
+    for folder in {r[0] for r in rows}:
+        pool = [r for r in (expired if scope == "expired" else rows) if r[0] == folder]
+        spared = sorted(pool, key=lambda r: (-r[2], r[1]))[len(pool) - keep if len(pool) > keep else 0 :]
+        out += [r[1] for r in expired if r[0] == folder and r not in spared]
+    return sorted(out)
+
+
+def test_made_up_listings(spark):
+    row = st.tuples(st.sampled_from("ab"), st.integers(0, 60).map("p{:02d}".format), st.integers(28, 36))
+    rows = st.lists(row, max_size=30, unique_by=lambda r: (r[0], r[1]))
+
+    @settings(max_examples=5, deadline=None, suppress_health_check=list(HealthCheck))
+    @given(rows, st.integers(1, 4), st.sampled_from(["expired", "all"]))
+    def check(made, keep, scope):
+        assert deleted(listing(spark, made), keep=keep, keep_scope=scope) == by_hand(made, keep, scope)
+
+    check()
+
+
+def test_one_folder_with_all_files_is_not_gathered(spark):
+    df = spark.range(0, 40000, 1, 8).select(
+        F.concat(F.lit("f"), F.col("id") < 0).alias("folder"),
+        F.format_string("%06d", "id").alias("path"),
+        (F.lit("2020-01-01").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.col("id"))).alias("mtime"),
+    )
+    out = retention.expired_files(df, NOW)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("row_number(), 3, Partial") > plan.index("Exchange hashpartitioning")
+    assert out.count() == 39997
+    with pytest.raises(ValueError, match="windowGroupLimitThreshold"):
+        retention.expired_files(df, NOW, keep=1001)
+
+
+def test_bound_reaches_the_scan(spark, tmp_path):
+    path = str(tmp_path / "t")
+    listing(spark, [("f", "p", 3)]).write.parquet(path)
+    df = spark.read.parquet(path)
+    for test in (retention.within_ttl(df, "mtime", NOW), df.where(retention.older_than_days(df, "mtime", 30, NOW))):
+        plan = test._jdf.queryExecution().executedPlan().toString()
+        assert "OrEqual(mtime," in plan.split("PushedFilters: ")[1]
+
+
+def test_dirs_of_any_depth_without_a_minimum(spark):
+    rows = [("/b", "d", 40), ("/b/x/y", "d", 31), ("/b/z", "d", 30.9), ("/b/f", "f", 90)]
+    made = [(p, k, NOW - timedelta(days=a)) for p, k, a in rows]
+    df = spark.createDataFrame(made, "path string, kind string, ctime timestamp_ntz")
+    assert sorted(r.path for r in retention.expired_dirs(df, NOW).collect()) == ["/b", "/b/x/y"]
+
+
+def test_ttl_edge(spark):
+    df = listing(spark, [("f", "edge", 7), ("f", "late", 7 + 1 / 86400), ("f", "fresh", 0)])
+    assert sorted(r.path for r in retention.within_ttl(df, "mtime", NOW).collect()) == ["edge", "fresh"]
+
+
+def test_newest_by_whole_seconds_then_by_path(spark):
+    second = 1 / 86400
+    rows = [
+        ("f", "/f/a.zip", 1.0),
+        ("f", "/f/b.zip", 1.0 - 0.4 * second),
+        ("f", "/f/Z.zip", 1.0 - 0.9 * second),
+        ("g", "/g/old.zip", 5),
+        ("g", "/g/new.zip", 4),
+    ]
+    df = listing(spark, rows)
+    assert {r.folder: r.path for r in retention.latest_per_folder(df).collect()} == {
+        "f": "/f/b.zip",
+        "g": "/g/new.zip",
+    }
+
+
+def test_direct_files_only(spark):
+    paths = ["/f/a.zip", "/f/sub/a.zip", "/f/.a.zip", "/f/a.md5", "/ff/a.zip", "/f/a.ZIP"]
+    df = spark.createDataFrame([("/f", p) for p in paths], "folder string, path string")
+    kept = df.where(retention.direct_file(F.col("path"), F.col("folder"))).collect()
+    assert [r.path for r in kept] == ["/f/a.zip"]

@@ -1,0 +1,66 @@
+from datetime import datetime, timezone
+from ipaddress import IPv4Address
+
+from helpers import evaluate
+
+from shelfmark.functions import values
+
+
+def valid(address):
+    try:
+        IPv4Address(address)
+        return True
+    except ValueError:
+        return False
+
+
+def test_ipv4_agrees_with_the_standard_library(spark):
+    addresses = [
+        "1.2.3.4", "255.255.255.255", "0.0.0.0", "256.1.1.1", "01.2.3.4", "1.2.3", "1.2.3.4.5",
+        "1.2.3.4\n", " 1.2.3.4", "1.2.3.٤", "a.b.c.d", "", "1..2.3", "1.2.3.00",
+    ]
+    assert evaluate(spark, addresses, values.is_ipv4) == [valid(a) for a in addresses]
+    assert evaluate(spark, [None], values.is_ipv4) == [False]
+
+
+def test_exposed_port(spark):
+    keys = [["443/tcp", "8000/tcp"], ["53/udp"], [], None]
+    assert evaluate(spark, keys, values.exposed_port, "array<string>") == ["8000", "53/udp", "80", "80"]
+    texts = ['{"443/tcp": {}, "80/tcp": {}}', "{}", None]
+    assert evaluate(spark, texts, values.exposed_port_of_json) == ["80", "80", "80"]
+
+
+def test_iso_millis_cuts(spark):
+    moments = [datetime(2024, 1, 2, 3, 4, 5, 678999), datetime(2024, 1, 2)]
+    assert evaluate(spark, moments, values.iso_millis, "timestamp_ntz") == [
+        "2024-01-02T03:04:05.678Z",
+        "2024-01-02T00:00:00.000Z",
+    ]
+
+
+def by_hand(text):
+    try:
+        moment = datetime.fromtimestamp(int(text), timezone.utc)
+    except (ValueError, OverflowError, TypeError):
+        return None
+    return f"{moment.year:04d}" + moment.strftime("%m%d%H%M%S")
+
+
+def test_compact_time_in_any_session_zone(spark):
+    texts = [
+        "0", "1700000000", " 1700000000\n", "-1", "1710054000", "1710057600", "253402300799", "-62135596800",
+        "253402300800", "99999999999999999999", "1e3", "1.5", "x", "", None,
+    ]
+    wanted = [by_hand(t) for t in texts]
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for other in ("UTC", "America/New_York"):
+            spark.conf.set("spark.sql.session.timeZone", other)
+            assert evaluate(spark, texts, values.compact_time) == wanted
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_duration(spark):
+    texts = ["00:01:00", "12:34:56", "100:00:01", "1:2", "00:61:00", "", None]
+    assert evaluate(spark, texts, values.duration_seconds) == [60, 45296, 360001, None, None, None, None]
