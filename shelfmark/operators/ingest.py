@@ -5,6 +5,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# Fixed values of the archive format: the mark of the end record, the length of that
+# record, and the greatest length of the comment behind it.
+ZIP_END_MARK = bytes.fromhex("504b0506")
+ZIP_END_LENGTH = 22
+ZIP_COMMENT_LENGTH = 65535
+
+
+def is_zip(content: Column) -> Column:
+    """True where the bytes end like a zip archive; null and cut archives are false.
+
+    For the ``corrupt`` flag of local copies. Only the tail is searched, but Spark's
+    binary source reads a file whole, so keep the flag in the inventory where files are big.
+    """
+    tail = ZIP_END_LENGTH + ZIP_COMMENT_LENGTH
+    # The mark has to leave room for the rest of the end record.
+    room = F.substring(content, -tail, tail - ZIP_END_LENGTH + len(ZIP_END_MARK))
+    return F.coalesce(F.contains(room, F.lit(ZIP_END_MARK)), F.lit(False))
+
 
 def ingest_plan(source: DataFrame, local: DataFrame, key: str = "item") -> DataFrame:
     """One action per source item: ``fetch``, ``copy``, ``skip`` or ``absent``.

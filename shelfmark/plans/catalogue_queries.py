@@ -16,8 +16,9 @@ from shelfmark.functions import text, urls, values
 from shelfmark.operators import counts, ingest, manifests, records, retention, selection
 from shelfmark.plans import restore
 from shelfmark.session import fresh_dir
-from shelfmark.sources import listings, snapshots
+from shelfmark.sources import listings, prepared, snapshots
 from shelfmark.sources import records as record_files
+from shelfmark.streaming import monitoring
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -205,7 +206,7 @@ def fixture_times(spark, sf_dir):
 """)
 def site_records(spark, sf_dir):
     """Site records prepared from URLs."""
-    made = record_files.site_records(table(spark, sf_dir, "pages"), F.col("url"), F.col("page_id"))
+    made = prepared.site_records(table(spark, sf_dir, "pages"), F.col("page_id"), F.col("url"))
     sites = record_files.typed(made, "sites.site")
     return sites.withColumn("model", F.lit("sites.site"))
 
@@ -243,6 +244,61 @@ def fixture_upsert(spark, sf_dir):
     return records.load_by_key([first, later], ["model", "pk"], ["o_orderdate", "o_orderkey"])
 
 
+@registered("""
+    SELECT s_suppkey AS pk, n_name AS host_name, concat('s', s_suppkey) AS name,
+           concat('http://s', s_suppkey, '.example.test/') AS url, true AS active, 60 AS seconds
+    FROM supplier JOIN nation ON n_nationkey = s_nationkey
+""")
+def prepared_services(spark, sf_dir):
+    """Suppliers as monitored services on the hosts of their nations, prepared, read back and joined."""
+    suppliers, nations = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "nation")
+    name = F.concat(F.lit("s"), F.col("s_suppkey"))
+    services = prepared.service_records(
+        suppliers,
+        F.col("s_suppkey"),
+        name=name,
+        url=urls.public_url(F.concat(name, F.lit(".example.test")), F.lit("80")),
+        host=F.col("s_nationkey"),
+        service_type=F.lit(1),
+    )
+    hosts = prepared.host_records(
+        nations, F.col("n_nationkey"), name=F.col("n_name"), ip=F.lit("10.0.0.1")
+    )
+    return records.resolve_reference(
+        record_files.typed(services, "monitoring.service"),
+        record_files.typed(hosts, "monitoring.host"),
+        F.col("host"),
+        "pk",
+        {"host_name": "name"},
+    ).select(
+        "pk", "host_name", "name", "url", "active",
+        values.duration_seconds(F.col("check_interval")).cast("int").alias("seconds"),
+    )
+
+
+@registered("""
+    SELECT c_custkey AS pk, c_name AS username, concat(c_custkey, '@example.test') AS email,
+           true AS is_superuser, '2024-01-31 00:00:00' AS joined, 0 AS n_groups
+    FROM customer
+""")
+def prepared_admins(spark, sf_dir):
+    made = prepared.admin_records(
+        table(spark, sf_dir, "customer"),
+        F.col("c_custkey"),
+        username=F.col("c_name"),
+        email=F.concat("c_custkey", F.lit("@example.test")),
+        password=F.sha2("c_name", 256),
+        now=NOW,
+    )
+    utc = F.convert_timezone(
+        F.current_timezone(), F.lit("UTC"), F.col("date_joined").cast("timestamp_ntz")
+    )
+    return record_files.typed(made, "people.Profile").select(
+        "pk", "username", "email", "is_superuser", utc.cast("string").alias("joined"),
+        F.size("groups").alias("n_groups"),
+    )
+
+
 # == references ====================================================================
 
 @registered("""
@@ -605,6 +661,36 @@ def monitor_windows(spark, sf_dir):
     return counts.metric_windows(events).withColumn("total", F.round("total", 2))
 
 
+@registered("""
+    SELECT date_trunc('minute', ts) AS window_start, event_type, count(*) AS n,
+           round(sum(value), 2) AS total, min(value) AS least, max(value) AS greatest
+    FROM events
+    WHERE date_trunc('minute', ts) + INTERVAL 1 MINUTE
+          <= (SELECT date_trunc('milliseconds', max(ts)) FROM events) - INTERVAL 1 HOUR
+    GROUP BY ALL
+""")
+def monitor_windows_stream(spark, sf_dir):
+    """The same windows from a stream over the files: those an hour behind the last event."""
+    path = fresh_dir(spark, "metrics")
+    source = f"{sf_dir}/events.parquet"
+    query = monitoring.run_metric_stream(
+        spark,
+        # As a pattern, because a stream refuses the path of a single file.
+        source.replace("events.parquet", "events.[p]arquet"),
+        spark.read.parquet(source).schema,
+        f"{path}/windows",
+        f"{path}/progress",
+        lateness="1 hour",
+        service="event_type",
+    )
+    query.awaitTermination()
+    windows = spark.read.parquet(f"{path}/windows")
+    start = F.convert_timezone(
+        F.current_timezone(), F.lit("UTC"), F.col("window_start").cast("timestamp_ntz")
+    )
+    return windows.withColumn("window_start", start).withColumn("total", F.round("total", 2))
+
+
 # == text and URL columns ==========================================================
 
 _HOST = r"'^[a-z]+://(?:[^/?#]*@)?([^/:?#]*)'"
@@ -747,7 +833,7 @@ def path_stem(spark, sf_dir):
            coalesce(lower(CASE WHEN toxic = 1 THEN 'Yes' END) IN ('yes', 'true', 't', '1'), false) FROM labels
 """)
 def text_to_bool(spark, sf_dir):
-    first_word = F.split_part("text", F.lit(" "), F.lit(1))
+    first_word = F.substring_index("text", " ", 1)
     documents = table(spark, sf_dir, "documents").select(
         "doc_id",
         text.text_to_bool(first_word).alias("first_word"),

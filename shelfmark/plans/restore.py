@@ -7,6 +7,7 @@ from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
 
 from shelfmark.functions.urls import rewrite_base_url
 from shelfmark.operators.manifests import gate
@@ -103,9 +104,10 @@ def checked_restore(
     recovery_id = write_snapshot(spark, current_tables(spark, store), recovery_root, now)
     _require_intact(spark, recovery_root, recovery_id, "the present state could not be saved")
 
-    newest = newest_snapshot(spark, snapshots).first()
-    if newest is None:
-        raise RestoreError(f"no snapshot in {snapshots}")
+    try:
+        newest = newest_snapshot(spark, snapshots).first()
+    except AnalysisException as missing:
+        raise RestoreError(f"no snapshot in {snapshots}") from missing
     _require_intact(spark, snapshots, newest.path, "the checksums of the snapshot differ")
 
     loaded = {

@@ -108,6 +108,11 @@ def typed(records: DataFrame, model: str, fields: str | T.StructType | None = No
     return one.select("pk", *extra, *columns)
 
 
+def fields_json(*values: Column) -> Column:
+    """Named columns as the JSON text of ``fields``, nulls kept, times in UTC."""
+    return F.to_json(F.struct(*values), _WRITE_OPTIONS)
+
+
 def to_records(
     df: DataFrame, model: str, pk: str = "pk", fields: Sequence[str] | None = None
 ) -> DataFrame:
@@ -123,7 +128,7 @@ def to_records(
     return df.select(
         F.lit(model).alias("model"),
         F.col(pk).cast("bigint").alias("pk"),
-        F.to_json(F.struct(*values), _WRITE_OPTIONS).alias("fields"),
+        fields_json(*values).alias("fields"),
     )
 
 
@@ -137,18 +142,3 @@ def record_lines(records: DataFrame) -> DataFrame:
 def write_records(records: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """Write records, one per line, so that the output splits when read."""
     record_lines(records).write.mode(mode).text(path)
-
-
-# -- records that a deployment prepares from its own settings --------------------
-
-def site_records(df: DataFrame, url: Column, pk: Column) -> DataFrame:
-    """A site per row; domain and name are both the host of its URL."""
-    from shelfmark.functions.urls import url_host
-
-    host = url_host(url)
-    fields = F.struct(host.alias("domain"), host.alias("name"))
-    return df.select(
-        F.lit("sites.site").alias("model"),
-        pk.cast("bigint").alias("pk"),
-        F.to_json(fields, _WRITE_OPTIONS).alias("fields"),
-    )

@@ -25,7 +25,7 @@ from shelfmark.operators.retention import latest_per_folder
 from shelfmark.operators.selection import time_literal
 from shelfmark.sources.listings import file_digests
 
-CATALOG_SCHEMA = "folder string, path string, mtime timestamp, tables array<string>"
+CATALOG_SCHEMA = "path string, mtime timestamp, tables array<string>"
 
 # Rows per data file. Bounds the size of a file, which is hashed as a whole.
 ROWS_PER_FILE = 1_000_000
@@ -57,12 +57,13 @@ def write_snapshot(
     """Write the tables, then their manifest, then the catalogue row. Returns the id."""
     snapshot_id = snapshot_id or new_snapshot_id()
     chosen = select_tables(tables, apps)
+    if not chosen:
+        raise ValueError("no table belongs to the listed apps")
     base = f"{root}/{snapshot_id}"
     for name, table in chosen.items():
         table.write.option("maxRecordsPerFile", rows_per_file).parquet(f"{base}/data/{name}")
     file_digests(spark, f"{base}/data", "*.parquet").write.parquet(f"{base}/manifest")
     row = spark.range(1).select(
-        F.lit(root).alias("folder"),
         F.lit(snapshot_id).alias("path"),
         time_literal(T.TimestampType(), now).alias("mtime"),
         F.array(*[F.lit(n) for n in chosen]).cast("array<string>").alias("tables"),
@@ -95,5 +96,5 @@ def newest_snapshot(spark: SparkSession, root: str) -> DataFrame:
     Snapshots below a subfolder have a catalogue of their own and do not count.
     """
     catalog = read_catalog(spark, root)
-    newest = latest_per_folder(catalog).select("path")
+    newest = latest_per_folder(catalog.withColumn("folder", F.lit(root))).select("path")
     return catalog.join(newest, "path", "left_semi").select("path", "tables")

@@ -36,15 +36,20 @@ def run_metric_stream(
     target: str,
     checkpoint: str,
     *,
-    files_per_trigger: int = 1000,
+    files_per_trigger: int | None = None,
     **windows: str,
 ) -> StreamingQuery:
-    """Work off all Parquet files not seen before, then stop. Append output, restartable."""
-    stream = (
-        spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(source)
-    )
+    """Work off all Parquet files not seen before, then stop. Append output, restartable.
+
+    All new files make one batch unless ``files_per_trigger`` is set. Between batches the
+    watermark moves, so with a limit the files have to come about in order of time:
+    what is later than ``lateness`` is dropped, as on any stream.
+    """
+    reader = spark.readStream.schema(schema)
+    if files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
     return (
-        stream_metric_windows(stream, **windows)
+        stream_metric_windows(reader.parquet(source), **windows)
         .writeStream.outputMode("append")
         .format("parquet")
         .option("path", target)

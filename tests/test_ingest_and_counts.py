@@ -1,5 +1,9 @@
+import io
+import zipfile
 from datetime import datetime
 
+from helpers import evaluate
+
 
 from shelfmark.operators import counts, ingest
 
@@ -71,3 +75,21 @@ def test_windows(spark):
     ]
     plan = counts.metric_windows(df)._jdf.queryExecution().executedPlan().toString()
     assert "Expand" not in plan and plan.index("partial_sum") > plan.index("Exchange hashpartitioning")
+
+
+def test_zip_check_agrees_with_the_standard_library(spark):
+    def archive(comment=b"", size=10):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            z.writestr("a.txt", b"x" * size)
+            z.comment = comment
+        return out.getvalue()
+
+    whole = archive()
+    contents = [
+        whole, archive(b"c" * 65535), archive(size=200_000), archive(b"note"), whole[:-1], whole[:-20],
+        whole[: len(whole) // 2], b"", b"PK", b"plain text", b"PK\x05\x06", whole + b"x" * 70_000,
+    ]
+    wanted = [zipfile.is_zipfile(io.BytesIO(c)) for c in contents]
+    got = evaluate(spark, [bytearray(c) for c in contents] + [None], ingest.is_zip, "binary")
+    assert got == wanted + [False]

@@ -146,3 +146,16 @@ def test_a_half_written_snapshot_is_never_chosen(spark, places, tables, monkeypa
         snapshots.write_snapshot(spark, tables, places[0], DAY[7])
     monkeypatch.undo()
     assert snapshots.newest_snapshot(spark, places[0]).first().path == places[2]
+
+
+def test_no_source_snapshot(spark, tmp_path):
+    store = str(tmp_path / "store")
+    restore.publish(spark, {"talk.lines": spark.range(3).toDF("id")}, store)
+    with pytest.raises(restore.RestoreError, match="no snapshot"):
+        run(spark, (str(tmp_path / "nothing"), store))
+    assert unchanged(spark, store)
+
+
+def test_a_snapshot_of_nothing_is_refused(spark, tmp_path, tables):
+    with pytest.raises(ValueError):
+        snapshots.write_snapshot(spark, tables, str(tmp_path / "s"), DAY[1], apps=["maps"])

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shelfmark.plans.seeding import load_record_files
-from shelfmark.sources import listings, records
+from shelfmark.sources import listings, prepared, records
 
 # Shapes of seed files, with invented values.
 SCHEDULES = [
@@ -154,10 +154,34 @@ def test_seed_files_load_in_order(spark, tmp_path):
     assert records.typed(load_record_files(spark, [second, first]), "people.Profile").first().email == "sample@b.example"
 
 
-def test_site_records(spark):
-    df = spark.createDataFrame([(1, "HTTPS://Maps.Example:8443/x")], "n int, url string")
-    row = records.typed(records.site_records(df, F.col("url"), F.col("n")), "sites.site").first()
-    assert (row.pk, row.domain, row.name) == (1, "maps.example", "maps.example")
+def test_prepared_records_have_the_fields_of_their_models(spark):
+    df = spark.createDataFrame([(1, "HTTPS://Maps.Example:8443/")], "n int, url string")
+    n, url, text = F.col("n"), F.col("url"), F.lit("t")
+    at = F.lit("2024-01-02 03:04:05.6789").cast("timestamp_ntz")
+    made = [
+        prepared.site_records(df, n, url),
+        prepared.application_records(
+            df, n, name=text, site_url=url, redirect_path="in/index.html", client_id=text,
+            client_secret=text, owner=F.lit("admin"), created=at,
+        ),
+        prepared.host_records(df, n, name=text, ip=F.lit("10.0.0.1")),
+        prepared.service_records(df, n, name=text, url=url, host=n, service_type=n + 1),
+        prepared.admin_records(
+            df, n, username=text, email=text, password=text, now=datetime(2024, 1, 2, 3, 4, 5, 678900)
+        ),
+    ]
+    rows = {}
+    for frame in made:
+        model = frame.first().model
+        names = set(json.loads(frame.first().fields))
+        assert names == set(T.StructType.fromDDL(records.MODEL_FIELDS[model]).names)
+        rows[model] = records.typed(frame, model).first()
+    assert (rows["sites.site"].domain, rows["sites.site"].name) == ("maps.example", "maps.example")
+    app = rows["oauth2_provider.application"]
+    assert app.redirect_uris == "HTTPS://Maps.Example:8443/in/index.html" and app.user == ["admin"]
+    service = rows["monitoring.service"]
+    assert (service.host, service.service_type, service.check_interval) == (1, 2, "00:01:00")
+    assert str(rows["people.Profile"].last_login) == "2024-01-02 03:04:05.678000"
 
 
 # -- listings ---------------------------------------------------------------------
