@@ -10,6 +10,7 @@ FALLBACK_PORT = "80"
 # First and last second of the years 1 to 9999.
 FIRST_EPOCH = -62135596800
 LAST_EPOCH = 253402300799
+SECONDS_PER_DAY = 86400
 
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 _IPV4 = rf"\A{_OCTET}(?:\.{_OCTET}){{3}}\z"
@@ -43,14 +44,19 @@ def iso_millis(ts: Column) -> Column:
 def compact_time(epoch_text: Column) -> Column:
     """Epoch seconds as text to UTC ``yyyyMMddHHmmss``; null for anything else.
 
-    Goes by the zone-less type, so the session zone plays no part.
+    Days and seconds of the day are taken apart by arithmetic: faster than a formatter,
+    and the session zone plays no part.
     """
     seconds = epoch_text.try_cast("bigint")
     safe = F.when(seconds.between(FIRST_EPOCH, LAST_EPOCH), seconds)
-    zero = F.lit(0)
-    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
-    utc = epoch + F.make_dt_interval(zero, zero, zero, safe.cast("decimal(18,6)"))
-    return F.translate(F.substring(utc.cast("string"), 1, 19), "- :", "")
+    of_day = F.pmod(safe, F.lit(SECONDS_PER_DAY))
+    day = F.date_add(F.lit("1970-01-01").cast("date"), ((safe - of_day) / SECONDS_PER_DAY).cast("int"))
+    hours = F.floor(of_day / 3600)
+    minutes = F.floor(F.pmod(of_day, F.lit(3600)) / 60)
+    clock = hours * 10000 + minutes * 100 + F.pmod(of_day, F.lit(60))
+    return F.concat(
+        F.replace(day.cast("string"), F.lit("-"), F.lit("")), F.lpad(clock.cast("string"), 6, "0")
+    )
 
 
 def duration_seconds(text: Column) -> Column:

@@ -81,13 +81,11 @@ def within_ttl(df: DataFrame, column: str, now: datetime, days: int = 7) -> Data
 
 def direct_file(path: Column, folder: Column, extension: str = ".zip") -> Column:
     """True for a visible file of that extension directly in ``folder``."""
-    base = F.concat(folder, F.lit("/"))
-    rest = F.substring(path, F.length(base) + 1, F.length(path))
+    name = F.substring_index(path, "/", -1)
     return (
-        F.startswith(path, base)
-        & F.endswith(path, F.lit(extension))
-        & ~F.contains(rest, F.lit("/"))
-        & ~F.startswith(rest, F.lit("."))
+        F.endswith(path, F.lit(extension))
+        & (path == F.concat(folder, F.lit("/"), name))
+        & ~F.startswith(name, F.lit("."))
     )
 
 

@@ -188,9 +188,10 @@ def fixture_times(spark, sf_dir):
     """Times and JSON text keep every digit on the way through record files."""
     path = fresh_dir(spark, "records")
     events = table(spark, sf_dir, "events").select("event_id", "ts", "value", "props")
-    record_files.write_records(record_files.to_records(events, "log.event", "event_id"), path)
-    back = record_files.typed(
-        record_files.read_records(spark, path), "log.event", "ts timestamp, value double, props string"
+    made = record_files.to_records(events, "log.event", "event_id")
+    record_files.write_records(made, path, by_model=True)
+    back = record_files.read_model(
+        spark, path, "log.event", "ts timestamp, value double, props string"
     )
     seen = F.date_format(
         F.convert_timezone(F.current_timezone(), F.lit("UTC"), F.col("ts").cast("timestamp_ntz")),

@@ -87,25 +87,50 @@ def _as_read(kind: T.DataType) -> T.DataType:
 
 def parse_time(text: Column) -> Column:
     """ISO time with a zone, or without one and then taken as UTC."""
-    zoned = text.rlike(r"(?:Z|[+\-]\d{2}:?\d{2})$")
+    zoned = text.endswith("Z") | text.rlike(r"[+\-]\d{2}:?\d{2}$")
     return F.when(zoned, text).otherwise(F.concat(text, F.lit("Z"))).cast("timestamp")
 
 
+def _schema_of(model: str, fields: str | T.StructType | None) -> T.StructType:
+    schema = fields if fields is not None else MODEL_FIELDS[model]
+    return T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+
+
+def _text_schema(schema: T.StructType) -> T.StructType:
+    return T.StructType([T.StructField(f.name, _as_read(f.dataType)) for f in schema.fields])
+
+
+def _typed_columns(schema: T.StructType) -> list[Column]:
+    return [
+        (
+            parse_time(F.col(f"fields.`{f.name}`"))
+            if isinstance(f.dataType, T.TimestampType)
+            else F.col(f"fields.`{f.name}`")
+        ).alias(f.name)
+        for f in schema.fields
+    ]
+
+
 def typed(records: DataFrame, model: str, fields: str | T.StructType | None = None) -> DataFrame:
     """The records of one model with typed columns next to ``pk``."""
-    schema = fields if fields is not None else MODEL_FIELDS[model]
-    if isinstance(schema, str):
-        schema = T.StructType.fromDDL(schema)
-    text_schema = T.StructType([T.StructField(f.name, _as_read(f.dataType)) for f in schema.fields])
-    parsed = F.from_json("fields", text_schema, {"mode": "FAILFAST"})
+    schema = _schema_of(model, fields)
+    parsed = F.from_json("fields", _text_schema(schema), {"mode": "FAILFAST"})
     extra = [c for c in records.columns if c not in ("model", "pk", "fields")]
     one = records.where(F.col("model") == model).select("pk", *extra, parsed.alias("fields"))
-    columns = [
-        (parse_time(F.col(f"fields.`{f.name}`")) if isinstance(f.dataType, T.TimestampType)
-         else F.col(f"fields.`{f.name}`")).alias(f.name)
-        for f in schema.fields
-    ]
-    return one.select("pk", *extra, *columns)
+    return one.select("pk", *extra, *_typed_columns(schema))
+
+
+def read_model(
+    spark: SparkSession, path: str, model: str, fields: str | T.StructType | None = None
+) -> DataFrame:
+    """Typed records of one model from a folder that :func:`write_records` split by model.
+
+    Only the folder of that model is read, and its lines are parsed once.
+    """
+    schema = _schema_of(model, fields)
+    whole = T.StructType.fromDDL("model string, pk bigint").add("fields", _text_schema(schema))
+    lines = spark.read.schema(whole).option("mode", "FAILFAST").json(path)
+    return lines.where(F.col("model") == model).select("pk", *_typed_columns(schema))
 
 
 def fields_json(*values: Column) -> Column:
@@ -120,7 +145,7 @@ def to_records(
     names = fields if fields is not None else [c for c in df.columns if c != pk]
     # A zone-less time is UTC by our reading, so it is written with a zone too.
     values = [
-        F.convert_timezone(F.lit("UTC"), F.current_timezone(), F.col(c)).cast("timestamp").alias(c)
+        F.concat(F.replace(F.col(c).cast("string"), F.lit(" "), F.lit("T")), F.lit("Z")).alias(c)
         if isinstance(df.schema[c].dataType, T.TimestampNTZType)
         else F.col(c)
         for c in names
@@ -133,12 +158,21 @@ def to_records(
 
 
 def record_lines(records: DataFrame) -> DataFrame:
-    """Records as one JSON line each, ready for ``write.text``."""
+    """Records as one JSON line each, next to their model."""
     head = F.to_json(F.struct("model", "pk"), {"ignoreNullFields": "false"})
     line = F.concat(F.rtrim(head, F.lit("}")), F.lit(',"fields":'), F.col("fields"), F.lit("}"))
-    return records.select(line.alias("value"))
+    return records.select("model", line.alias("value"))
 
 
-def write_records(records: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """Write records, one per line, so that the output splits when read."""
-    record_lines(records).write.mode(mode).text(path)
+def write_records(
+    records: DataFrame, path: str, mode: str = "errorifexists", by_model: bool = False
+) -> None:
+    """Write records, one per line, so that the output splits when read.
+
+    ``by_model`` gives every model a folder of its own, without a shuffle.
+    """
+    lines = record_lines(records)
+    if by_model:
+        lines.write.mode(mode).partitionBy("model").text(path)
+    else:
+        lines.select("value").write.mode(mode).text(path)

@@ -119,6 +119,21 @@ def test_write_then_read_keeps_everything(spark, tmp_path):
     assert all("nothing" in line["fields"] for line in lines)
 
 
+def test_folders_by_model_are_pruned_and_parsed_once(spark, tmp_path):
+    path = str(tmp_path / "by")
+    one = records.to_records(spark.range(5).withColumn("user", F.col("id") * 2), "a.key", "id")
+    two = records.to_records(spark.range(3).withColumn("user", F.array(F.lit("x"))), "a.app", "id")
+    records.write_records(one.unionByName(two), path, by_model=True)
+    keys = records.read_model(spark, path, "a.key", "user bigint")
+    assert sorted((r.pk, r.user) for r in keys.collect()) == [(i, 2 * i) for i in range(5)]
+    apps = records.read_model(spark, path, "a.app", "user array<string>")
+    assert [r.user for r in apps.collect()] == [["x"]] * 3
+    plan = keys._jdf.queryExecution().executedPlan().toString()
+    assert "(model#" in plan.split("PartitionFilters: ")[1] and "from_json" not in plan
+    mixed = records.typed(records.read_records(spark, path), "a.app", "user array<string>")
+    assert mixed.count() == 3
+
+
 def test_numbers_in_fields_keep_their_digits(spark, tmp_path):
     (tmp_path / "n.json").write_text('{"model": "m", "pk": 1, "fields": {"v": 12345678901234567890.123456789}}\n')
     row = records.typed(records.read_records(spark, str(tmp_path / "n.json")), "m", "v decimal(38,9)").first()
