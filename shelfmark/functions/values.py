@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # The port used when a container exposes none.
 FALLBACK_PORT = "80"
@@ -36,6 +37,25 @@ def exposed_port_of_json(ports: Column) -> Column:
     return exposed_port(F.json_object_keys(ports))
 
 
+def utc_instant(df: DataFrame, column: str) -> Column:
+    """A time column as an instant; a zone-less time is UTC, whatever the session zone.
+
+    In a UTC session that is a plain cast. Elsewhere a cast would go by local time, so
+    the instant is put together from its parts.
+    """
+    value = F.col(column)
+    kind = df.schema[column].dataType
+    if isinstance(kind, T.TimestampType):
+        return value
+    if not isinstance(kind, T.TimestampNTZType):
+        raise TypeError(f"not a time column: {kind.simpleString()}")
+    if df.sparkSession.conf.get("spark.sql.session.timeZone") in ("UTC", "Etc/UTC", "Z"):
+        return value.cast("timestamp")
+    minute = F.unix_date(value.cast("date")).cast("bigint") * 1440 + F.hour(value) * 60 + F.minute(value)
+    micros = F.extract(F.lit("SECOND"), value) * 1_000_000
+    return F.timestamp_micros(minute * 60_000_000 + micros.cast("bigint"))
+
+
 def iso_millis(ts: Column) -> Column:
     """ISO time cut to milliseconds with a ``Z``; the session zone must be UTC."""
     return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")

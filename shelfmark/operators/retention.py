@@ -7,6 +7,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shelfmark.functions.values import utc_instant
 from shelfmark.operators.selection import time_literal
 
 # Up to this many rows per group Spark cuts a ranked group before the exchange.
@@ -96,7 +97,7 @@ def latest_per_folder(
 
     A maximum folds within each task first, so one crowded folder is no burden.
     """
-    seconds = F.unix_seconds(F.col(mtime).cast("timestamp"))
+    seconds = F.unix_seconds(utc_instant(listing, mtime))
     newest = F.max(F.struct(seconds.alias("second"), F.col(path).alias("path")))
     return (
         listing.groupBy(folder)

@@ -903,9 +903,10 @@ def iso_millis(spark, sf_dir):
 """)
 def compact_time(spark, sf_dir):
     """Epoch seconds written as text; errors carry a text that is no number."""
-    seconds = F.unix_seconds(F.convert_timezone(F.lit("UTC"), F.current_timezone(), "ts").cast("timestamp"))
+    events = table(spark, sf_dir, "events")
+    seconds = F.unix_seconds(values.utc_instant(events, "ts"))
     epoch = F.when(F.col("event_type") == "error", "n/a").otherwise(seconds.cast("string"))
-    return table(spark, sf_dir, "events").select("event_id", values.compact_time(epoch).alias("at"))
+    return events.select("event_id", values.compact_time(epoch).alias("at"))
 
 
 @registered("SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents")

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from shelfmark.functions.values import utc_instant
 from shelfmark.operators.counts import metric_windows
 
 
@@ -21,9 +21,9 @@ def stream_metric_windows(
 ) -> DataFrame:
     """The batch windows on a stream; a window comes out once it is ``lateness`` past.
 
-    A watermark needs a zoned time, so a zone-less one is cast first.
+    A watermark needs an instant; a zone-less time is taken as UTC.
     """
-    timed = stream.withColumn(time, F.col(time).cast(T.TimestampType()))
+    timed = stream.withColumn(time, utc_instant(stream, time))
     return metric_windows(
         timed.withWatermark(time, lateness), time=time, service=service, value=value, width=width
     )

@@ -23,6 +23,17 @@ def duck():
         connection.execute(f"CREATE VIEW {name} AS SELECT * FROM '{SF_DIR}/{name}.parquet'")
     return connection
 
+# Spark types and what DuckDB calls them.
+TYPES = {
+    "bigint": "BIGINT",
+    "int": "INTEGER",
+    "string": "VARCHAR",
+    "double": "DOUBLE",
+    "boolean": "BOOLEAN",
+    "timestamp_ntz": "TIMESTAMP",
+    "decimal(38,0)": "DECIMAL(38,0)",
+}
+
 
 def plain(value):
     if isinstance(value, Decimal):
@@ -39,6 +50,8 @@ def by_name(columns, rows):
 def test_same_rows_as_sql(spark, duck, name):
     result = registry.queries()[name](spark, SF_DIR)
     cursor = duck.execute(registry.oracle_sql()[name])
+    types = {d[0]: str(d[1]) for d in cursor.description}
+    assert {c: TYPES.get(t, t) for c, t in result.dtypes} == types
     columns, wanted = by_name([d[0] for d in cursor.description], cursor.fetchall())
     got_columns, got = by_name(result.columns, [tuple(r) for r in result.collect()])
     assert got_columns == columns

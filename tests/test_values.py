@@ -1,7 +1,8 @@
 from datetime import datetime, timezone
 from ipaddress import IPv4Address
 
-from helpers import evaluate
+from helpers import column, evaluate
+from pyspark.sql import functions as F
 
 from shelfmark.functions import values
 
@@ -64,3 +65,18 @@ def test_compact_time_in_any_session_zone(spark):
 def test_duration(spark):
     texts = ["00:01:00", "12:34:56", "100:00:01", "1:2", "00:61:00", "", None]
     assert evaluate(spark, texts, values.duration_seconds) == [60, 45296, 360001, None, None, None, None]
+
+
+def test_zone_less_times_are_utc_in_any_session_zone(spark):
+    texts = ["2024-03-10 02:30:00.123456", "2024-11-03 05:30:00", "2024-11-03 06:30:00", "1969-12-31 23:59:59.9", None]
+    df = column(spark, texts)
+    wanted = [r.m for r in df.select("i", F.unix_micros(F.concat("v", F.lit("Z")).cast("timestamp")).alias("m")).orderBy("i").collect()]
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for other in ("UTC", "America/New_York"):
+            spark.conf.set("spark.sql.session.timeZone", other)
+            plain = df.select("i", F.col("v").cast("timestamp_ntz").alias("t"))
+            got = plain.select("i", F.unix_micros(values.utc_instant(plain, "t")).alias("m")).orderBy("i").collect()
+            assert [r.m for r in got] == wanted
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
