@@ -33,6 +33,26 @@ def table_fingerprint(df: DataFrame, *columns: str) -> DataFrame:
     return sums.select("n", F.coalesce(total, F.lit(0)).cast(wide).alias("fingerprint"))
 
 
+def manifest_lines(manifest: DataFrame) -> DataFrame:
+    """``md5`` and ``path`` as the lines that checksum tools write and read."""
+    return manifest.select(F.concat("md5", F.lit("  "), "path").alias("value"))
+
+
+def parse_manifest_lines(lines: DataFrame, column: str = "value") -> DataFrame:
+    """``md5`` and ``path`` of checksum lines: digits, a blank, then a blank, a star or nothing.
+
+    A line of any other shape keeps a null md5 and its whole text as path, so that it
+    shows up as missing rather than vanish.
+    """
+    shape = r"^([0-9a-fA-F]{32}) [ *]?(.+)$"
+    line = F.col(column)
+    good = line.rlike(shape)
+    return lines.where(line != "").select(
+        F.when(good, F.regexp_extract(line, shape, 2)).otherwise(line).alias("path"),
+        F.when(good, F.lower(F.regexp_extract(line, shape, 1))).alias("md5"),
+    )
+
+
 def verify_manifest(
     actual: DataFrame,
     manifest: DataFrame,

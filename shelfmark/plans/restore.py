@@ -78,7 +78,7 @@ def current_tables(spark: SparkSession, store: str) -> dict[str, DataFrame]:
 # -- restore ------------------------------------------------------------------------
 
 def _require_intact(spark: SparkSession, root: str, snapshot_id: str, message: str) -> None:
-    verdict = gate(verify_snapshot(spark, root, snapshot_id)).first()
+    verdict = gate(verify_snapshot(spark, root, snapshot_id, unlisted=False)).first()
     if not verdict.passed:
         raise RestoreError(f"{message} ({verdict.mismatch} wrong, {verdict.missing} missing)")
 

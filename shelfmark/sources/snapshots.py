@@ -3,7 +3,7 @@
 Layout below a snapshot root::
 
     <root>/<snapshot id>/data/<table>/*.parquet
-    <root>/<snapshot id>/manifest/*.parquet        path, md5
+    <root>/<snapshot id>/manifest/*.txt            checksum lines, paths below data
     <root>/catalog/*.parquet                       one row per finished snapshot
 
 The catalogue row is written last: a snapshot that a lost driver left half written is
@@ -20,15 +20,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shelfmark.operators.manifests import verify_manifest
+from shelfmark.operators.manifests import manifest_lines, parse_manifest_lines, verify_manifest
 from shelfmark.operators.retention import latest_per_folder
 from shelfmark.operators.selection import time_literal
 from shelfmark.sources.listings import file_digests
 
 CATALOG_SCHEMA = "path string, mtime timestamp, tables array<string>"
 
-# Rows per data file. Bounds the size of a file, which is hashed as a whole.
-ROWS_PER_FILE = 1_000_000
+# Greatest number of rows per data file. A file is hashed as a whole, so it must not grow
+# without bound; what a task reads at once mostly keeps it far smaller.
+ROWS_PER_FILE = 4_000_000
 
 
 def new_snapshot_id() -> str:
@@ -62,7 +63,8 @@ def write_snapshot(
     base = f"{root}/{snapshot_id}"
     for name, table in chosen.items():
         table.write.option("maxRecordsPerFile", rows_per_file).parquet(f"{base}/data/{name}")
-    file_digests(spark, f"{base}/data", "*.parquet").write.parquet(f"{base}/manifest")
+    digests = file_digests(spark, f"{base}/data", "*.parquet")
+    manifest_lines(digests).write.text(f"{base}/manifest")
     row = spark.range(1).select(
         F.lit(snapshot_id).alias("path"),
         time_literal(T.TimestampType(), now).alias("mtime"),
@@ -73,17 +75,19 @@ def write_snapshot(
 
 
 def read_manifest(spark: SparkSession, root: str, snapshot_id: str) -> DataFrame:
-    return spark.read.schema("path string, md5 string").parquet(f"{root}/{snapshot_id}/manifest")
+    return parse_manifest_lines(spark.read.text(f"{root}/{snapshot_id}/manifest"))
 
 
 def read_snapshot_table(spark: SparkSession, root: str, snapshot_id: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{root}/{snapshot_id}/data/{table}")
 
 
-def verify_snapshot(spark: SparkSession, root: str, snapshot_id: str) -> DataFrame:
+def verify_snapshot(
+    spark: SparkSession, root: str, snapshot_id: str, unlisted: bool = True
+) -> DataFrame:
     """Hash the files again and compare them with the manifest."""
     actual = file_digests(spark, f"{root}/{snapshot_id}/data", "*.parquet")
-    return verify_manifest(actual, read_manifest(spark, root, snapshot_id))
+    return verify_manifest(actual, read_manifest(spark, root, snapshot_id), unlisted=unlisted)
 
 
 def read_catalog(spark: SparkSession, root: str) -> DataFrame:

@@ -3,6 +3,8 @@ import zipfile
 from datetime import datetime
 
 from helpers import evaluate
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 
 
 from shelfmark.operators import counts, ingest
@@ -45,6 +47,36 @@ def test_plan_rules(spark):
     assert {r.item: r.action for r in short.collect()}["file older"] == "skip"
 
 
+def by_hand(name, source_time, is_file, exists, local):
+    if is_file:
+        return "copy" if exists else "absent"
+    if name not in local or local[name][1]:
+        return "fetch"
+    return "skip" if source_time is not None and source_time < local[name][0] else "fetch"
+
+
+def test_made_up_plans(spark):
+    times = st.sampled_from([OLD, MID, NEW])
+    items = st.lists(
+        st.tuples(st.sampled_from("abcdef"), st.none() | times, st.booleans(), st.booleans()), max_size=10
+    )
+    copies = st.dictionaries(st.sampled_from("abcdef"), st.tuples(times, st.booleans()), max_size=6)
+
+    @settings(max_examples=5, deadline=None, suppress_health_check=list(HealthCheck))
+    @given(items, copies)
+    def check(made, local):
+        source = spark.createDataFrame(
+            made, "item string, source_time timestamp_ntz, is_file boolean, exists boolean"
+        )
+        there = spark.createDataFrame(
+            [(k, *v) for k, v in local.items()], "item string, local_time timestamp_ntz, corrupt boolean"
+        )
+        got = sorted((r.item, r.action) for r in ingest.ingest_plan(source, there).collect())
+        assert got == sorted((m[0], by_hand(*m, local)) for m in made)
+
+    check()
+
+
 def test_sizes(spark):
     rows = [(1, 5, 5), (2, 5, 4), (3, 0, 9), (4, None, 9), (5, 5, None)]
     df = spark.createDataFrame(rows, "id int, expected long, written long")

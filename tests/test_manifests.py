@@ -1,6 +1,8 @@
 import hashlib
 import json
 
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from shelfmark.operators import manifests
@@ -55,3 +57,35 @@ def test_fingerprint_by_hand(spark):
 def test_null_and_empty_text_differ(spark):
     df = spark.createDataFrame([("", None), (None, "")], "a string, b string")
     assert df.select(manifests.row_digest(df).alias("d")).distinct().count() == 2
+
+
+def test_checksum_lines(spark):
+    digest = "0123456789abcdef0123456789ABCDEF"
+    lines = [f"{digest}  a b.zip", f"{digest} *c.zip", f"{digest} /d/e.zip", "no checksum here", "", f"{digest} "]
+    df = spark.createDataFrame([(v,) for v in lines], "value string")
+    got = {r.path: r.md5 for r in manifests.parse_manifest_lines(df).collect()}
+    low = digest.lower()
+    assert got == {
+        "a b.zip": low, "c.zip": low, "/d/e.zip": low, "no checksum here": None, f"{digest} ": None,
+    }
+    pairs = spark.createDataFrame([("x y", low)], "path string, md5 string")
+    back = manifests.parse_manifest_lines(manifests.manifest_lines(pairs))
+    assert back.select("path", "md5").collect() == pairs.collect()
+
+
+def test_made_up_manifests(spark):
+    paths, sums = st.sampled_from("abcdef"), st.sampled_from(["1", "2", None])
+    files = st.dictionaries(paths, st.sampled_from("12"), max_size=6)
+    lines = st.lists(st.tuples(paths, sums), max_size=8)
+
+    @settings(max_examples=5, deadline=None, suppress_health_check=list(HealthCheck))
+    @given(files, lines)
+    def check(actual, manifest):
+        wanted = [
+            (p, "missing" if p not in actual else "ok" if actual[p] == m else "mismatch") for p, m in manifest
+        ]
+        listed = {p for p, _ in manifest}
+        wanted += [(p, "unlisted") for p in actual if p not in listed]
+        assert verdicts(spark, list(actual.items()), manifest)[0] == sorted(wanted)
+
+    check()

@@ -1,3 +1,4 @@
+import hashlib
 from datetime import datetime
 from pathlib import Path
 
@@ -61,8 +62,10 @@ def test_files_are_bounded_and_all_listed(spark, tmp_path, tables):
     )
     files = data_files(root, made, "people.names")
     assert len(files) == 4
-    manifest = snapshots.read_manifest(spark, root, made)
-    assert sorted(r.path for r in manifest.collect()) == [f"people.names/{f.name}" for f in files]
+    manifest = {r.path: r.md5 for r in snapshots.read_manifest(spark, root, made).collect()}
+    assert manifest == {f"people.names/{f.name}": hashlib.md5(f.read_bytes()).hexdigest() for f in files}
+    lines = "".join(p.read_text() for p in Path(f"{root}/{made}/manifest").glob("*.txt")).splitlines()
+    assert sorted(lines) == sorted(f"{md5}  {path}" for path, md5 in manifest.items())
 
 
 def test_verification_sees_changed_and_lost_files(spark, tmp_path, tables):
