@@ -7,12 +7,16 @@ operators do not care which.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Kinds that have a subfolder of their own.
 KINDS = ("vector", "raster", "time")
 
+_SCHEME_AND_HOST = r"^[A-Za-z][A-Za-z0-9+.\-]*:(?://[^/]*)?"
+
 
 def list_files(spark: SparkSession, root: str, pattern: str | None = None) -> DataFrame:
     """All files below ``root``. The content column is not read, so no file is opened.
@@ -28,8 +32,8 @@ def list_files(spark: SparkSession, root: str, pattern: str | None = None) -> Da
 
 
 def kind_of_path(path: Column) -> Column:
-    """The last known kind that is a folder on the path; null where there is none."""
-    found = F.regexp_extract(path, rf"^.*/({'|'.join(KINDS)})/", 1)
+    """The known kind whose folder a relative path starts with; null where there is none."""
+    found = F.regexp_extract(path, rf"^({'|'.join(KINDS)})/", 1)
     return F.nullif(found, F.lit(""))
 
 
@@ -40,7 +44,8 @@ def import_root(root: str, kind: str | None = None) -> str:
 
 def list_by_kind(spark: SparkSession, root: str, kind: str | None = None) -> DataFrame:
     """Files to import. Only the folder of a known kind is listed at all."""
-    return list_files(spark, import_root(root, kind)).withColumn("kind", kind_of_path(F.col("path")))
+    below = relative_path(F.col("path"), root)
+    return list_files(spark, import_root(root, kind)).withColumn("kind", kind_of_path(below))
 
 
 def import_by_kind(
@@ -51,7 +56,9 @@ def import_by_kind(
     if schema is not None:
         reader = reader.schema(schema)
     rows = reader.load(import_root(root, kind))
-    return rows.select("*", kind_of_path(F.col("_metadata.file_path")).alias("kind"))
+    # The metadata path is URL-encoded, other than the path of a listing.
+    below = relative_path(F.url_decode("_metadata.file_path"), root)
+    return rows.select("*", kind_of_path(below).alias("kind"))
 
 
 def file_digests(spark: SparkSession, root: str, pattern: str | None = None) -> DataFrame:
@@ -69,6 +76,9 @@ def file_digests(spark: SparkSession, root: str, pattern: str | None = None) ->
 
 
 def relative_path(path: Column, root: str) -> Column:
-    """Path below ``root``, whatever scheme the file system puts in front."""
-    plain = root.rstrip("/").split("://")[-1].removeprefix("file:")
-    return F.substring_index(path, plain + "/", -1)
+    """Path below ``root``, which is absolute; scheme and host may be written or left out."""
+    base = re.sub("/+", "/", re.sub(_SCHEME_AND_HOST, "", root.rstrip("/")))
+    if not base.startswith("/") and base:
+        raise ValueError(f"not an absolute path: {root!r}")
+    plain = F.regexp_replace(path, _SCHEME_AND_HOST, "")
+    return F.substring(plain, F.lit(len(base) + 2), F.length(plain))

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from shelfmark import session
 from shelfmark.plans.seeding import load_record_files
 from shelfmark.sources import listings, prepared, records
 
@@ -204,8 +205,8 @@ def test_prepared_records_have_the_fields_of_their_models(spark):
 @pytest.fixture
 def tree(spark, tmp_path):
     for kind, n in (("vector", 2), ("raster", 3), ("time", 4), ("other/vector/deep", 5)):
-        spark.range(n).coalesce(1).write.parquet(str(tmp_path / "tree" / kind))
-    return str(tmp_path / "tree")
+        spark.range(n).coalesce(1).write.parquet(str(tmp_path / "time" / "my tree+é" / kind))
+    return str(tmp_path / "time" / "my tree+é")
 
 
 @pytest.mark.parametrize("kind, rows", [("vector", 2), ("raster", 3), ("time", 4), ("point", 14), (None, 14)])
@@ -215,7 +216,35 @@ def test_import_by_kind(spark, tree, kind, rows):
 
 def test_kinds_come_from_the_path(spark, tree):
     counts = {r.kind: r["count"] for r in listings.import_by_kind(spark, tree).groupBy("kind").count().collect()}
-    assert counts == {"vector": 7, "raster": 3, "time": 4}
+    assert counts == {"vector": 2, "raster": 3, "time": 4, None: 5}
+    listed = {r.kind for r in listings.list_by_kind(spark, tree).collect()}
+    assert listed == {"vector", "raster", "time", None}
+
+
+@pytest.mark.parametrize(
+    "path, root, below",
+    [
+        ("file:/x/a/x/b", "/x", "a/x/b"),
+        ("hdfs://x/x/a", "/x/", "a"),
+        ("hdfs://n:8020/x/a", "hdfs://n:8020/x", "a"),
+        ("s3a://bucket/x/y/a", "s3a://bucket/x//y", "a"),
+        ("s3a://bucket/a", "s3a://bucket", "a"),
+        ("file:///x/a", "file:/x", "a"),
+    ],
+)
+def test_relative_paths(spark, path, root, below):
+    df = spark.createDataFrame([(path,)], "path string")
+    assert df.select(listings.relative_path(F.col("path"), root)).first()[0] == below
+
+
+def test_relative_paths_need_an_absolute_root():
+    with pytest.raises(ValueError):
+        listings.relative_path(F.col("path"), "x/y")
+
+
+def test_shared_folder_comes_from_the_session(spark):
+    assert session.shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
+    assert session.fresh_dir(spark, "x").startswith(session.shared_dir(spark) + "/x-")
 
 
 def test_listing_does_not_read_content(spark, tree):
