@@ -6,9 +6,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+# Times with every digit and in UTC; the defaults would cut them to milliseconds.
+_TEXT_OPTIONS = {
+    "ignoreNullFields": "false",
+    "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
+    "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
+    "timeZone": "UTC",
+}
+
+
 def row_text(df: DataFrame, *columns: str) -> Column:
     """The named columns (all by default) as JSON text with nulls kept."""
-    return F.to_json(F.struct(*(columns or df.columns)), {"ignoreNullFields": "false"})
+    return F.to_json(F.struct(*[f"`{c}`" for c in columns or df.columns]), _TEXT_OPTIONS)
 
 
 def row_digest(df: DataFrame, *columns: str) -> Column:
@@ -22,15 +31,14 @@ def table_fingerprint(df: DataFrame, *columns: str) -> DataFrame:
     Independent of row order and partitioning. The two halves are summed apart as
     64-bit numbers, which holds for 2**47 rows, and put together as a decimal.
     """
-    digest = row_digest(df, *columns)
-
-    def half(first: int) -> Column:
-        return F.sum(F.conv(F.substring(digest, first, 4), 16, 10).cast("bigint"))
-
-    wide = "decimal(38,0)"
-    sums = df.agg(F.count(F.lit(1)).alias("n"), half(1).alias("high"), half(5).alias("low"))
+    bits = F.conv(F.substring(row_digest(df, *columns), 1, 8), 16, 10).cast("bigint")
+    sums = df.select(bits.alias("bits")).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum(F.shiftright("bits", 16)).alias("high"),
+        F.sum(F.col("bits").bitwiseAND(65535)).alias("low"),
+    )
     total = F.col("high").cast("decimal(19,0)") * F.lit(65536).cast("decimal(5,0)") + F.col("low")
-    return sums.select("n", F.coalesce(total, F.lit(0)).cast(wide).alias("fingerprint"))
+    return sums.select("n", F.coalesce(total, F.lit(0)).cast("decimal(38,0)").alias("fingerprint"))
 
 
 def manifest_lines(manifest: DataFrame) -> DataFrame:

@@ -38,16 +38,8 @@ class Restored(NamedTuple):
 # -- a store of tables with a pointer to the current generation -------------------
 
 def _pointer(spark: SparkSession, store: str):
-    rows = (
-        spark.read.schema(POINTER_SCHEMA)
-        .parquet(f"{store}/pointer")
-        .orderBy(F.desc("generation"))
-        .limit(1)
-        .collect()
-    )
-    if not rows:
-        raise RestoreError(f"no table was ever published in {store}")
-    return rows[0]
+    pointers = spark.read.schema(POINTER_SCHEMA).parquet(f"{store}/pointer")
+    return pointers.orderBy(F.desc("generation")).first()
 
 
 def _switch(spark: SparkSession, store: str, generation: int, path: str, names: list[str]) -> None:

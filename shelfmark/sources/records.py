@@ -47,9 +47,14 @@ MODEL_FIELDS = {
     ),
 }
 
-# Microseconds and zone, so that a time survives the round trip.
-_TIME_TEXT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
-_WRITE_OPTIONS = {"ignoreNullFields": "false", "timestampFormat": _TIME_TEXT, "timeZone": "UTC"}
+# Microseconds and zone, so that a time survives the round trip. A zone-less time is UTC
+# by our reading, so it is written with a zone too.
+_WRITE_OPTIONS = {
+    "ignoreNullFields": "false",
+    "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
+    "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'",
+    "timeZone": "UTC",
+}
 
 
 def read_records(
@@ -133,7 +138,7 @@ def read_model(
     return lines.where(F.col("model") == model).select("pk", *_typed_columns(schema))
 
 
-def fields_json(*values: Column) -> Column:
+def fields_json(*values: Column | str) -> Column:
     """Named columns as the JSON text of ``fields``, nulls kept, times in UTC."""
     return F.to_json(F.struct(*values), _WRITE_OPTIONS)
 
@@ -143,17 +148,10 @@ def to_records(
 ) -> DataFrame:
     """Rows of one table as ``model``, ``pk`` and ``fields`` (JSON text, nulls kept)."""
     names = fields if fields is not None else [c for c in df.columns if c != pk]
-    # A zone-less time is UTC by our reading, so it is written with a zone too.
-    values = [
-        F.concat(F.replace(F.col(c).cast("string"), F.lit(" "), F.lit("T")), F.lit("Z")).alias(c)
-        if isinstance(df.schema[c].dataType, T.TimestampNTZType)
-        else F.col(c)
-        for c in names
-    ]
     return df.select(
         F.lit(model).alias("model"),
         F.col(pk).cast("bigint").alias("pk"),
-        fields_json(*values).alias("fields"),
+        fields_json(*[f"`{c}`" for c in names]).alias("fields"),
     )
 
 

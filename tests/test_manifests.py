@@ -59,6 +59,24 @@ def test_null_and_empty_text_differ(spark):
     assert df.select(manifests.row_digest(df).alias("d")).distinct().count() == 2
 
 
+def test_digests_see_every_digit_of_a_time_in_any_session_zone(spark):
+    texts = ["2024-01-01 00:00:00.000001", "2024-01-01 00:00:00.000002", "2024-01-01 00:00:00"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    seen = set()
+    try:
+        for other in ("UTC", "Asia/Tokyo"):
+            spark.conf.set("spark.sql.session.timeZone", other)
+            for kind, mark in (("timestamp", "Z"), ("timestamp_ntz", "")):
+                typed = df.select(F.concat("t", F.lit(mark)).cast(kind).alias("a.t"))
+                digests = frozenset(r.d for r in typed.select(manifests.row_digest(typed).alias("d")).collect())
+                assert len(digests) == 3
+                seen.add((kind, digests))
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert len(seen) == 2
+
+
 def test_checksum_lines(spark):
     digest = "0123456789abcdef0123456789ABCDEF"
     lines = [f"{digest}  a b.zip", f"{digest} *c.zip", f"{digest} /d/e.zip", "no checksum here", "", f"{digest} "]
