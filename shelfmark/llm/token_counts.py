@@ -8,9 +8,9 @@ unknown one, scored below every piece, tried last. Unknown stretches count as th
 the vocabulary has byte pieces, else as one.
 
 The pieces and scores of a public sentencepiece file are taken as a unigram vocabulary. A
-text is scored as its stretches of spaces and following characters: no piece joins the end of
-one with the beginning of the next (checked on loading), so their best paths add up. Equal
-stretches are scored once per run.
+text is scored as its stretches of spaces and following characters where no token can join the
+end of one with the beginning of the next (checked on loading; else as a whole), so their best
+paths add up. Equal stretches are scored once per run.
 
 Rows: a null text is empty and counts 0. Repeated rows count each on their own, other columns
 pass through whatever their names, an empty table gives an empty one.
@@ -51,6 +51,8 @@ class Unigram:
                 self.automaton.add_word(piece, (len(piece), score))
         self.automaton.make_automaton()
         joined = any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.scores)
+        # Nor may an unknown stretch that is one token go on past a space.
+        joined |= not byte_pieces and SPACE not in self.single
         self.stretches = re.compile(".+" if joined else f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+", re.DOTALL).findall
         self.kept: dict[str, int] = {}
 

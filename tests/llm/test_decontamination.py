@@ -1,0 +1,72 @@
+"""Benchmark passages against brute force."""
+
+import random
+import re
+
+import small
+
+from shelfmark.llm import decontamination as dec
+
+WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
+
+
+def plain_words(text):
+    return WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+
+
+def plain_hits(texts, items, window):
+    out = []
+    for text in texts:
+        words, hit, names = plain_words(text), set(), set()
+        for name, item in items:
+            w = plain_words(item)
+            n = min(window, len(w))
+            found = {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if n else set()
+            for i in range(len(words) - n + 1):
+                if tuple(words[i : i + n]) in found:
+                    hit |= set(range(i, i + n))
+                    names.add(name)
+        out.append((len(words), len(hit), names))
+    return out
+
+
+def check(spark, texts, items, window):
+    benchmark = spark.createDataFrame(items, "item_id string, text string")
+    found = dec.with_matches(small.documents(spark, texts), benchmark, "found", window=window)
+    rows = small.by_id(found.select("doc_id", "found.*", dec.n_hit(found["found.matches"]).alias("n_hit")))
+    for i, (n, hit, names) in enumerate(plain_hits(texts, items, window)):
+        assert (rows[i].n_words, rows[i].n_hit, {m.item for m in rows[i].matches}) == (n, hit, names), (i, texts[i])
+    return rows
+
+
+def test_random_texts(spark, monkeypatch):
+    rnd = random.Random(8)
+    words = [f"{c}{i}" for c in "abé" for i in range(4)]
+    items = [(str(i), " ".join(rnd.choices(words, k=rnd.randint(1, 14)))) for i in range(30)]
+    items += [("again", items[3][1].upper()), ("none", " .,! "), ("null", None)]
+    texts = [" ".join(rnd.choices(words, k=rnd.randint(0, 50))) for _ in range(60)]
+    texts += [f"x {items[k][1]} y, {items[k + 1][1]}" for k in range(20)] + ["", None]
+    check(spark, texts, items, 6)
+    monkeypatch.setattr(dec, "BLOCK_BYTES", 200)  # several blocks
+    monkeypatch.setattr(dec, "SHARD_CHARS", 150)
+    check(spark, texts, items, 4)
+
+
+def test_longest_matches_and_their_places(spark):
+    item = [f"i{k}" for k in range(30)]
+    texts = ["a b " + " ".join(item[3:20]) + " c " + " ".join(item[25:30] + ["d"] + item[:10]), " ".join(item[:9])]
+    rows = check(spark, texts, [("7", " ".join(item))], 10)
+    assert {(m.start, m.end) for m in rows[0].matches} == {(2, 19), (26, 36)}
+    assert rows[1].matches == []
+
+
+def test_awkward_rows(spark):
+    rows = small.awkward(spark)
+    none = spark.createDataFrame([], "item_id long, text string")
+    assert dec.decontaminated(rows, none).count() == 9
+    odd = spark.createDataFrame([(None, "w5 w6"), (None, "w5 w6"), (2, None), (3, "")], "item_id long, text string")
+    left = dec.decontaminated(rows, odd)
+    assert left.columns == rows.columns and left.count() == 6
+    assert dec.decontaminated(small.empty(spark), odd).count() == 0
+    named = dec.with_matches(rows.where("doc_id = 3"), odd, "found").select("found.matches").first().matches
+    assert {m.item for m in named} == {""}

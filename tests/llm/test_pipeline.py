@@ -1,0 +1,92 @@
+"""The stages against brute-force versions of them, and on tables without rows."""
+
+import numpy as np
+import public_tokenizers
+import pytest
+import small
+import test_decontamination
+import test_pii
+import test_simhash
+from tokenizers import Tokenizer
+
+import corpus_pipeline
+from shelfmark.llm import quality_rules
+
+SF_DIR = "/root/testdata/sf0.01"
+
+
+@pytest.fixture(scope="module")
+def stages(spark, tmp_path_factory):
+    """What each stage returns, written and read again."""
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
+    out = [docs]
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        path = str(tmp_path_factory.mktemp("stages") / str(k))
+        stage(spark, out[-1], SF_DIR).write.parquet(path)
+        out.append(spark.read.parquet(path))
+    return out
+
+
+def rows(df):
+    return {r.doc_id: r for r in df.collect()}
+
+
+def test_columns(stages):
+    assert all(s.columns == stages[0].columns for s in stages[:-1])
+
+
+def test_quality(spark, stages):
+    model = quality_rules.fitted(stages[0], spark.read.parquet(f"{SF_DIR}/labels.parquet"))
+    wanted = set()
+    for i, r in rows(stages[0]).items():
+        _, lines, words = quality_rules._split(r.text)
+        labels = model.decode(quality_rules.line_features(lines, words))
+        n = sum(map(len, words))
+        content = sum(len(w) for w, y in zip(words, labels) if not y)
+        again = quality_rules.repeated_words([w for x in words for w in x])
+        if n >= 50 and 100 * again <= 50 * n and content >= 0.5 * n:
+            wanted.add(i)
+    assert set(rows(stages[1])) == wanted and wanted
+
+
+def test_near_copies(stages):
+    before = sorted(rows(stages[1]).items())
+    fps = [test_simhash.plain_fingerprint(r.text) for _, r in before]
+    wanted = {before[g][0] for g in test_simhash.plain_groups(fps)}
+    assert rows(stages[2]) == {i: r for i, r in before if i in wanted}
+
+
+def test_contaminated(spark, stages):
+    items = [(str(r.item_id), r.text) for r in spark.read.parquet(f"{SF_DIR}/benchmark.parquet").collect()]
+    before = rows(stages[2])
+    hits = test_decontamination.plain_hits([r.text for r in before.values()], items, 10)
+    wanted = {i: r for (i, r), (_, n, _) in zip(before.items(), hits) if not n}
+    assert rows(stages[3]) == wanted and len(wanted) < len(before)
+
+
+def test_redacted(stages):
+    before, after = rows(stages[3]), rows(stages[4])
+    assert set(before) == set(after)
+    changed = 0
+    for i, r in before.items():
+        base = test_pii.plain_base(r.text)
+        assert not test_pii.plain_base(after[i].text)
+        changed += bool(base)
+        if not base and r.text == after[i].text:
+            assert after[i] == r
+    assert changed
+
+
+def test_encoded(stages):
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    before, after = rows(stages[4]), rows(stages[5])
+    assert set(before) == set(after)
+    for i, r in before.items():
+        assert np.frombuffer(after[i]["ids"], "<u4").tolist() == library.encode(r.text, add_special_tokens=False).ids
+
+
+def test_awkward_and_empty_tables(spark):
+    for docs in (small.awkward(spark), small.empty(spark)):
+        for _, stage in corpus_pipeline.STAGES:
+            docs = stage(spark, docs, SF_DIR)
+        docs.collect()

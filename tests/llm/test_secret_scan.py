@@ -1,0 +1,109 @@
+"""Fixed formats against plain expressions, guess costs against all segmentations."""
+
+import math
+import random
+import re
+
+import public_tokenizers
+import pytest
+import small
+from pyspark.sql import functions as F
+
+from shelfmark.llm import queries
+from shelfmark.llm import secret_scan as scan
+
+WORDS = {"pass": 1.0, "word": 1.5, "secret": 2.0}
+ASSIGN = re.compile(
+    r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+)
+
+
+def plain_base(text):
+    text = text or ""
+    found = [(m.start(), 0, m.end(), "assign") for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
+    found += [(m.start(), 1, m.end(), "access") for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+    found += [(m.start(), 2, m.end(), "hex") for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24]
+    return [(a, b, k) for a, _, b, k in sorted(found)]
+
+
+def test_base_spans():
+    rnd = random.Random(4)
+    parts = ["password", "PassWord", "api_key", "apiKey", "token", "ſecret", "toKen", "=", ":", " ", '"', "'", "abc123", "AKIA",
+             "ABCDEFGH1234567890", "0123456789abcdef", "deadbeef", "-", "é", "AKIAAKIA"]
+    for _ in range(20000):
+        text = "".join(rnd.choices(parts, k=rnd.randint(1, 9)))
+        assert scan.spans_of(text, WORDS, 1e9)[0] == plain_base(text), text
+
+
+def cheapest(value, words):
+    """All segmentations, part by part."""
+    n, lower = len(value), value.lower()
+    joint, walks, turns = math.log10(2), *scan.walk_ends(lower)
+
+    def parts(i):
+        yield i + 1, scan.brute_cost(value[i]), False
+        for j in range(i + 3, min(n, i + scan.LONGEST_WORD) + 1):
+            for form, extra in ((lower, 0.0), (lower.translate(scan.DISGUISE), joint)):
+                if form[i:j] in words:
+                    capitals = sum(c.isupper() for c in value[i:j])
+                    yield j, words[form[i:j]] + extra + (joint * min(capitals, j - i - capitals + 1) if capitals else 0), True
+        for unit in range(1, scan.LONGEST_UNIT + 1):
+            times = 1
+            while value[i + unit * times : i + unit * (times + 1)] == value[i : i + unit] and i + unit * (times + 1) <= n:
+                times += 1
+            if times > 1 and unit * times >= 3:
+                yield i + unit * times, sum(map(scan.brute_cost, value[i : i + unit])) + math.log10(times), True
+        if date := scan.DATE.match(value, i):
+            yield date.end(), math.log10(120 if date.end() - i == 4 else 120 * 366), True
+        j = walks[i]
+        if j - i >= 4:
+            yield j, math.log10(36) + math.log10(j - i) + (turns[j - 1] - turns[i + 1]) * math.log10(4), True
+
+    def rest(i):
+        return 0.0 if i == n else min(c + (joint if named and i else 0) + rest(j) for j, c, named in parts(i))
+
+    return rest(0)
+
+
+def test_guess_cost_is_the_cheapest():
+    rnd = random.Random(5)
+    for _ in range(400):
+        value = "".join(rnd.choices(["pass", "w0rd", "Secret", "ab", "aa", "1999", "qwer", "x", "7", "$"], k=rnd.randint(1, 4)))[:12]
+        assert math.isclose(scan.guess_cost(value, WORDS), cheapest(value, WORDS)), value
+
+
+def test_weak_and_strong_values():
+    words = scan.word_costs(public_tokenizers.path("word_bpe_49k.json"))
+    weak = ["password", "Passw0rd1", "qwertyuiop", "aaaaaaaaaaaa", "20240131", "correcthorse", "abcabcabcabc"]
+    strong = ["xK9#mQ2$vL7", "e1c093f22d3955eaac", "zR8!pT5-wN3"]
+    assert all(scan.guess_cost(v, words) < scan.LEAST_COST for v in weak)
+    assert all(scan.guess_cost(v, words) >= scan.LEAST_COST for v in strong)
+
+
+def test_values_in_context_are_added():
+    text = "the pwd: xK9#mQ2$vL7 and pwd: password and passphrase is zR8!pT5-wN3; token=abcdef123456"
+    _, spans = scan.spans_of(text, scan.word_costs(public_tokenizers.path("word_bpe_49k.json")), scan.LEAST_COST)
+    assert [(text[a:b], k) for a, b, k in spans] == [
+        ("xK9#mQ2$vL7", "value"), ("zR8!pT5-wN3", "value"), ("token=abcdef123456", "assign"),
+    ]
+
+
+@pytest.mark.parametrize("value", ["a" * 100_000, "ab" * 50_000, "qwerty" * 20_000])
+def test_long_values_end(value):
+    assert scan.guess_cost(value, WORDS) > 0
+
+
+def test_whole_table_and_awkward_rows(spark):
+    sf_dir = "/root/testdata/sf0.01"
+    rows = small.by_id(queries.op9_secret_scan(spark, sf_dir))
+    added = 0
+    for d in spark.read.parquet(f"{sf_dir}/documents.parquet").collect():
+        base = plain_base(d.text)
+        listed = rows[d.doc_id].spans.split(",") if rows[d.doc_id].spans else []
+        assert [f"{k}:{a}:{b}" for a, b, k in base] == [s for s in listed if not s.startswith("value:")]
+        assert rows[d.doc_id].n_hex == sum(k == "hex" for _, _, k in base)
+        added += len(listed) - len(base)
+    assert added < 20  # clean texts are left alone
+    for r in small.awkward(spark).withColumn("found", scan.scanned(F.col("text"))).collect():
+        assert r.found.base == [] and r.found.spans == []
+    assert small.empty(spark).select(scan.scanned(F.col("text"))).count() == 0
