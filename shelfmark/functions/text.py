@@ -44,6 +44,20 @@ def rewrite_elements(df: DataFrame, column: str, values: Mapping[str, str]) -> D
     return out.withColumn(column, F.coalesce(F.col(draft), F.col(column))).drop(draft)
 
 
+def rewrite_documents(
+    df: DataFrame, column: str, document: Column, values: Mapping[str, Mapping[str, str]]
+) -> DataFrame:
+    """The same with tags and texts of their own for each document; other rows stay."""
+    own = "__own"
+    out = df.withColumn(own, document)
+    for name, texts in values.items():
+        kept = "__kept"
+        out = rewrite_elements(out.withColumn(kept, F.col(column)), column, texts)
+        chosen = F.when(F.col(own) == name, F.col(column)).otherwise(F.col(kept))
+        out = out.withColumn(column, chosen).drop(kept)
+    return out.drop(own)
+
+
 class Rule(NamedTuple):
     """Replace every ``find`` by ``put``."""
 
@@ -57,7 +71,7 @@ def apply_rules(value: Column, rules: Sequence[Rule]) -> Column:
     for rule in rules:
         if rule.any_case:
             value = F.regexp_replace(
-                value, "(?i)" + re.escape(rule.find), _replacement(rule.put)
+                value, "(?iu)" + re.escape(rule.find), _replacement(rule.put)
             )
         else:
             value = F.replace(value, F.lit(rule.find), F.lit(rule.put))

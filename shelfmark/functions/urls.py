@@ -76,7 +76,7 @@ def _holds_text(kind: T.DataType) -> bool:
     if isinstance(kind, T.ArrayType):
         return _holds_text(kind.elementType)
     if isinstance(kind, T.MapType):
-        return _holds_text(kind.valueType)
+        return _holds_text(kind.keyType) or _holds_text(kind.valueType)
     if isinstance(kind, T.StructType):
         return any(_holds_text(f.dataType) for f in kind.fields)
     return False
@@ -88,7 +88,11 @@ def _rewritten(value: Column, kind: T.DataType, source: str, target: str) -> Col
     if isinstance(kind, T.ArrayType):
         return F.transform(value, lambda x: _rewritten(x, kind.elementType, source, target))
     if isinstance(kind, T.MapType):
-        return F.transform_values(value, lambda _, x: _rewritten(x, kind.valueType, source, target))
+        if _holds_text(kind.valueType):
+            value = F.transform_values(value, lambda _, x: _rewritten(x, kind.valueType, source, target))
+        if _holds_text(kind.keyType):
+            value = F.transform_keys(value, lambda k, _: _rewritten(k, kind.keyType, source, target))
+        return value
     for field in kind.fields:
         if _holds_text(field.dataType):
             inner = _rewritten(value.getField(field.name), field.dataType, source, target)
@@ -102,7 +106,12 @@ def _mentions(value: Column, kind: T.DataType, source: str) -> Column:
     elif isinstance(kind, T.ArrayType):
         found = F.exists(value, lambda x: _mentions(x, kind.elementType, source))
     elif isinstance(kind, T.MapType):
-        found = F.exists(F.map_values(value), lambda x: _mentions(x, kind.valueType, source))
+        keys = T.ArrayType(kind.keyType), F.map_keys(value)
+        values = T.ArrayType(kind.valueType), F.map_values(value)
+        found = F.lit(False)
+        for of, part in (keys, values):
+            if _holds_text(of):
+                found = found | _mentions(part, of, source)
     else:
         found = F.lit(False)
         for field in kind.fields:
@@ -125,7 +134,8 @@ def rewrite_base_url(
 ) -> DataFrame:
     """Replace the literal ``source`` by ``target`` in every text of every row.
 
-    One projection, nested arrays, structs and map values included. With
+    One projection, nested arrays, structs, map keys and map values included. Two keys of
+    a map that become one stop the job unless ``spark.sql.mapKeyDedupPolicy`` says which wins. With
     ``changed`` a flag column of that name tells which rows held the source.
     """
     if not source:

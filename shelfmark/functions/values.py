@@ -57,8 +57,28 @@ def utc_instant(df: DataFrame, column: str) -> Column:
 
 
 def iso_millis(ts: Column) -> Column:
-    """ISO time cut to milliseconds with a ``Z``; the session zone must be UTC."""
-    return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    """ISO time in UTC cut to milliseconds, with a ``Z``; a zone-less time is UTC.
+
+    The session zone plays no part: an instant is taken apart by arithmetic, a zone-less
+    time by its text.
+    """
+    millis = F.unix_millis(ts.cast("timestamp"))
+    of_day = F.pmod(millis, F.lit(1000 * SECONDS_PER_DAY))
+    day = F.date_add(F.lit("1970-01-01").cast("date"), ((millis - of_day) / (1000 * SECONDS_PER_DAY)).cast("int"))
+
+    def digits(unit: int, most: int, width: int) -> Column:
+        return F.lpad(F.floor(F.pmod(of_day, F.lit(most)) / unit).cast("string"), width, "0")
+
+    instant = F.concat(
+        day.cast("string"), F.lit("T"), digits(3_600_000, 86_400_000, 2), F.lit(":"), digits(60_000, 3_600_000, 2),
+        F.lit(":"), digits(1000, 60_000, 2), F.lit("."), digits(1, 1000, 3), F.lit("Z"),
+    )
+    text = ts.cast("string")
+    zoneless = F.concat(
+        F.substring(text, 1, 10), F.lit("T"), F.substring(text, 12, 8), F.lit("."),
+        F.rpad(F.substring(text, 21, 3), 3, "0"), F.lit("Z"),
+    )
+    return F.when(F.typeof(ts) == "timestamp_ntz", zoneless).otherwise(instant)
 
 
 def compact_time(epoch_text: Column) -> Column:

@@ -43,20 +43,29 @@ def table_fingerprint(df: DataFrame, *columns: str) -> DataFrame:
 
 def manifest_lines(manifest: DataFrame) -> DataFrame:
     """``md5`` and ``path`` as the lines that checksum tools write and read."""
-    return manifest.select(F.concat("md5", F.lit("  "), "path").alias("value"))
+    path = F.col("path")
+    escaped = F.replace(F.replace(path, F.lit("\\"), F.lit("\\\\")), F.lit("\n"), F.lit("\\n"))
+    mark = F.when(path.rlike(r"[\\\n]"), F.lit("\\")).otherwise(F.lit(""))
+    return manifest.select(F.concat(mark, "md5", F.lit("  "), escaped).alias("value"))
 
 
 def parse_manifest_lines(lines: DataFrame, column: str = "value") -> DataFrame:
     """``md5`` and ``path`` of checksum lines: digits, a blank, then a blank, a star or nothing.
 
-    A line of any other shape keeps a null md5 and its whole text as path, so that it
-    shows up as missing rather than vanish.
+    A backslash before the digits says that line ends and backslashes in the name are
+    written with one. Comment lines are passed over. A line of any other shape keeps a null
+    md5 and its whole text as path, so that it shows up as missing rather than vanish.
     """
-    shape = r"^([0-9a-fA-F]{32}) [ *]?(.+)$"
+    shape = r"^\\?([0-9a-fA-F]{32}) [ *]?(.+)$"
     line = F.col(column)
     good = line.rlike(shape)
-    return lines.where(line != "").select(
-        F.when(good, F.regexp_extract(line, shape, 2)).otherwise(line).alias("path"),
+    written = F.regexp_extract(line, shape, 2)
+    # No name holds the character 0, which stands for a backslash meanwhile.
+    name = F.replace(written, F.lit("\\\\"), F.lit("\0"))
+    name = F.replace(F.replace(name, F.lit("\\n"), F.lit("\n")), F.lit("\0"), F.lit("\\"))
+    path = F.when(line.startswith("\\"), name).otherwise(written)
+    return lines.where((line != "") & ~line.startswith("#")).select(
+        F.when(good, path).otherwise(line).alias("path"),
         F.when(good, F.lower(F.regexp_extract(line, shape, 1))).alias("md5"),
     )
 

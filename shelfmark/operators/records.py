@@ -4,26 +4,26 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from functools import reduce
+from operator import and_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Into how many groups rows without a reference are spread before a join.
-NULL_SPREAD = 1024
-
 
 def last_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
-    """The whole row with the greatest ``order`` per key.
+    """The whole row with the greatest ``order`` per key; rows with a null in a key all stay.
 
-    ``max_by`` folds within each task before the exchange, so a key that is loaded
-    over and over sends one row per task.
+    A record without a key replaces nothing and is replaced by nothing. The rank is cut
+    within each task before the exchange, so a key that is loaded over and over sends one
+    row per task. Equal orders are settled by a hash of the row, not by task order.
     """
-    rest = [c for c in df.columns if c not in keys]
-    if not rest:
-        return df.dropDuplicates(list(keys))
-    last = F.max_by(F.struct(*rest), F.struct(*order)).alias("last")
-    return df.groupBy(*keys).agg(last).select(*keys, "last.*").select(*df.columns)
+    known = reduce(and_, [F.col(k).isNotNull() for k in keys])
+    latest = Window.partitionBy(*keys).orderBy(
+        *[F.col(o).desc() if isinstance(o, str) else o.desc() for o in order], F.xxhash64(*_atomic(df)).desc()
+    )
+    ranked = df.where(known).withColumn("__rank", F.row_number().over(latest))
+    return ranked.where("__rank = 1").drop("__rank").unionByName(df.where(~known))
 
 
 def load_by_key(
@@ -76,25 +76,19 @@ def resolve_reference(
     ``optional`` rows whose reference is null or unknown drop out; with it they stay,
     with nulls. Spark broadcasts the referred side when it is below the threshold.
 
-    Rows with a null reference match nothing, yet a shuffle would send all of them to
-    one task. They get a second join key made from their own columns, so they spread;
-    it depends on the row only, so a repeated task sends it the same way.
+    Rows with a null reference match nothing, so they take no part in the join and in its
+    shuffle; where they stay, they are put back beside it.
     """
     target = referred.select(
         F.col(key).alias("__key"), *[F.col(old).alias(new) for new, old in take.items()]
     )
-    left = referring.withColumn("__reference", reference)
-    on = F.col("__reference") == F.col("__key")
-    if optional:
-        spread = F.pmod(F.xxhash64(*_atomic(referring)), F.lit(NULL_SPREAD))
-        left = left.withColumn(
-            "__spread", F.when(F.col("__reference").isNull(), spread).otherwise(F.lit(0))
-        )
-        # Always 0, but not a literal: the optimizer would take that out of the join keys.
-        target = target.withColumn("__zero", F.pmod(F.xxhash64("__key"), F.lit(1)))
-        on = on & (F.col("__spread") == F.col("__zero"))
-    joined = left.join(target, on, "left" if optional else "inner")
-    return joined.select(*referring.columns, *take)
+    left = referring.withColumn("__reference", reference).where(F.col("__reference").isNotNull())
+    joined = left.join(target, F.col("__reference") == F.col("__key"), "left" if optional else "inner")
+    found = joined.select(*referring.columns, *take)
+    if not optional:
+        return found
+    empty = [F.lit(None).cast(target.schema[new].dataType).alias(new) for new in take]
+    return found.unionByName(referring.where(reference.isNull()).select("*", *empty))
 
 
 def dangling_references(

@@ -12,6 +12,8 @@ from shelfmark.operators.selection import time_literal
 
 # Up to this many rows per group Spark cuts a ranked group before the exchange.
 GROUP_LIMIT_SETTING = "spark.sql.optimizer.windowGroupLimitThreshold"
+# Into how many parts a folder is dealt where more rows than that are spared.
+PARTS = 1024
 
 
 def older_than_days(df: DataFrame, column: str, days: int, now: datetime) -> Column:
@@ -33,34 +35,55 @@ def expired_files(
     folder: str = "folder",
     path: str = "path",
     mtime: str = "mtime",
+    root: str | None = None,
+    kind: str = "kind",
 ) -> DataFrame:
     """Files to delete: older than ``days``, with the newest ``keep`` per folder spared.
 
+    With ``root`` only plain files directly in that folder count, hidden ones included;
+    rows whose ``kind`` (where the listing has one) is not "f" and files further down are
+    never returned.
+
     ``keep_scope="expired"`` spares the newest of the expired files, ``"all"`` the
     newest of all files. Equal times fall to the greater path. A path must be unique
     in its folder.
 
     The rank filter leaves at most ``keep`` rows per folder in every task before the
-    exchange, so a folder that holds most files stays spread out. The spared few are
-    then taken out by path, which spreads evenly too.
+    exchange, so a folder that holds most files stays spread out; where that is more than
+    Spark cuts there, parts of a folder are ranked first. The spared are then taken out by
+    path, which spreads evenly too.
     """
     if keep_scope not in ("expired", "all"):
         raise ValueError(f"keep_scope is 'expired' or 'all', not {keep_scope!r}")
+    if root is not None:
+        plain = F.col(kind) == "f" if kind in listing.columns else F.lit(True)
+        listing = listing.where(directly_in(F.col(path), root) & plain)
+        folder = "__root"
+        listing = listing.withColumn(folder, F.lit(root))
+    columns = [c for c in listing.columns if c != "__root"]
     expired = listing.where(older_than_days(listing, mtime, days, now))
     if keep <= 0:
-        return expired
+        return expired.select(*columns)
+    newest = [F.desc(mtime), F.desc(path)]
+    files = (expired if keep_scope == "expired" else listing).select(folder, path, mtime)
     if keep > int(listing.sparkSession.conf.get(GROUP_LIMIT_SETTING)):
-        raise ValueError(f"raise {GROUP_LIMIT_SETTING} to {keep}, or whole folders meet in one task")
-    newest_first = Window.partitionBy(folder).orderBy(F.desc(mtime), F.desc(path))
+        part = F.pmod(F.xxhash64(path), F.lit(PARTS))
+        files = files.withColumn("rank", F.row_number().over(Window.partitionBy(folder, part).orderBy(*newest)))
+        files = files.where(F.col("rank") <= keep)
+    newest_first = Window.partitionBy(folder).orderBy(*newest)
     spared = (
-        (expired if keep_scope == "expired" else listing)
-        .select(folder, path, mtime)
-        .withColumn("rank", F.row_number().over(newest_first))
+        files.withColumn("rank", F.row_number().over(newest_first))
         .where(F.col("rank") <= keep)
         .select(F.col(folder).alias("spared_folder"), F.col(path).alias("spared_path"))
     )
     same = F.col(folder).eqNullSafe(F.col("spared_folder")) & (F.col(path) == F.col("spared_path"))
-    return expired.join(spared, same, "left_anti")
+    return expired.join(spared, same, "left_anti").select(*columns)
+
+
+def directly_in(path: Column, root: str) -> Column:
+    """True for paths one step below ``root``, whatever their name."""
+    base = root.rstrip("/") + "/"
+    return path.startswith(base) & path.rlike("[^/]$") & (F.instr(F.substring(path, len(base) + 1, 1 << 30), "/") == 0)
 
 
 def expired_dirs(
@@ -75,6 +98,28 @@ def expired_dirs(
     return listing.where((F.col(kind) == "d") & older_than_days(listing, ctime, days, now))
 
 
+def expired_trees(
+    listing: DataFrame,
+    now: datetime,
+    *,
+    days: int = 30,
+    path: str = "path",
+    kind: str = "kind",
+    ctime: str = "ctime",
+) -> DataFrame:
+    """Everything that goes with the expired directories: they and all that lies below them.
+
+    Each path is joined by its folders, by equality, with the expired directories; a fresh
+    file in an old directory goes too.
+    """
+    expired = expired_dirs(listing, now, days=days, kind=kind, ctime=ctime).select(F.col(path).alias("__dir")).distinct()
+    parts = F.split(path, "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
+    below = listing.select(F.col(path).alias("__path"), F.explode(above).alias("__dir"))
+    gone = below.join(expired, "__dir", "left_semi").select("__path").distinct()
+    return listing.join(gone, F.col(path) == F.col("__path"), "left_semi")
+
+
 def within_ttl(df: DataFrame, column: str, now: datetime, days: int = 7) -> DataFrame:
     """Rows not older than the time to live."""
     return df.where(F.col(column) >= time_literal(df.schema[column].dataType, now - timedelta(days=days)))

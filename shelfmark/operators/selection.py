@@ -106,11 +106,14 @@ def parse_time_filter(spec: str) -> tuple[str, datetime]:
 
 
 def time_literal(kind: T.DataType, when: datetime) -> Column:
-    """A UTC instant as a literal of the column's own type, so that it is pushed down."""
+    """A UTC instant as a literal of the column's own type, so that it is pushed down.
+
+    A date stands for its midnight; the literal keeps its time of day and the date is widened.
+    """
     if when.tzinfo is not None:
         when = when.astimezone(timezone.utc).replace(tzinfo=None)
     text = when.isoformat(sep=" ")
-    if isinstance(kind, T.TimestampNTZType):
+    if isinstance(kind, (T.TimestampNTZType, T.DateType)):
         return F.lit(text).cast("timestamp_ntz")
     if isinstance(kind, T.TimestampType):
         return F.lit(text + "Z").cast("timestamp")
@@ -134,8 +137,12 @@ def outside_paths(path: Column, excluded: Sequence[str]) -> Column:
 
 
 def of_kinds(kind: Column, **enabled: bool) -> Column:
-    """Toggles: ``of_kinds(col, vector=True, raster=False)`` keeps the enabled kinds."""
-    return kind.isin(*[name for name, on in enabled.items() if on])
+    """Toggles: ``of_kinds(col, vector=True, raster=False)`` drops the disabled kinds only.
+
+    A toggle says nothing about kinds that it does not name, nor about a null kind.
+    """
+    disabled = [name for name, on in enabled.items() if not on]
+    return kind.isNull() | ~kind.isin(*disabled) if disabled else F.lit(True)
 
 
 def browse(df: DataFrame, kind: str, column: str = "kind") -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.functions import text, urls, values
 from shelfmark.operators import counts, ingest, manifests, records, retention, selection
-from shelfmark.plans import restore
+from shelfmark.plans import restore, seeding
 from shelfmark.session import fresh_dir
 from shelfmark.sources import listings, prepared, snapshots
 from shelfmark.sources import records as record_files
@@ -109,6 +109,21 @@ def layer_select(spark, sf_dir):
     ).drop("kind")
 
 
+@registered("""
+    SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'vector' WHEN 'O' THEN
+               CASE WHEN o_orderpriority = '1-URGENT' THEN 'time' ELSE 'raster' END END AS kind
+    FROM orders WHERE NOT (o_orderstatus = 'O' AND o_orderpriority <> '1-URGENT')
+""")
+def layer_select_kinds(spark, sf_dir):
+    """Switching one kind off leaves kinds without a switch, and layers without a kind."""
+    status = F.col("o_orderstatus")
+    kind = F.when(status == "F", "vector").when(
+        status == "O", F.when(F.col("o_orderpriority") == "1-URGENT", "time").otherwise("raster")
+    )
+    layers = table(spark, sf_dir, "orders").select("o_orderkey", kind.alias("kind"))
+    return selection.select_layers(layers, raster=False)
+
+
 @registered("""
     SELECT doc_id, source FROM documents
     WHERE (source GLOB 'src1*' OR source IN ('src2', 'src3')) AND NOT source IN ('src11', 'src13')
@@ -245,6 +260,74 @@ def fixture_upsert(spark, sf_dir):
     return records.load_by_key([first, later], ["model", "pk"], ["o_orderdate", "o_orderkey"])
 
 
+@registered("""
+    WITH later AS (
+        SELECT CASE WHEN o_orderkey % 5 > 0 THEN o_custkey END AS pk, concat('order ', o_orderkey) AS name,
+               o_orderkey FROM orders),
+    last AS (
+        SELECT pk, name FROM later WHERE pk IS NOT NULL
+        QUALIFY row_number() OVER (PARTITION BY pk ORDER BY o_orderkey DESC) = 1)
+    SELECT pk, name FROM last
+    UNION ALL SELECT NULL, name FROM later WHERE pk IS NULL
+    UNION ALL SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT pk FROM last)
+""")
+def fixture_upsert_unkeyed(spark, sf_dir):
+    """Orders without a key are records of their own; the others reload their customer."""
+    first = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("pk"), F.col("c_name").alias("name"))
+    later = table(spark, sf_dir, "orders").select(
+        F.when(F.col("o_orderkey") % 5 > 0, F.col("o_custkey")).alias("pk"),
+        F.concat(F.lit("order "), F.col("o_orderkey")).alias("name"),
+        "o_orderkey",
+    )
+    return records.load_by_key([first, later], ["pk"], ["o_orderkey"])
+
+
+@registered("""
+    SELECT 'crm.customer' AS model, c_custkey AS pk,
+           CASE WHEN c_nationkey < 5 THEN upper(c_name) ELSE c_name END AS name FROM customer
+    UNION ALL SELECT 'crm.supplier', s_suppkey, s_name FROM supplier
+""")
+def fixture_array(spark, sf_dir):
+    """Array files of mixed models, a thousand keys each; files loaded later replace records."""
+    customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("pk"), F.col("c_name").alias("name"), "c_nationkey")
+    suppliers = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("pk"), F.col("s_name").alias("name"))
+    seed = record_files.to_records(customers.drop("c_nationkey"), "crm.customer").unionByName(
+        record_files.to_records(suppliers, "crm.supplier")
+    )
+    fixed = customers.where(F.col("c_nationkey") < 5).select("pk", F.upper("name").alias("name"))
+    paths = [fresh_dir(spark, "arrays"), fresh_dir(spark, "arrays")]
+    for path, loads in zip(paths, (seed, record_files.to_records(fixed, "crm.customer"))):
+        record_files.write_arrays(loads, path, F.floor(F.col("pk") / 1000))
+    loaded = seeding.load_record_files(spark, paths)
+    return loaded.select("model", "pk", text.json_member(F.col("fields"), "name").alias("name"))
+
+
+@registered("""
+    SELECT event_id AS pk, concat('app ', event_id) AS name, 'https://x.example.test/complete' AS redirect_uris,
+           strftime(date_trunc('milliseconds', ts), '%Y-%m-%d %H:%M:%S.%g') AS created, concat('u', user_id) AS owner
+    FROM events
+""")
+def prepared_applications(spark, sf_dir):
+    """An application for each event, prepared, read back and typed."""
+    events = table(spark, sf_dir, "events")
+    made = prepared.application_records(
+        events,
+        F.col("event_id"),
+        name=F.concat(F.lit("app "), F.col("event_id")),
+        site_url=F.lit("https://x.example.test/"),
+        redirect_path="complete",
+        client_id=F.md5(F.col("event_id").cast("string")),
+        client_secret=F.sha2(F.col("event_id").cast("string"), 256),
+        owner=F.concat(F.lit("u"), F.col("user_id")),
+        created=F.col("ts"),
+    )
+    utc = F.convert_timezone(F.current_timezone(), F.lit("UTC"), F.col("created").cast("timestamp_ntz"))
+    return record_files.typed(made, "oauth2_provider.application").select(
+        "pk", "name", "redirect_uris", F.date_format(utc, "yyyy-MM-dd HH:mm:ss.SSS").alias("created"),
+        F.col("user")[0].alias("owner"),
+    )
+
+
 @registered("""
     SELECT s_suppkey AS pk, n_name AS host_name, concat('s', s_suppkey) AS name,
            concat('http://s', s_suppkey, '.example.test/') AS url, true AS active, 60 AS seconds
@@ -439,12 +522,28 @@ def _snapshot_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     }
 
 
-@registered()
+@registered(
+    "SELECT *, true AS listed, true AS verified FROM ("
+    + " UNION ALL ".join(_fingerprint_sql(n, c) for n, c in _FINGERPRINTED.items() if n != "part")
+    + ")"
+)
 def snapshot_manifest(spark, sf_dir):
-    """Snapshot of two apps and its manifest: one md5 line per data file."""
+    """A snapshot of two of three apps: every file listed and verified, and what it holds."""
     root = fresh_dir(spark, "snapshots")
-    made = snapshots.write_snapshot(spark, _snapshot_tables(spark, sf_dir), root, NOW, apps=["docs", "web"])
-    return snapshots.read_manifest(spark, root, made)
+    tables = {f"{name}.{name}": table(spark, sf_dir, name) for name in _FINGERPRINTED}
+    made = snapshots.write_snapshot(spark, tables, root, NOW, apps=["customer", "labels"])
+    of_table = F.split_part("path", F.lit("."), F.lit(1)).alias("name")
+    verdicts = snapshots.verify_snapshot(spark, root, made).groupBy(of_table).agg(
+        F.bool_and(F.col("status") != "unlisted").alias("listed"),
+        F.bool_and(F.col("status") == "ok").alias("verified"),
+    )
+    prints = [
+        manifests.table_fingerprint(
+            snapshots.read_snapshot_table(spark, root, made, f"{name}.{name}"), *_FINGERPRINTED[name].split()
+        ).select(F.lit(name).alias("name"), "n", "fingerprint")
+        for name in ("customer", "labels")
+    ]
+    return prints[0].unionByName(prints[1]).join(verdicts, "name")
 
 
 @registered("""
@@ -555,6 +654,46 @@ def retention_dirs(spark, sf_dir):
     return retention.expired_dirs(dirs, NOW, days=10).drop("kind")
 
 
+@registered("""
+    WITH files AS (SELECT concat('/b', CASE event_type WHEN 'error' THEN '/sub/' WHEN 'click' THEN '/.' ELSE '/' END,
+                                 event_id) AS path, event_type, ts AS mtime
+                   FROM events),
+         expired AS (SELECT * FROM files WHERE event_type NOT IN ('error', 'signup') AND mtime <= TIMESTAMP '2024-01-23')
+    SELECT path, mtime FROM expired
+    QUALIFY row_number() OVER (ORDER BY mtime DESC, path DESC) > 3
+""")
+def retention_depth(spark, sf_dir):
+    """Plain files directly in the backup folder, hidden ones too; sign-ups are folders."""
+    kind = F.col("event_type")
+    below = F.when(kind == "error", "/sub/").when(kind == "click", "/.").otherwise("/")
+    files = table(spark, sf_dir, "events").select(
+        F.concat(F.lit("/b"), below, F.col("event_id")).alias("path"),
+        F.col("ts").alias("mtime"),
+        F.when(kind == "signup", "d").otherwise("f").alias("kind"),
+    )
+    return retention.expired_files(files, NOW, days=7, root="/b").drop("kind")
+
+
+@registered("""
+    WITH listing AS (
+        SELECT concat('/b/', user_id) AS path, 'd' AS kind, max(ts) AS ctime FROM events GROUP BY user_id
+        UNION ALL
+        SELECT concat('/b/', user_id, CASE WHEN event_type = 'error' THEN '/old/' ELSE '/' END, event_id), 'f', ts FROM events),
+    expired AS (SELECT path FROM listing WHERE kind = 'd' AND ctime <= TIMESTAMP '2024-01-30')
+    SELECT l.path, l.kind, l.ctime FROM listing l JOIN expired e ON l.path = e.path OR starts_with(l.path, concat(e.path, '/'))
+""")
+def retention_dirs_cascade(spark, sf_dir):
+    """A folder per user; those without an event on the last day go with all that they hold."""
+    events = table(spark, sf_dir, "events")
+    folder = F.concat(F.lit("/b/"), F.col("user_id"))
+    dirs = events.groupBy(folder.alias("path")).agg(F.max("ts").alias("ctime")).withColumn("kind", F.lit("d"))
+    below = F.when(F.col("event_type") == "error", "/old/").otherwise("/")
+    files = events.select(
+        F.concat(folder, below, F.col("event_id")).alias("path"), F.col("ts").alias("ctime"), F.lit("f").alias("kind")
+    )
+    return retention.expired_trees(dirs.unionByName(files), NOW, days=0)
+
+
 @registered("SELECT event_id, ts, value FROM events WHERE ts >= TIMESTAMP '2024-01-24'")
 def ttl_filter(spark, sf_dir):
     events = table(spark, sf_dir, "events").select("event_id", "ts", "value")
@@ -589,19 +728,42 @@ def _import_tree(spark: SparkSession, sf_dir: str) -> str:
     groups = {
         "vector": F.col("event_type").isin("view", "click"),
         "time": F.col("event_type") == "error",
-        "raster": ~F.col("event_type").isin("view", "click", "error"),
+        "raster": F.coalesce(~F.col("event_type").isin("view", "click", "error"), F.lit(True)),
     }
     for kind, test in groups.items():
         events.where(test).select("event_id", "user_id", "value").write.parquet(f"{root}/{kind}")
     return root
 
 
-@registered()
+@registered("""
+    SELECT CASE WHEN event_type IN ('view', 'click') THEN 'vector'
+                WHEN event_type = 'error' THEN 'time' ELSE 'raster' END AS kind,
+           true AS has_files, count(*) AS n
+    FROM events GROUP BY 1
+""")
 def import_listing(spark, sf_dir):
-    """The files that importing one kind would read."""
-    return listings.list_by_kind(spark, _import_tree(spark, sf_dir), "raster").where(
-        F.endswith("path", F.lit(".parquet"))
-    )
+    """Per kind: whether the listing has its files, and the rows that they hold."""
+    root = _import_tree(spark, sf_dir)
+    listed = listings.list_by_kind(spark, root).where(F.endswith("path", F.lit(".parquet")))
+    files = listed.groupBy("kind").agg((F.count(F.lit(1)) > 0).alias("has_files"))
+    rows = listings.import_by_kind(spark, root).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+    return rows.join(files, "kind")
+
+
+@registered("""
+    SELECT event_id, CASE WHEN event_type IN ('view', 'click') THEN user_id END AS user_id,
+           CASE WHEN event_type NOT IN ('view', 'click') THEN value END AS value,
+           CASE WHEN event_type IN ('view', 'click') THEN 'vector' ELSE 'raster' END AS kind
+    FROM events
+""")
+def import_mixed_columns(spark, sf_dir):
+    """Two kinds with different columns; importing the root keeps the columns of both."""
+    root = fresh_dir(spark, "import")
+    events = table(spark, sf_dir, "events")
+    vector = F.coalesce(F.col("event_type").isin("view", "click"), F.lit(False))
+    events.where(vector).select("event_id", "user_id").write.parquet(f"{root}/vector")
+    events.where(~vector).select("event_id", "value").write.parquet(f"{root}/raster")
+    return listings.import_by_kind(spark, root).select("event_id", "user_id", "value", "kind")
 
 
 @registered("""
@@ -765,6 +927,22 @@ def first_element_rewrite(spark, sf_dir):
     return text.rewrite_elements(pages, "html", {"title": "Cost $1 \\ year", "<h1": "Heading"})
 
 
+@registered(r"""
+    SELECT page_id, CASE page_id % 3
+        WHEN 0 THEN regexp_replace(html, 'title>[^<]+', 'title>Even')
+        WHEN 1 THEN CASE WHEN regexp_matches(html, 'title>[^<]+') AND regexp_matches(html, 'p>[^<]+')
+                         THEN regexp_replace(regexp_replace(html, 'title>[^<]+', 'title>Odd'), 'p>[^<]+', 'p>First') ELSE html END
+        ELSE html END AS html
+    FROM pages
+""")
+def element_rules_by_document(spark, sf_dir):
+    """Three documents: one with one rule, one with two, one without."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "html")
+    document = F.concat(F.lit("doc"), F.col("page_id") % 3)
+    rules = {"doc0": {"title": "Even"}, "doc1": {"title": "Odd", "p": "First"}}
+    return text.rewrite_documents(pages, "html", document, rules)
+
+
 @registered("""
     SELECT doc_id, regexp_replace(replace(text, 'The', 'Every'), 'and', 'plus', 'gi') AS text FROM documents
 """)
@@ -938,3 +1116,24 @@ def json_text(spark, sf_dir):
         text.json_member(props, "k").alias("k"),
         text.json_entries(props)["k"].cast("bigint").alias("number"),
     )
+
+
+@registered("""
+    SELECT doc_id, len(string_split(text, ' ')) AS n, array_to_string(string_split(text, ' '), '|') AS items FROM documents
+""")
+def json_items(spark, sf_dir):
+    """The words of a document written as a JSON array and read from it again."""
+    array = F.to_json(F.split("text", " "))
+    items = text.json_items(array)
+    return table(spark, sf_dir, "documents").select(
+        "doc_id", F.size(items).cast("bigint").alias("n"), F.array_join(items, "|").alias("items")
+    )
+
+
+@registered("SELECT doc_id, coalesce(doc_id % 3 = 0, false) AS valid FROM documents")
+def zip_check(spark, sf_dir):
+    """Texts with the end record of an archive, with one cut short, and without."""
+    rest = F.when(F.col("doc_id") % 3 == 0, 18).when(F.col("doc_id") % 3 == 1, 17)
+    end = F.concat(F.lit(ingest.ZIP_END_MARK), F.repeat(F.lit("0"), rest).cast("binary"))
+    content = F.concat(F.col("text").cast("binary"), F.coalesce(end, F.lit(b"")))
+    return table(spark, sf_dir, "documents").select("doc_id", ingest.is_zip(content).alias("valid"))

@@ -38,7 +38,7 @@ class Restored(NamedTuple):
 # -- a store of tables with a pointer to the current generation -------------------
 
 def _pointer(spark: SparkSession, store: str):
-    pointers = spark.read.schema(POINTER_SCHEMA).parquet(f"{store}/pointer")
+    pointers = spark.read.schema(POINTER_SCHEMA).parquet(f"{store}/pointer/*")
     return pointers.orderBy(F.desc("generation")).first()
 
 
@@ -48,13 +48,17 @@ def _switch(spark: SparkSession, store: str, generation: int, path: str, names:
         F.lit(path).alias("path"),
         F.array(*[F.lit(n) for n in names]).cast("array<string>").alias("tables"),
     )
-    row.write.mode("append").parquet(f"{store}/pointer")
+    try:
+        row.write.mode("errorifexists").parquet(f"{store}/pointer/{generation}")
+    except AnalysisException as taken:
+        raise RestoreError(f"generation {generation} of {store} is taken") from taken
 
 
 def publish(spark: SparkSession, tables: dict[str, DataFrame], store: str, generation: int = 0) -> None:
     """Write tables to a path never used before, then point to it.
 
-    Readers keep the former generation until the pointer row is there.
+    Readers keep the former generation until the pointer row is there. A generation that is
+    there already is never pointed to anew: the second of two rivals stops.
     """
     path = f"{store}/generation-{generation}-{new_snapshot_id()}"
     for name, table in tables.items():

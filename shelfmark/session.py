@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from functools import cache
@@ -9,6 +10,9 @@ from functools import cache
 from pyspark.sql import SparkSession
 
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def build_session(master: str | None = None, app_name: str = "shelfmark", **conf: str) -> SparkSession:
     """A session in UTC with adaptive re-planning, skew splitting included.
 
@@ -19,6 +23,8 @@ def build_session(master: str | None = None, app_name: str = "shelfmark", **conf
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        # State of streams beside the heap, so that a backlog may be large.
+        "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
         **conf,
     }
     builder = SparkSession.builder.appName(app_name)
@@ -32,13 +38,14 @@ def build_session(master: str | None = None, app_name: str = "shelfmark", **conf
 def shared_dir(spark: SparkSession) -> str:
     """The folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only where that is unset (local runs and tests) a folder of our own is made, one
-    per application.
+    Only where that is unset and driver and tasks are one process (local runs and tests) a
+    folder of our own is made, one per application. Tables written there stay until whoever
+    owns the folder removes them.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return _local_dir(spark.sparkContext.applicationId)
 

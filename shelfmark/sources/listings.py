@@ -51,10 +51,12 @@ def list_by_kind(spark: SparkSession, root: str, kind: str | None = None) -> Dat
 def import_by_kind(
     spark: SparkSession, root: str, kind: str | None = None, *, schema=None, source: str = "parquet"
 ) -> DataFrame:
-    """Rows of all files of one kind, or of the whole root, with the kind of their folder."""
+    """Rows of all files of one kind, or of the whole root, with the kind of their folder.
+
+    Without a schema the columns of all files are merged, so that no kind hides another's.
+    """
     reader = spark.read.format(source).option("recursiveFileLookup", True)
-    if schema is not None:
-        reader = reader.schema(schema)
+    reader = reader.option("mergeSchema", True) if schema is None else reader.schema(schema)
     rows = reader.load(import_root(root, kind))
     # The metadata path is URL-encoded, other than the path of a listing.
     below = relative_path(F.url_decode("_metadata.file_path"), root)

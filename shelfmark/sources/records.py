@@ -162,6 +162,19 @@ def record_lines(records: DataFrame) -> DataFrame:
     return records.select("model", line.alias("value"))
 
 
+def write_arrays(records: DataFrame, path: str, file: Column, mode: str = "errorifexists") -> None:
+    """Write records as JSON array files, one folder for each value of ``file``.
+
+    An array is made and read by one task: ``file`` has to bound the records of a value.
+    """
+    numbered = records.withColumn("file", file)
+    head = F.to_json(F.struct("model", "pk"), {"ignoreNullFields": "false"})
+    line = F.concat(F.rtrim(head, F.lit("}")), F.lit(',"fields":'), F.col("fields"), F.lit("}"))
+    arrays = numbered.groupBy("file").agg(F.array_join(F.collect_list(line), ",\n").alias("items"))
+    value = F.concat(F.lit("["), F.col("items"), F.lit("]"))
+    arrays.select("file", value.alias("value")).write.mode(mode).partitionBy("file").text(path)
+
+
 def write_records(
     records: DataFrame, path: str, mode: str = "errorifexists", by_model: bool = False
 ) -> None:

@@ -107,3 +107,13 @@ def test_made_up_manifests(spark):
         assert verdicts(spark, list(actual.items()), manifest)[0] == sorted(wanted)
 
     check()
+
+
+def test_comments_and_escaped_names(spark):
+    names = ["plain", "two\nlines", "back\\slash", "# no comment"]
+    made = spark.createDataFrame([("0" * 32, n) for n in names], "md5 string, path string")
+    lines = manifests.manifest_lines(made)
+    assert sorted(r.value for r in lines.collect())[-1] == "\\" + "0" * 32 + "  two\\nlines"
+    more = lines.unionByName(spark.createDataFrame([("# comment",), ("#" + "0" * 32 + "  x",)], "value string"))
+    back = manifests.parse_manifest_lines(more)
+    assert sorted((r.md5, r.path) for r in back.collect()) == sorted(("0" * 32, n) for n in names)

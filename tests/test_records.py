@@ -66,12 +66,32 @@ def test_small_updates_do_not_shuffle_the_base(spark, tmp_path):
 
 def test_a_key_reloaded_over_and_over_folds_before_the_exchange(spark):
     df = spark.range(0, 20000, 1, 8).select(
-        F.lit(1).alias("pk"), F.col("id").alias("at"), F.col("id").cast("string").alias("v")
+        (F.col("id") < 0).cast("int").alias("pk"), F.col("id").alias("at"), F.col("id").cast("string").alias("v")
     )
     last = records.last_per_key(df, ["pk"], ["at"])
     assert last.first().v == "19999"
     plan = last._jdf.queryExecution().executedPlan().toString()
-    assert plan.index("partial_max_by") > plan.index("Exchange hashpartitioning")
+    assert plan.index("row_number(), 1, Partial") > plan.index("Exchange hashpartitioning")
+
+
+def test_records_without_a_key_stay_with_positions_too(spark):
+    df = spark.createDataFrame(
+        [("m", None, "a", 1), ("m", None, "a", 1), ("m", None, "b", 2), ("m", 1, "c", 3), ("m", 1, "d", 4), (None, 1, "e", 5)],
+        "model string, pk long, v string, at int",
+    )
+    for loads in ([df], [df.limit(0), df], [df.where("pk is null"), df.where("pk is not null or model is null")]):
+        out = records.load_by_key(loads, ["model", "pk"], ["at"])
+        assert sorted(r.v for r in out.collect()) == ["a", "a", "b", "d", "e"]
+
+
+def test_equal_positions_give_one_and_the_same_row(spark):
+    rows = [(1, f"v{i}", 0) for i in range(50)]
+    found = {
+        records.last_per_key(spark.createDataFrame(made, "pk long, v string, at int").repartition(n), ["pk"], ["at"]).first().v
+        for made in (rows, rows[::-1])
+        for n in (1, 5)
+    }
+    assert len(found) == 1
 
 
 # -- references ------------------------------------------------------------------------
@@ -137,13 +157,13 @@ def hot(spark, tmp_path, reference):
     return spark.read.parquet(path)
 
 
-def test_null_references_spread_over_a_shuffle(spark, tmp_path, no_broadcast):
+def test_null_references_stay_out_of_the_shuffle(spark, tmp_path, no_broadcast):
     rows = hot(spark, tmp_path, F.when(F.col("id") % 3 == 0, F.col("id") % 50))
     target = spark.range(50).select(F.col("id").alias("pk"), (F.col("id") * 2).alias("twice"))
     out = records.resolve_reference(rows, target, F.col("ref"), "pk", {"twice": "twice"}, optional=True)
     plan = out._jdf.queryExecution().executedPlan().toString()
-    join = next(line for line in plan.splitlines() if "SortMergeJoin" in line)
-    assert join.count("__spread") == 1 and join.count("__zero") == 1
+    joined, beside = plan.split("SortMergeJoin")[1].rsplit("FileScan", 1)
+    assert "IsNotNull(ref)" in joined and "IsNull(ref)" in beside and "Exchange" in joined
     nulls = out.where("ref is null").groupBy(F.spark_partition_id()).count()
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:

@@ -78,8 +78,33 @@ def test_one_folder_with_all_files_is_not_gathered(spark):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert plan.index("row_number(), 3, Partial") > plan.index("Exchange hashpartitioning")
     assert out.count() == 39997
-    with pytest.raises(ValueError, match="windowGroupLimitThreshold"):
-        retention.expired_files(df, NOW, keep=1001)
+
+
+def test_more_are_spared_than_spark_cuts_at_once(spark):
+    df = spark.range(0, 9000, 1, 4).select(
+        (F.col("id") % 2).cast("string").alias("folder"),
+        F.format_string("%06d", "id").alias("path"),
+        F.lit("2020-01-01").cast("timestamp_ntz").alias("mtime"),
+    )
+    gone = retention.expired_files(df, NOW, keep=1500)
+    assert sorted(r.path for r in gone.collect()) == [f"{i:06d}" for i in range(6000)]
+
+
+def test_only_plain_files_directly_in_the_root(spark):
+    old = NOW - timedelta(days=90)
+    rows = [("/b/a.zip", "f"), ("/b/.hidden", "f"), ("/b/dir", "d"), ("/b/uuid/r0.zip", "f"), ("/bb/x", "f"), ("/b/", "f"), ("/b/c", "f")]
+    df = spark.createDataFrame([(p, old, k) for p, k in rows], "path string, mtime timestamp_ntz, kind string")
+    gone = retention.expired_files(df, NOW, root="/b/", keep=1)
+    assert gone.columns == df.columns
+    assert sorted(r.path for r in gone.collect()) == ["/b/.hidden", "/b/a.zip"]
+    assert retention.expired_files(df.drop("kind"), NOW, root="/b", keep=0).count() == 4
+
+
+def test_an_expired_folder_goes_with_all_that_it_holds(spark):
+    rows = [("/b", "d", 1), ("/b/x", "d", 40), ("/b/x/new", "f", 0), ("/b/x/y", "d", 50), ("/b/x/y/z", "f", 1), ("/b/xy", "f", 90)]
+    made = [(p, k, NOW - timedelta(days=a)) for p, k, a in rows]
+    df = spark.createDataFrame(made, "path string, kind string, ctime timestamp_ntz")
+    assert sorted(r.path for r in retention.expired_trees(df, NOW).collect()) == ["/b/x", "/b/x/new", "/b/x/y", "/b/x/y/z"]
 
 
 def test_bound_reaches_the_scan(spark, tmp_path):

@@ -162,3 +162,11 @@ def test_no_source_snapshot(spark, tmp_path):
 def test_a_snapshot_of_nothing_is_refused(spark, tmp_path, tables):
     with pytest.raises(ValueError):
         snapshots.write_snapshot(spark, tables, str(tmp_path / "s"), DAY[1], apps=["maps"])
+
+
+def test_of_two_rivals_for_a_generation_one_stops(spark, places):
+    rows = spark.range(2).toDF("id")
+    restore.publish(spark, {"a": rows}, places[1], 1)
+    with pytest.raises(restore.RestoreError, match="taken"):
+        restore.publish(spark, {"b": rows}, places[1], 1)
+    assert set(restore.current_tables(spark, places[1])) == {"a"}

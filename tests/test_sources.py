@@ -266,3 +266,12 @@ def test_digests_match_the_bytes(spark, tmp_path):
     assert got == {"x/a.bin": hashlib.md5(b"abc").hexdigest(), "b.bin": hashlib.md5(b"\x00").hexdigest()}
     # Known limit: Spark's file sources pass over empty files.
     assert listings.list_files(spark, str(tmp_path / "d"), "*.bin").count() == 2
+
+
+def test_the_whole_root_keeps_the_columns_of_all_kinds(spark, tmp_path):
+    spark.range(2).select(F.col("id").alias("only_vector")).write.parquet(f"{tmp_path}/vector")
+    spark.range(3).select(F.col("id").alias("only_raster")).write.parquet(f"{tmp_path}/raster")
+    rows = listings.import_by_kind(spark, str(tmp_path))
+    assert set(rows.columns) == {"only_vector", "only_raster", "kind"}
+    assert rows.where("only_vector is not null and kind = 'vector'").count() == 2
+    assert rows.where("only_raster is not null and kind = 'raster'").count() == 3

@@ -4,6 +4,8 @@ from helpers import column, evaluate
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
 from shelfmark.functions import text
 
 
@@ -100,3 +102,20 @@ def test_json_text(spark):
     assert evaluate(spark, ["[]", '["a", 1]', None], text.json_items) == [[], ["a", "1"], None]
     assert evaluate(spark, ["{}", '{"k": 5}', None], text.json_entries) == [{}, {"k": "5"}, None]
     assert evaluate(spark, ['{"a.b": "x"}', "{}"], lambda c: text.json_member(c, "a.b")) == ["x", None]
+
+
+def test_rules_fold_letters_beyond_ascii(spark):
+    rules = [text.Rule("é", "e", any_case=True)]
+    assert evaluate(spark, ["É é E"], lambda c: text.apply_rules(c, rules)) == ["e e E"]
+
+
+def test_element_rules_of_their_own_for_each_document(spark):
+    df = spark.createDataFrame(
+        [("a", "<t>1</t><u>2</u>"), ("b", "<t>1</t><u>2</u>"), ("c", "<t>1</t>"), (None, "<t>1</t>"), ("a", None), ("b", "<t>1</t>")],
+        "name string, html string",
+    )
+    out = text.rewrite_documents(df, "html", F.col("name"), {"a": {"t": "x"}, "b": {"t": "y", "u": "z"}})
+    assert out.columns == df.columns
+    assert [(r.name, r.html) for r in out.collect()] == [
+        ("a", "<t>x</t><u>2</u>"), ("b", "<t>y</t><u>z</u>"), ("c", "<t>1</t>"), (None, "<t>1</t>"), ("a", None), ("b", "<t>1</t>"),
+    ]

@@ -106,7 +106,7 @@ def test_rewrite_reaches_nested_text_and_counts_rows(spark):
     assert out[1].url == "https://c$1/x"
     assert out[1].links == ["https://c$1", None]
     assert out[1].meta.home == "https://c$1/" and out[1].meta.deep[0].u == "https://c$1"
-    assert out[1].extra == {"http://a.b": "https://c$1"}
+    assert out[1].extra == {"https://c$1": "https://c$1"}
     assert out[2].url == "http://aXb/x" and out[2]["dotted.name"] == "q"
     assert out[3].meta is None and out[3].links is None
     assert {i: r.changed for i, r in out.items()} == {1: True, 2: False, 3: False, 4: True}
@@ -114,3 +114,9 @@ def test_rewrite_reaches_nested_text_and_counts_rows(spark):
     assert plan.count("Project") <= 1
     with pytest.raises(ValueError):
         urls.rewrite_base_url(df, "", "x")
+
+
+def test_map_keys_are_rewritten_too(spark):
+    df = spark.createDataFrame([({"http://o/a": "http://o/b"},), (None,)], "m map<string,string>")
+    out = urls.rewrite_base_url(df, "http://o", "http://n", "changed")
+    assert [(r.m, r.changed) for r in out.collect()] == [({"http://n/a": "http://n/b"}, True), (None, False)]

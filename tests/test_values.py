@@ -1,6 +1,7 @@
 from datetime import datetime, timezone
 from ipaddress import IPv4Address
 
+import pytest
 from helpers import column, evaluate
 from pyspark.sql import functions as F
 
@@ -80,3 +81,24 @@ def test_zone_less_times_are_utc_in_any_session_zone(spark):
             assert [r.m for r in got] == wanted
     finally:
         spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York", "Asia/Kathmandu"])
+def test_iso_millis_in_any_session_zone(spark, zone):
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        # The third lies in the hour that New York skips, the fourth in the one it has twice.
+        texts = ["2024-01-01T00:00:00", "1969-12-31T23:59:59.999999", "2024-03-10T02:30:00.5", "2024-11-03T01:30:00.0001"]
+        cut = ["00:00:00.000", "23:59:59.999", "02:30:00.500", "01:30:00.000"]
+        wanted = [f"{t[:11]}{c}Z" for t, c in zip(texts, cut)]
+        df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+        out = df.select(
+            "i",
+            values.iso_millis(F.col("t").cast("timestamp_ntz")).alias("zoneless"),
+            values.iso_millis(F.concat("t", F.lit("Z")).cast("timestamp")).alias("instant"),
+            values.iso_millis(F.lit(None).cast("timestamp")).alias("none"),
+        ).collect()
+        assert [(r.zoneless, r.instant, r.none) for r in sorted(out)] == [(w, w, None) for w in wanted]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
