@@ -41,40 +41,45 @@ def _without(text: Column, characters: str) -> Column:
 
 
 def votes(text: Column, words: Column) -> dict[str, Column]:
-    """Vote of each labeller: 1 good, -1 bad, 0 nothing."""
+    """Vote of each labeller: 1 good, -1 bad, 0 nothing.
 
-    def vote(bad: Column, good: Column) -> Column:
-        return F.when(bad, -1).when(good, 1).otherwise(0).cast("int")
+    A labeller that looks for one kind of junk says nothing about a text without it.
+    """
+
+    def vote(bad: Column, good: Column | bool = False) -> Column:
+        return F.when(bad, -1).when(F.lit(good) if isinstance(good, bool) else good, 1).otherwise(0).cast("int")
 
     n = F.size(words)
-    symbols = _share(_without(text, "#*$%&|<>"), n)
-    shouts = _share(_without(text, "!"), n)
-    capitals = _share(_without(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ"), F.length(text))
     stops = _share(_without(text, ".?"), n)
-    length = _share(F.length(text), n)
-    variety = _share(F.size(F.array_distinct(F.slice(words, 1, 1 << 30))), n)
+    sentences = F.split(text, r"[.\n]+")
     common = _share(F.size(F.filter(words, lambda w: F.lower(w).isin(COMMON))), n)
     return {
-        "symbols": vote(symbols > 0.3, symbols < 0.05),
-        "shouts": vote(shouts > 0.3, shouts < 0.1),
-        "capitals": vote(capitals > 0.4, capitals < 0.15),
+        "symbols": vote(_share(_without(text, "#*$%&<>"), n) > 0.3),
+        "bars": vote(_share(_without(text, "|"), n) > 0.2),
+        "shouts": vote(_share(_without(text, "!"), n) > 0.3),
+        "capitals": vote(_share(_without(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ"), F.length(text)) > 0.4),
+        "lines": vote((n > 20) & (_share(F.size(F.array_distinct(sentences)), F.size(sentences)) < 0.5)),
+        "repeats": vote(_share(F.size(F.array_distinct(words)), n) < 0.3),
         "stops": vote(stops < 0.01, (stops > 0.03) & (stops < 0.4)),
-        "length": vote((length < 2.5) | (length > 14), (length > 4) & (length < 10)),
-        "variety": vote(variety < 0.2, variety > 0.4),
-        "common": vote(common < 0.04, common > 0.12),
+        "common": vote((n > 20) & (common < 0.02), common > 0.12),
     }
 
 
-def estimated(patterns: dict[tuple[int, ...], int], rounds: int = ROUNDS) -> tuple[float, list[dict[int, tuple[float, float]]]]:
-    """Share of good documents, and for each labeller its chance of each vote by class.
+Chances = list[dict[int, tuple[float, float]]]
+
+
+def estimated(patterns: dict[tuple[int, ...], int], rounds: int = ROUNDS) -> tuple[float, Chances]:
+    """Share of good documents, and each labeller's chance of each vote by class (good, bad).
 
     ``patterns`` are the votes with their numbers of documents: at most 3 to the power of the
-    labellers, however many documents there are. The first guess is the majority vote.
+    labellers, however many documents there are. The first guess is the majority of the votes
+    that were cast; from there on a vote counts by how much likelier one class makes it.
     """
     total = sum(patterns.values())
     width = len(next(iter(patterns), ()))
     belief = {p: 1 / (1 + math.exp(-2.0 * sum(p))) for p in patterns}
-    good, chances = 0.5, [{v: (1 / 3, 1 / 3) for v in (-1, 0, 1)} for _ in range(width)]
+    good: float = 0.5
+    chances: Chances = [{v: (1 / 3, 1 / 3) for v in (-1, 0, 1)} for _ in range(width)]
     for _ in range(rounds if total else 0):
         mass = sum(n * belief[p] for p, n in patterns.items())
         good = (mass + 1) / (total + 2)
@@ -84,12 +89,12 @@ def estimated(patterns: dict[tuple[int, ...], int], rounds: int = ROUNDS) -> tup
                 wrong = sum(n * (1 - belief[p]) for p, n in patterns.items() if p[k] == v)
                 chances[k][v] = ((right + 1) / (mass + 3), (wrong + 1) / (total - mass + 3))
         for p in patterns:
-            odds = math.log(good / (1 - good)) + sum(math.log(chances[k][v][0] / chances[k][v][1]) for k, v in enumerate(p))
+            odds = math.log(good / (1 - good)) + sum(math.log(c[v][0] / c[v][1]) for v, c in zip(p, chances))
             belief[p] = 1 / (1 + math.exp(-max(-50.0, min(50.0, odds))))
     return good, chances
 
 
-def posterior(named: dict[str, Column], good: float, chances: list[dict[int, tuple[float, float]]]) -> Column:
+def posterior(named: dict[str, Column], good: float, chances: Chances) -> Column:
     """Probability that a document is good, given its votes."""
     odds = F.lit(math.log(good / (1 - good)))
     for vote, chance in zip(named.values(), chances):
@@ -143,7 +148,7 @@ def fitted(documents: DataFrame, text: str = "text", sample: int = SAMPLE) -> Lo
     both = stored(both.where("weight > 0.001"), "weak-labels")
     if both.select("label").distinct().count() < 2:
         return None
-    return LogisticRegression(weightCol="weight", regParam=1e-4, maxIter=30, standardization=False).fit(both)
+    return LogisticRegression(weightCol="weight", regParam=0.02, maxIter=40).fit(both)
 
 
 def scored(documents: DataFrame, model: LogisticRegressionModel | None, into: str, text: str = "text") -> DataFrame:
