@@ -50,7 +50,7 @@ def skewed(spark, tmp_path_factory):
 @pytest.mark.parametrize(
     "name",
     [
-        "resource_counts", "fixture_upsert", "fk_resolve", "fk_natural", "fk_nullable", "fk_dangling",
+        "resource_counts", "fixture_upsert", "fixture_upsert_unkeyed", "retention_depth", "retention_dirs_cascade", "fk_resolve", "fk_natural", "fk_nullable", "fk_dangling",
         "manifest_verify", "table_fingerprint", "latest_snapshot", "retention_expire",
         "retention_expire_all", "ingest_plan", "monitor_windows", "monitor_windows_stream",
         "snapshot_contents", "checked_restore", "import_by_kind", "fixture_times",
