@@ -15,8 +15,10 @@ from __future__ import annotations
 import json
 import math
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import cache
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column
@@ -145,13 +147,15 @@ def spans_of(text: str, words: dict[str, float], least: float) -> tuple[list[tup
     if "AKIA" in text:
         base += [(m.start(), m.end(), "access") for m in ACCESS.finditer(text) if len(m[0]) >= 20]
     base += [(m.start(), m.end(), "hex") for m in HEX.finditer(text)]
-    added = [
-        (m.start(1), m.end(1), "value")
-        for m in CONTEXT.finditer(text)
-        if not any(a < m.end(1) and m.start(1) < b for a, b, _ in base) and guess_cost(m[1], words) >= least
-    ]
     order = lambda s: (s[0], KINDS.index(s[2]), s[1])
-    return sorted(base, key=order), sorted(base + added, key=order)
+    base.sort(key=order)
+    starts, reach = [a for a, _, _ in base], list(accumulate((b for _, b, _ in base), max))
+    added = []
+    for m in CONTEXT.finditer(text):
+        before = bisect_left(starts, m.end(1))  # fixed spans that begin before the value ends
+        if (not before or reach[before - 1] <= m.start(1)) and guess_cost(m[1], words) >= least:
+            added.append((m.start(1), m.end(1), "value"))
+    return base, sorted(base + added, key=order)
 
 
 def scanned(text: Column, path: str | None = None, least: float = LEAST_COST) -> Column:
