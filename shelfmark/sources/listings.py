@@ -7,8 +7,13 @@ operators do not care which.
 
 from __future__ import annotations
 
+import hashlib
 import re
+from collections.abc import Iterator
+from fnmatch import fnmatchcase
 
+import pandas as pd
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -77,6 +82,64 @@ def file_digests(spark: SparkSession, root: str, pattern: str | None = None) ->
     )
 
 
+# -- every file, whatever its name and size --------------------------------------------
+
+WALKED = "path string, mtime timestamp, size bigint"
+CHUNK = 1 << 20
+
+
+def walk_files(spark: SparkSession, root: str, pattern: str | None = None) -> DataFrame:
+    """All files below ``root`` with their paths below it: empty and hidden ones too.
+
+    The driver lists one level; each folder in it is walked by a task, one folder at a time.
+    ``root`` must be of a store that Arrow opens (a plain path, s3, gs, hdfs); ``pattern`` is
+    a shell-style pattern for the last part of the path.
+    """
+    store, base = fs.FileSystem.from_uri(root.rstrip("/"))
+    level = store.get_file_info(fs.FileSelector(base))
+    units = [(info.path, info.type == fs.FileType.Directory) for info in level]
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for path, folder in zip(batch["path"], batch["folder"]):
+                folders = [path] if folder else []
+                if not folder:
+                    yield listed([store.get_file_info(path)])
+                while folders:
+                    infos = store.get_file_info(fs.FileSelector(folders.pop()))
+                    folders += [i.path for i in infos if i.type == fs.FileType.Directory]
+                    yield listed([i for i in infos if i.type == fs.FileType.File])
+
+    def listed(infos: list[fs.FileInfo]) -> pd.DataFrame:
+        kept = [i for i in infos if pattern is None or fnmatchcase(i.base_name, pattern)]
+        return pd.DataFrame(
+            {
+                "path": [i.path[len(base) + 1 :] for i in kept],
+                "mtime": pd.to_datetime([i.mtime for i in kept], utc=True),
+                "size": [i.size for i in kept],
+            }
+        ).astype({"path": object, "size": "int64"})
+
+    return spark.createDataFrame(units, "path string, folder boolean").repartition("path").mapInPandas(walk, WALKED)
+
+
+def streamed_digests(spark: SparkSession, root: str, pattern: str | None = None) -> DataFrame:
+    """md5 of every file that :func:`walk_files` sees, read in pieces: no bound on its size."""
+    store, base = fs.FileSystem.from_uri(root.rstrip("/"))
+
+    def digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for path in batch["path"]:
+                md5 = hashlib.md5()
+                with store.open_input_stream(f"{base}/{path}") as stream:
+                    while piece := stream.read(CHUNK):
+                        md5.update(piece)
+                yield pd.DataFrame({"path": [path], "md5": [md5.hexdigest()]})
+
+    files = walk_files(spark, root, pattern).select("path").repartition("path")
+    return files.mapInPandas(digest, "path string, md5 string")
+
+
 def relative_path(path: Column, root: str) -> Column:
     """Path below ``root``, which is absolute; scheme and host may be written or left out."""
     base = re.sub("/+", "/", re.sub(_SCHEME_AND_HOST, "", root.rstrip("/")))

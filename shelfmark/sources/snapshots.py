@@ -13,7 +13,7 @@ never seen by readers.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -54,8 +54,13 @@ def write_snapshot(
     apps: Sequence[str] | None = None,
     snapshot_id: str | None = None,
     rows_per_file: int = ROWS_PER_FILE,
+    digests: Callable[..., DataFrame] | None = None,
 ) -> str:
-    """Write the tables, then their manifest, then the catalogue row. Returns the id."""
+    """Write the tables, then their manifest, then the catalogue row. Returns the id.
+
+    ``digests`` hashes files: by default Spark's reader, which opens any store and holds a
+    file whole; :func:`listings.streamed_digests` has no bound on the size of a file.
+    """
     snapshot_id = snapshot_id or new_snapshot_id()
     chosen = select_tables(tables, apps)
     if not chosen:
@@ -63,8 +68,8 @@ def write_snapshot(
     base = f"{root}/{snapshot_id}"
     for name, table in chosen.items():
         table.write.option("maxRecordsPerFile", rows_per_file).parquet(f"{base}/data/{name}")
-    digests = file_digests(spark, f"{base}/data", "*.parquet")
-    manifest_lines(digests).write.text(f"{base}/manifest")
+    made = (digests or file_digests)(spark, f"{base}/data", "*.parquet")
+    manifest_lines(made).write.text(f"{base}/manifest")
     row = spark.range(1).select(
         F.lit(snapshot_id).alias("path"),
         time_literal(T.TimestampType(), now).alias("mtime"),
@@ -83,10 +88,14 @@ def read_snapshot_table(spark: SparkSession, root: str, snapshot_id: str, table:
 
 
 def verify_snapshot(
-    spark: SparkSession, root: str, snapshot_id: str, unlisted: bool = True
+    spark: SparkSession,
+    root: str,
+    snapshot_id: str,
+    unlisted: bool = True,
+    digests: Callable[..., DataFrame] | None = None,
 ) -> DataFrame:
     """Hash the files again and compare them with the manifest."""
-    actual = file_digests(spark, f"{root}/{snapshot_id}/data", "*.parquet")
+    actual = (digests or file_digests)(spark, f"{root}/{snapshot_id}/data", "*.parquet")
     return verify_manifest(actual, read_manifest(spark, root, snapshot_id), unlisted=unlisted)
 
 

@@ -6,7 +6,7 @@ import pytest
 
 from shelfmark.operators.manifests import gate
 from shelfmark.plans import restore
-from shelfmark.sources import snapshots
+from shelfmark.sources import listings, snapshots
 
 DAY = [datetime(2024, 1, d) for d in range(1, 10)]
 
@@ -68,12 +68,14 @@ def test_files_are_bounded_and_all_listed(spark, tmp_path, tables):
     assert sorted(lines) == sorted(f"{md5}  {path}" for path, md5 in manifest.items())
 
 
-def test_verification_sees_changed_and_lost_files(spark, tmp_path, tables):
+@pytest.mark.parametrize("digests", [None, listings.streamed_digests])
+def test_verification_sees_changed_and_lost_files(spark, tmp_path, tables, digests):
     root = str(tmp_path / "s")
-    made = snapshots.write_snapshot(spark, tables, root, DAY[1])
+    made = snapshots.write_snapshot(spark, tables, root, DAY[1], digests=digests)
+    assert gate(snapshots.verify_snapshot(spark, root, made, digests=digests)).first().passed
     spoil(data_files(root, made, "web.pages")[0])
     data_files(root, made, "people.names")[0].unlink()
-    verdict = gate(snapshots.verify_snapshot(spark, root, made)).first()
+    verdict = gate(snapshots.verify_snapshot(spark, root, made, digests=digests)).first()
     assert (verdict.mismatch, verdict.missing, verdict.passed) == (1, 1, False)
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shelfmark import session
+from shelfmark.operators import manifests
 from shelfmark.plans.seeding import load_record_files
 from shelfmark.sources import listings, prepared, records
 
@@ -275,3 +276,27 @@ def test_the_whole_root_keeps_the_columns_of_all_kinds(spark, tmp_path):
     assert set(rows.columns) == {"only_vector", "only_raster", "kind"}
     assert rows.where("only_vector is not null and kind = 'vector'").count() == 2
     assert rows.where("only_raster is not null and kind = 'raster'").count() == 3
+
+
+def test_every_file_is_walked_and_hashed(spark, tmp_path):
+    import hashlib
+    import subprocess
+
+    contents = {"a.bin": b"a", "_b.bin": b"b", ".c.bin": b"c", "empty": b"", "_sub/d.bin": b"d", "sub/.deep/e f.bin": b"e"}
+    contents["big.bin"] = bytes(range(256)) * 20_000  # several pieces
+    for name, data in contents.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(data)
+    listed = {r.path: r.size for r in listings.walk_files(spark, str(tmp_path)).collect()}
+    assert listed == {name: len(data) for name, data in contents.items()}
+    digests = listings.streamed_digests(spark, str(tmp_path))
+    assert {r.path: r.md5 for r in digests.collect()} == {n: hashlib.md5(d).hexdigest() for n, d in contents.items()}
+    assert {r.path for r in listings.walk_files(spark, f"{tmp_path}/", "*.bin").collect()} == set(contents) - {"empty"}
+    lines = [r.value for r in manifests.manifest_lines(digests).collect()] + ["# a comment", ""]
+    said = subprocess.run(["md5sum", "-c"], input="\n".join(lines), cwd=tmp_path, capture_output=True, text=True)
+    text = spark.createDataFrame([(line,) for line in lines], "value string")
+    assert manifests.gate(manifests.verify_manifest(digests, manifests.parse_manifest_lines(text))).first().passed
+    assert said.returncode == 0
+    (tmp_path / "_b.bin").write_bytes(b"x")
+    verdict = manifests.gate(manifests.verify_manifest(digests, manifests.parse_manifest_lines(text))).first()
+    assert (verdict.mismatch, verdict.missing, verdict.passed) == (1, 0, False)
