@@ -18,7 +18,7 @@ import json
 import unicodedata
 from array import array
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, cached_property
 from itertools import islice
 
 import numpy as np
@@ -31,8 +31,8 @@ from tokenizers import Tokenizer
 from shelfmark.llm.common import WORD_BPE, slices, vocabulary_path
 
 #: Characters of text that are encoded together, and the distinct words kept between runs.
-RUN_CHARS = 4_000_000
-KEPT_WORDS = 400_000
+RUN_CHARS = 1_500_000
+KEPT_WORDS = 120_000
 #: Finds letters beyond the blocks whose tables have long been complete.
 BEYOND_LATIN = regex.compile(r"[\u0530-\U0010FFFF]").search
 
@@ -78,11 +78,16 @@ class WordBpe:
         self.keys = keys[self.rank_of]
         characters = byte_characters()
         self.byte_of = {c: b for b, c in enumerate(characters)}
-        self.library = Tokenizer.from_file(path)
+        self.path = path
         self.inner = np.array([vocab[c] for c in characters], np.int32)
         self.last = np.array([vocab[c + end] for c in characters], np.int32)
         self.forget()
 
+    @cached_property
+    def library(self) -> Tokenizer:
+        """The library's own tokenizer, for the few texts that need its tables."""
+        return Tokenizer.from_file(self.path)
+
     def forget(self) -> None:
         """Drop the kept words."""
         self.codes = Codes()

@@ -78,7 +78,6 @@ def hex_digits(fp: Column) -> Column:
 @cache
 def nearest() -> np.ndarray:
     """Codeword index (its 12 message bits) of the codeword nearest to each 23-bit word."""
-    words = np.arange(1 << 23, dtype=np.uint32)
 
     def remainder(w: np.ndarray) -> np.ndarray:
         w = w.copy()
@@ -89,7 +88,11 @@ def nearest() -> np.ndarray:
     errors = np.array([sum(1 << b for b in c) for n in range(4) for c in combinations(range(23), n)], np.uint32)
     pattern = np.zeros(1 << 11, np.uint32)
     pattern[remainder(errors)] = errors
-    return ((words ^ pattern[remainder(words)]) >> np.uint32(11)).astype(np.uint16)
+    index = np.empty(1 << 23, np.uint16)
+    for first in range(0, 1 << 23, 1 << 18):  # in parts, for the sake of memory
+        words = np.arange(first, first + (1 << 18), dtype=np.uint32)
+        index[first : first + (1 << 18)] = (words ^ pattern[remainder(words)]) >> np.uint32(11)
+    return index
 
 
 def keys_of(fps: np.ndarray) -> list[np.ndarray]:
