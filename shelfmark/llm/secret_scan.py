@@ -3,7 +3,9 @@
 A value in credential context is cut at minimum cost into dictionary words, dates, repeats,
 keyboard walks and brute-force characters; the cost is the decimal logarithm of the guesses
 that an attacker who knows these patterns needs. Values that cost at least ``LEAST_COST`` are
-reported. The words are those of a public vocabulary, whose order gives their ranks.
+reported, unless fixed formats cover them whole. The words are those of a public vocabulary,
+whose order gives their ranks. A value in quotes ends at the closing one in its line; any other
+ends at a space, at a tag, and at a comma, semicolon or quote that ends it by what follows.
 
 Rows: a null text is empty and has no spans. Repeated rows are scanned each on their own,
 other columns pass through whatever their names (the result is one struct column), an empty
@@ -15,10 +17,9 @@ from __future__ import annotations
 import json
 import math
 import re
-from bisect import bisect_left
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import cache
-from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column
@@ -37,9 +38,14 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")  # a shorter run would be dropped
 CONTEXT = re.compile(
     r"""(?:pass(?:word|wd|phrase|code)|pwd|secret|token|(?:api|access|private|auth|account)[_-]?key|bearer|credentials?)"""
-    r"""["']?(?:\x20{0,4}(?::|=>?|->)\x20{0,4}|\x20is\x20)["']?([^\s"'<>,;]{6,})""",
+    r"""["']?(?:[ \t]*+(?::|=>?|->)[ \t]*+|[ \t]++is[ \t]++)"""
+    r"""(?:"((?:\\.|[^"\\\n]){6,}+)"(?![A-Za-z0-9])|'((?:\\.|[^'\\\n]){6,}+)'(?![A-Za-z0-9])|["']?+((?:[^\s"'<>,;]"""
+    # Quotes, commas, semicolons and brackets inside a value, not those that end it.
+    r"""|["'](?![\s"',;:)\]}<>]|\Z)|[,;](?![\s"',;<]|\Z|[A-Z_][\w.-]{0,63}["']?[ \t]{0,8}[:=])"""
+    r"""|<(?!\s|\Z|!--|/?[A-Z][A-Z0-9-]{0,30}(?:[\s/][^<>\n]{0,200})?>)|>(?![\s<]|\Z)){6,}+))""",
     re.I | re.A,
 )
+CLOSERS = {")": "(", "]": "[", "}": "{"}
 #: Rows of a keyboard; neighbours in a row, and keys above each other, are one step apart.
 KEYBOARD = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm")
 #: What stands for letters in disguised words.
@@ -141,6 +147,17 @@ def guess_cost(value: str, words: dict[str, float]) -> float:
     return best[n]
 
 
+def value_place(match: re.Match[str]) -> tuple[int, int]:
+    """Where the value of a context match lies, without brackets that were opened before it."""
+    start, end = match.span(match.lastindex)
+    if match.lastindex == 3:
+        value = match[3]
+        while value and value[-1] in CLOSERS and value.count(value[-1]) > value.count(CLOSERS[value[-1]]):
+            value = value[:-1]
+        end = start + len(value)
+    return start, end
+
+
 def spans_of(text: str, words: dict[str, float], least: float) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
     """(start, end, kind) of the fixed formats, and of the values that the cost adds."""
     base = [(m.start(), m.end(), "assign") for m in ASSIGN.finditer(text) if len(m[1]) >= 6]
@@ -149,12 +166,20 @@ def spans_of(text: str, words: dict[str, float], least: float) -> tuple[list[tup
     base += [(m.start(), m.end(), "hex") for m in HEX.finditer(text)]
     order = lambda s: (s[0], KINDS.index(s[2]), s[1])
     base.sort(key=order)
-    starts, reach = [a for a, _, _ in base], list(accumulate((b for _, b, _ in base), max))
+    starts, ends = [], []  # of what fixed spans cover, joined where they meet
+    for start, end, _ in base:
+        if ends and start <= ends[-1]:
+            ends[-1] = max(ends[-1], end)
+        else:
+            starts.append(start)
+            ends.append(end)
     added = []
     for m in CONTEXT.finditer(text):
-        before = bisect_left(starts, m.end(1))  # fixed spans that begin before the value ends
-        if (not before or reach[before - 1] <= m.start(1)) and guess_cost(m[1], words) >= least:
-            added.append((m.start(1), m.end(1), "value"))
+        start, end = value_place(m)
+        before = bisect_right(starts, start)
+        covered = before and ends[before - 1] >= end
+        if not covered and end - start >= 6 and guess_cost(text[start:end], words) >= least:
+            added.append((start, end, "value"))
     return base, sorted(base + added, key=order)
 
 
