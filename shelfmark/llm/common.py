@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 
 from shelfmark.session import fresh_dir
 
-#: Path-free name of the public vocabulary that the token operators take by default.
+#: Path-free names of the public vocabularies that the token operators take by default.
 WORD_BPE = "word_bpe_49k.json"
 PIECE_BPE = "piece_bpe_32k.model"
+BYTE_BPE = "byte_bpe_50k.json"
 
 
 def workers_find_package(spark: SparkSession) -> None:

@@ -10,11 +10,14 @@ from shelfmark.llm import (
     chat,
     classifier,
     decontamination,
+    fill_middle,
+    mixing,
     pii,
     quality_rules,
     secret_scan,
     simhash,
     substrings,
+    token_alignment,
     token_counts,
 )
 from shelfmark.llm.common import table
@@ -114,6 +117,31 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.formatted(turns))
 
 
+def op11_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of every document, with its source's size and target."""
+    mix = mixing.Mix(table(spark, sf_dir, "documents"), "doc_id")
+    sources = mix.sources.select("rank", F.col("size").alias("source_size"), "target")
+    return mix.taken.join(sources, "rank").select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cuts of every document, with digests of the output and of the text rebuilt from it."""
+    key = F.concat(F.lit("1:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    cut = table(spark, sf_dir, "documents").select("doc_id", fill_middle.transformed(F.col("text"), key).alias("cut"))
+    return cut.select(
+        "doc_id",
+        *[F.col(f"cut.{name}").alias(name) for name in ("n", "form", "prefix_chars", "middle_chars")],
+        F.sha2(F.col("cut.output").cast("binary"), 256).alias("output_sha256"),
+        F.sha2(fill_middle.restored(F.col("cut.output"), F.col("cut.form")).cast("binary"), 256).alias("restored_sha256"),
+    )
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links between the tokens of two tokenizers in every document."""
+    aligned = token_alignment.Alignment(table(spark, sf_dir, "documents"), "doc_id")
+    return aligned.documents.withColumnRenamed("id", "doc_id")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -127,6 +155,9 @@ QUERIES = {
         op8_benchmark_decontamination,
         op9_secret_scan,
         op10_chat_formatting,
+        op11_mixing_sources,
+        op12_fill_in_middle,
+        op13_token_alignment,
     )
 }
 
@@ -204,3 +235,33 @@ SELECT conv_id, count(*) AS n_turns,
            + length(regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g'))) AS BIGINT) AS formatted_chars
 FROM turns GROUP BY conv_id
 """
+
+# Units by regular expression, cuts from the digest of the id.
+SQL["op12_fill_in_middle"] = r"""
+WITH split AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS us,
+         sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h
+  FROM documents
+), drawn AS (
+  SELECT doc_id, text, us, len(us) AS n,
+         CAST('0x' || h[1:8] AS BIGINT) % (len(us) + 1) AS c1, CAST('0x' || h[9:16] AS BIGINT) % (len(us) + 1) AS c2,
+         CAST('0x' || h[17:24] AS BIGINT) % 100 AS plain_draw, CAST('0x' || h[25:32] AS BIGINT) % 100 AS spm_draw
+  FROM split
+), cut AS (
+  SELECT doc_id, text, n,
+         CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR plain_draw >= 90 THEN 'plain'
+              WHEN spm_draw < 20 THEN 'spm' ELSE 'psm' END AS form,
+         array_to_string(us[1:least(c1, c2)], '') AS p,
+         array_to_string(us[least(c1, c2) + 1:greatest(c1, c2)], '') AS m,
+         array_to_string(us[greatest(c1, c2) + 1:], '') AS s
+  FROM drawn
+)
+SELECT doc_id, n, form,
+       CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text
+                        WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+                        ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM cut
+"""
