@@ -50,9 +50,22 @@ CLOSERS = {")": "(", "]": "[", "}": "{"}
 KEYBOARD = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm")
 #: What stands for letters in disguised words.
 DISGUISE = str.maketrans("@4301!$57", "aaeoiisst")
-DATE = re.compile(r"(?:19|20)\d\d(?:([-./]?)(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12]\d|3[01]))?|(?:0[1-9]|[12]\d|3[01])([-./]?)(?:0[1-9]|1[0-2])\2(?:19|20)?\d\d")
-LONGEST_WORD = 20
-LONGEST_UNIT = 8
+#: A year, a date from the year on, and one from the day on; with four or two digits of the year.
+DATES = [
+    re.compile(pattern, re.A)
+    for pattern in (
+        r"(?:19|20)\d\d",
+        r"(?:19|20)\d\d([-./]?)(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12]\d|3[01])",
+        r"(?:0[1-9]|[12]\d|3[01])([-./]?)(?:0[1-9]|1[0-2])\1(?:19|20)\d\d",
+        r"(?:0[1-9]|[12]\d|3[01])([-./]?)(?:0[1-9]|1[0-2])\1\d\d",
+    )
+]
+#: Least characters of a word and of a walk.
+WORD_CHARS, WALK_CHARS = 3, 4
+#: No character costs less by brute force.
+LEAST_CHARACTER = 1.0
+#: What another part costs that an attacker has to think of.
+JOINT = math.log10(2)
 
 
 def _neighbours() -> frozenset[tuple[str, str]]:
@@ -68,83 +81,130 @@ def _neighbours() -> frozenset[tuple[str, str]]:
 NEIGHBOURS = _neighbours()
 
 
+class Words:
+    """Logarithm of the rank of each whole word of a vocabulary, and how long words can be."""
+
+    def __init__(self, words: list[str]):
+        self.costs = {w: math.log10(rank) for rank, w in enumerate(words, 2)}
+        self.longest: dict[str, int] = {}
+        for w in self.costs:
+            head = w[:WORD_CHARS]
+            self.longest[head] = max(len(w), self.longest.get(head, 0))
+
+
 @cache
-def word_costs(path: str) -> dict[str, float]:
-    """Logarithm of the rank of each whole word of a vocabulary file."""
+def loaded_words(path: str) -> Words:
+    """The whole words of a vocabulary file, in its order."""
     with open(path, encoding="utf-8") as file:
         vocab = json.load(file)["model"]["vocab"]
     words = [t.removesuffix("</w>") for t in sorted(vocab, key=vocab.get) if t.endswith("</w>")]
-    return {w: math.log10(rank) for rank, w in enumerate((w for w in words if len(w) >= 3 and w.isalpha()), 2)}
+    return Words([w for w in words if len(w) >= WORD_CHARS and w.isalpha()])
 
 
 def brute_cost(character: str) -> float:
     """Logarithm of the characters that one like this is picked from."""
     if character.isdigit():
-        return 1.0
+        return LEAST_CHARACTER
     if character.isalpha():
         return math.log10(26)
     return math.log10(33)
 
 
-def repeat_ends(value: str, unit: int) -> list[int]:
-    """For each place, where the stretch ends in which each character equals the one a unit before."""
-    n = len(value)
-    ends = [min(i + unit, n) for i in range(n)]
-    for i in range(n - unit - 1, -1, -1):
-        if value[i] == value[i + unit]:
-            ends[i] = ends[i + 1]
-    return ends
-
-
-def walk_ends(keys: str) -> tuple[list[int], list[int]]:
-    """For each place, where a walk over neighbouring keys from there ends, and turns up to there."""
-    n = len(keys)
-    ends, turns = list(range(1, n + 1)), [0] * (n + 1)
-    for i in range(n - 2, -1, -1):
-        if (keys[i], keys[i + 1]) in NEIGHBOURS:
-            ends[i] = ends[i + 1]
-    for i in range(2, n):
-        turned = ord(keys[i]) - ord(keys[i - 1]) != ord(keys[i - 1]) - ord(keys[i - 2])
-        turns[i] = turns[i - 1] + turned
-    turns[n] = turns[n - 1] if n else 0
-    return ends, turns
-
-
-def guess_cost(value: str, words: dict[str, float]) -> float:
-    """Decimal logarithm of the guesses for a value, by its cheapest segmentation."""
+class Stretches:
+    """Where the stretch around a place ends in which each character equals the one a unit before.
+
+    Places are asked for in ascending order, so a stretch is walked through once.
+    """
+
+    def __init__(self, value: str, unit: int):
+        self.value, self.unit, self.end = value, unit, 0
+
+    def end_from(self, i: int) -> int:
+        value, unit = self.value, self.unit
+        if i + unit >= self.end:
+            j, n = i + unit, len(value)
+            while j < n and value[j] == value[j - unit]:
+                j += 1
+            self.end = j
+        return self.end
+
+
+def guess_cost(value: str, words: Words, bound: float = math.inf) -> float:
+    """Decimal logarithm of the guesses for a value, by its cheapest segmentation.
+
+    Infinite where that is not below ``bound``: no cost is negative, so places that cost as
+    much are left alone, and so are repeats whose unit alone costs as much. Under a bound the
+    work grows in proportion to the value; without one it grows with the square.
+
+    A repeat may end after any number of turns. Of two starts of one stretch, whole units
+    apart, the later is left out where the earlier reaches all its ends at no higher cost.
+    """
     n, lower = len(value), value.lower()
     if len(lower) != n:  # a letter whose small form is longer
         lower = value
     plain = lower.translate(DISGUISE)
-    runs = {unit: repeat_ends(value, unit) for unit in range(1, LONGEST_UNIT + 1)}
-    walks, turns = walk_ends(lower)
+    forms = [(lower, 0.0)] if plain == lower else [(lower, 0.0), (plain, JOINT)]
+    units = min(n // 2, int(min(bound, n) / LEAST_CHARACTER))
+    stretches = [Stretches(value, unit) for unit in range(1, units + 1)]
+    starts: dict[tuple[int, int, int], list[int]] = {}  # of repeats, by unit, stretch and residue
     best = [0.0] + [math.inf] * n
-    joint = math.log10(2)  # another part that an attacker has to think of
+    furthest = 0
     for i in range(n):
-        here = best[i] + (joint if i else 0.0)
+        if i > furthest:
+            break
+        so_far = best[i]
+        if so_far >= bound:
+            continue
+        here = so_far + (JOINT if i else 0.0)
 
         def offer(end: int, cost: float) -> None:
-            if here + cost < best[end]:
-                best[end] = here + cost
+            nonlocal furthest
+            if cost < best[end]:
+                best[end] = cost
+                if cost < bound and end > furthest:
+                    furthest = end
 
         # Brute force continues at no cost for a new part.
-        best[i + 1] = min(best[i + 1], best[i] + brute_cost(value[i]))
-        for j in range(i + 3, min(n, i + LONGEST_WORD) + 1):
-            for form, extra in ((lower, 0.0), (plain, joint)):
-                cost = words.get(form[i:j])
+        offer(i + 1, so_far + brute_cost(value[i]))
+        for form, extra in forms:
+            for j in range(i + WORD_CHARS, min(n, i + words.longest.get(form[i : i + WORD_CHARS], 0)) + 1):
+                cost = words.costs.get(form[i:j])
                 if cost is not None:
                     capitals = sum(c.isupper() for c in value[i:j])
-                    offer(j, cost + extra + (joint * min(capitals, j - i - capitals + 1) if capitals else 0.0))
-        if date := DATE.match(value, i):
-            offer(date.end(), math.log10(120) if date.end() - i == 4 else math.log10(120 * 366))
-        for unit, ends in runs.items():
-            times = (ends[i] - i) // unit
-            if times >= 2 and unit * times >= 3:
-                offer(i + unit * times, sum(map(brute_cost, value[i : i + unit])) + math.log10(times))
-        j = walks[i]
-        if j - i >= 4:
-            offer(j, math.log10(36) + math.log10(j - i) + (turns[j - 1] - turns[i + 1]) * math.log10(4))
-    return best[n]
+                    offer(j, here + cost + extra + (JOINT * min(capitals, j - i - capitals + 1) if capitals else 0.0))
+        for date in DATES:
+            if found := date.match(value, i):
+                end = found.end()
+                offer(end, here + (math.log10(120) if end - i == 4 else math.log10(120 * 366)))
+        unit_cost = 0.0
+        for unit, stretch in enumerate(stretches, 1):
+            if i + unit >= n:
+                break
+            unit_cost += brute_cost(value[i + unit - 1])
+            if here + unit_cost >= bound:
+                break
+            end = stretch.end_from(i)
+            if end - i < max(2 * unit, 3):
+                continue
+            own = starts.setdefault((unit, end, i % unit), [])
+            if any(so_far - best[k] >= math.log10(((i - k) // unit + 2) / 2) for k in own):
+                continue
+            own.append(i)
+            for times in range(2, (end - i) // unit + 1):
+                if unit * times >= 3:
+                    offer(i + unit * times, here + unit_cost + math.log10(times))
+        turns = 0
+        for j in range(i + 1, n):
+            if (lower[j - 1], lower[j]) not in NEIGHBOURS:
+                break
+            if j - i >= 2:
+                turns += ord(lower[j]) - ord(lower[j - 1]) != ord(lower[j - 1]) - ord(lower[j - 2])
+            if j - i + 1 >= WALK_CHARS:
+                cost = here + math.log10(36) + math.log10(j - i + 1) + turns * math.log10(4)
+                if cost >= bound:
+                    break
+                offer(j + 1, cost)
+    return best[n] if best[n] < bound else math.inf
 
 
 def value_place(match: re.Match[str]) -> tuple[int, int]:
@@ -152,13 +212,14 @@ def value_place(match: re.Match[str]) -> tuple[int, int]:
     start, end = match.span(match.lastindex)
     if match.lastindex == 3:
         value = match[3]
-        while value and value[-1] in CLOSERS and value.count(value[-1]) > value.count(CLOSERS[value[-1]]):
-            value = value[:-1]
-        end = start + len(value)
+        counts = {c: value.count(c) for pair in CLOSERS.items() for c in pair}
+        while end > start and (last := value[end - start - 1]) in CLOSERS and counts[last] > counts[CLOSERS[last]]:
+            counts[last] -= 1
+            end -= 1
     return start, end
 
 
-def spans_of(text: str, words: dict[str, float], least: float) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
+def spans_of(text: str, words: Words, least: float) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
     """(start, end, kind) of the fixed formats, and of the values that the cost adds."""
     base = [(m.start(), m.end(), "assign") for m in ASSIGN.finditer(text) if len(m[1]) >= 6]
     if "AKIA" in text:
@@ -178,7 +239,7 @@ def spans_of(text: str, words: dict[str, float], least: float) -> tuple[list[tup
         start, end = value_place(m)
         before = bisect_right(starts, start)
         covered = before and ends[before - 1] >= end
-        if not covered and end - start >= 6 and guess_cost(text[start:end], words) >= least:
+        if not covered and end - start >= 6 and guess_cost(text[start:end], words, least) >= least:
             added.append((start, end, "value"))
     return base, sorted(base + added, key=order)
 
@@ -190,7 +251,7 @@ def scanned(text: Column, path: str | None = None, least: float = LEAST_COST) ->
 
     @F.pandas_udf(f"base: {spans}, spans: {spans}")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        words = word_costs(path)
+        words = loaded_words(path)
         as_rows = lambda found: [{"kind": k, "start": a, "end": b} for a, b, k in found]
         for batch in batches:
             found = [spans_of(t, words, least) for texts in slices(batch, 1 << 30) for t in texts]

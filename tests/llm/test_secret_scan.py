@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import time
 
 import public_tokenizers
 import pytest
@@ -12,7 +13,8 @@ from pyspark.sql import functions as F
 from shelfmark.llm import queries
 from shelfmark.llm import secret_scan as scan
 
-WORDS = {"pass": 1.0, "word": 1.5, "secret": 2.0}
+WORDS = scan.Words(["pass", "word", "secret", "ghost", "artificialintelligence"])
+PUBLIC = public_tokenizers.path("word_bpe_49k.json")
 ASSIGN = re.compile(
     r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 )
@@ -35,45 +37,97 @@ def test_base_spans():
         assert scan.spans_of(text, WORDS, 1e9)[0] == plain_base(text), text
 
 
+ROWS = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm")
+PLACE = {key: (r, c) for r, row in enumerate(ROWS) for c, key in enumerate(row)}
+
+
+def near(a, b):
+    """Beside each other, or one row apart in the same column or the one before."""
+    if a not in PLACE or b not in PLACE:
+        return False
+    (r, c), (s, d) = sorted((PLACE[a], PLACE[b]))
+    return (r == s and abs(c - d) == 1) or (s - r == 1 and d - c in (-1, 0))
+
+
+def is_date(part):
+    bare = re.sub(r"[-./]", "", part)
+    if not re.fullmatch("[0-9]{4}|[0-9]{6}|[0-9]{8}", bare):
+        return False
+    year = lambda y: y[:2] in ("19", "20")
+    month, day = (lambda m: 1 <= int(m) <= 12), (lambda d: 1 <= int(d) <= 31)
+    if len(part) == 4:
+        return year(bare)
+    shapes = [part]
+    if len(bare) != len(part):
+        cuts = {m.start() for m in re.finditer(r"[-./]", part)}
+        same = len({part[c] for c in cuts}) == 1
+        shapes = [part] if same and len(cuts) == 2 else []
+    for _ in shapes:
+        def at(*widths):
+            return len(bare) == len(part) or [len(x) for x in re.split(r"[-./]", part)] == list(widths)
+        if len(bare) == 8 and at(4, 2, 2) and year(bare) and month(bare[4:6]) and day(bare[6:]):
+            return True
+        if len(bare) == 8 and at(2, 2, 4) and day(bare[:2]) and month(bare[2:4]) and year(bare[4:]):
+            return True
+        if len(bare) == 6 and at(2, 2, 2) and day(bare[:2]) and month(bare[2:4]):
+            return True
+    return False
+
+
+def part_costs(value, i, j, words):
+    """Costs of value[i:j] as one part, by every pattern it has; nothing is left out."""
+    part, lower, joint = value[i:j], value[i:j].lower(), math.log10(2)
+    for form, extra in ((lower, 0.0), (lower.translate(scan.DISGUISE), joint)):
+        if form in words.costs:
+            capitals = sum(c.isupper() for c in part)
+            yield words.costs[form] + extra + (joint * min(capitals, len(part) - capitals + 1) if capitals else 0)
+    if is_date(part):
+        yield math.log10(120 if len(part) == 4 else 120 * 366)
+    for unit in range(1, len(part) // 2 + 1):
+        if len(part) >= 3 and len(part) % unit == 0 and part == part[:unit] * (len(part) // unit):
+            yield sum(map(scan.brute_cost, part[:unit])) + math.log10(len(part) // unit)
+    if len(part) >= 4 and all(near(a, b) for a, b in zip(lower, lower[1:])):
+        steps = [ord(b) - ord(a) for a, b in zip(lower, lower[1:])]
+        yield math.log10(36) + math.log10(len(part)) + sum(a != b for a, b in zip(steps, steps[1:])) * math.log10(4)
+
+
 def cheapest(value, words):
-    """All segmentations, part by part."""
-    n, lower = len(value), value.lower()
-    joint, walks, turns = math.log10(2), *scan.walk_ends(lower)
-
-    def parts(i):
-        yield i + 1, scan.brute_cost(value[i]), False
-        for j in range(i + 3, min(n, i + scan.LONGEST_WORD) + 1):
-            for form, extra in ((lower, 0.0), (lower.translate(scan.DISGUISE), joint)):
-                if form[i:j] in words:
-                    capitals = sum(c.isupper() for c in value[i:j])
-                    yield j, words[form[i:j]] + extra + (joint * min(capitals, j - i - capitals + 1) if capitals else 0), True
-        for unit in range(1, scan.LONGEST_UNIT + 1):
-            times = 1
-            while value[i + unit * times : i + unit * (times + 1)] == value[i : i + unit] and i + unit * (times + 1) <= n:
-                times += 1
-            if times > 1 and unit * times >= 3:
-                yield i + unit * times, sum(map(scan.brute_cost, value[i : i + unit])) + math.log10(times), True
-        if date := scan.DATE.match(value, i):
-            yield date.end(), math.log10(120 if date.end() - i == 4 else 120 * 366), True
-        j = walks[i]
-        if j - i >= 4:
-            yield j, math.log10(36) + math.log10(j - i) + (turns[j - 1] - turns[i + 1]) * math.log10(4), True
-
-    def rest(i):
-        return 0.0 if i == n else min(c + (joint if named and i else 0) + rest(j) for j, c, named in parts(i))
-
-    return rest(0)
+    """The least cost over all segmentations."""
+    best = [0.0]
+    for j in range(1, len(value) + 1):
+        costs = [best[j - 1] + scan.brute_cost(value[j - 1])]
+        for i in range(j):
+            costs += [best[i] + (math.log10(2) if i else 0.0) + c for c in part_costs(value, i, j, words)]
+        best.append(min(costs))
+    return best[-1]
 
 
 def test_guess_cost_is_the_cheapest():
     rnd = random.Random(5)
-    for _ in range(400):
-        value = "".join(rnd.choices(["pass", "w0rd", "Secret", "ab", "aa", "1999", "qwer", "x", "7", "$"], k=rnd.randint(1, 4)))[:12]
-        assert math.isclose(scan.guess_cost(value, WORDS), cheapest(value, WORDS)), value
+    parts = ["pass", "w0rd", "Secret", "ab", "aa", "aba", "1999", "19990131", "qwer", "zxcvb", "ghost", "x", "7", "$", "1.2.", "01", "-", "a" * 9]
+    for _ in range(3000):
+        value = "".join(rnd.choices(parts, k=rnd.randint(1, 6)))
+        wanted = cheapest(value, WORDS)
+        assert math.isclose(scan.guess_cost(value, WORDS), wanted, abs_tol=1e-9), value
+        bounded = scan.guess_cost(value, WORDS, 6.0)
+        assert math.isclose(bounded, wanted, abs_tol=1e-9) if wanted < 6 - 1e-9 else bounded >= 6, value
+    for _ in range(3000):  # stretches of every period, cut anywhere
+        value = "".join(rnd.choices("ab1", k=rnd.randint(1, 4))) * rnd.randint(1, 9) + "".join(rnd.choices("ab1", k=rnd.randint(0, 3)))
+        assert math.isclose(scan.guess_cost(value, WORDS), cheapest(value, WORDS), abs_tol=1e-9), value
+
+
+def test_cost_of_parts_that_are_not_the_longest():
+    words = scan.loaded_words(PUBLIC)
+    assert scan.guess_cost("zxcvbghost", words) == pytest.approx(7.926, abs=1e-3)
+    assert scan.guess_cost("zxcvbghost7", words) < scan.LEAST_COST
+    for n in (8, 9, 12):  # the unit's length is no bound
+        unit = "hqzvxkwjpydm"[:n]
+        assert scan.guess_cost(unit * 3, WORDS) == pytest.approx(scan.guess_cost(unit, WORDS) + math.log10(3))
+    assert scan.guess_cost("artificialintelligence", WORDS) == pytest.approx(math.log10(6))
 
 
 def test_weak_and_strong_values():
-    words = scan.word_costs(public_tokenizers.path("word_bpe_49k.json"))
+    words = scan.loaded_words(PUBLIC)
     weak = ["password", "Passw0rd1", "qwertyuiop", "aaaaaaaaaaaa", "20240131", "correcthorse", "abcabcabcabc"]
     strong = ["xK9#mQ2$vL7", "e1c093f22d3955eaac", "zR8!pT5-wN3"]
     assert all(scan.guess_cost(v, words) < scan.LEAST_COST for v in weak)
@@ -82,7 +136,7 @@ def test_weak_and_strong_values():
 
 def test_values_in_context_are_added():
     text = "the pwd: xK9#mQ2$vL7 and pwd: password and passphrase is zR8!pT5-wN3; token=abcdef123456"
-    _, spans = scan.spans_of(text, scan.word_costs(public_tokenizers.path("word_bpe_49k.json")), scan.LEAST_COST)
+    _, spans = scan.spans_of(text, scan.loaded_words(PUBLIC), scan.LEAST_COST)
     assert [(text[a:b], k) for a, b, k in spans] == [
         ("xK9#mQ2$vL7", "value"), ("zR8!pT5-wN3", "value"), ("token=abcdef123456", "assign"),
     ]
@@ -103,7 +157,7 @@ def test_values_in_context_are_added():
     ("pwd: short, pwd: '' and pwd=\"ab\", the secret: 'tis the time, don't say", []),
 ])
 def test_values_are_whole(text, values):
-    base, spans = scan.spans_of(text, scan.word_costs(public_tokenizers.path("word_bpe_49k.json")), scan.LEAST_COST)
+    base, spans = scan.spans_of(text, scan.loaded_words(PUBLIC), scan.LEAST_COST)
     assert base == plain_base(text) and set(base) <= set(spans)
     assert [text[a:b] for a, b, k in spans if k == "value"] == values
 
@@ -111,12 +165,26 @@ def test_values_are_whole(text, values):
 @pytest.mark.parametrize("part", ["pwd ", "pwd\t", "pwd:", 'pwd="', "pwd='\\", "pwd:<a ", "pwd=,a", "pwd is "])
 def test_texts_of_one_part_end(part):
     for more in ("", " " * 200_000):
-        scan.spans_of(part * 20_000 + more, WORDS, 1e9)
+        scan.spans_of(part * 20_000 + more, WORDS, scan.LEAST_COST)
 
 
-@pytest.mark.parametrize("value", ["a" * 100_000, "ab" * 50_000, "qwerty" * 20_000])
-def test_long_values_end(value):
-    assert scan.guess_cost(value, WORDS) > 0
+@pytest.mark.parametrize(
+    "value, guessed",
+    [("a" * 300_000, True), ("ab" * 150_000, True), ("qwerty" * 20_000, False), ("aaab" * 10_000, True), ("aaab" * 80_000, False), ("zR8!" * 9_000, True)],
+)
+def test_long_values_end(value, guessed):
+    began = time.perf_counter()
+    cost = scan.guess_cost(value, scan.loaded_words(PUBLIC), scan.LEAST_COST)
+    assert (cost < scan.LEAST_COST) == guessed and time.perf_counter() - began < 20
+
+
+def test_a_megabyte_of_closers():
+    began = time.perf_counter()
+    for text in ("pwd: " + "(" * 1000 + "zR8!pT5-wN3" + ")" * 1_000_000, "pwd: zR8!pT5-wN3" + ")]}" * 350_000):
+        base, spans = scan.spans_of(text, scan.loaded_words(PUBLIC), scan.LEAST_COST)
+        assert base == [] and len(spans) == 1
+    assert text[spans[0][0] : spans[0][1]] == "zR8!pT5-wN3"
+    assert time.perf_counter() - began < 5
 
 
 def test_whole_table_and_awkward_rows(spark):
