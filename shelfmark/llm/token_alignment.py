@@ -20,25 +20,23 @@ gives an empty one. A text longer than a block is a block of its own.
 from __future__ import annotations
 
 import hashlib
-import unicodedata
+import json
 import uuid
 from collections.abc import Iterator
 from functools import cache, cached_property
 
 import numpy as np
 import pandas as pd
-import regex
 import sentencepiece
+import tiktoken
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
 
-from shelfmark.llm.bpe import BEYOND_LATIN, byte_characters
+from shelfmark.llm.bpe import byte_characters
 from shelfmark.llm.common import BYTE_BPE, PIECE_BPE, slices, stored, vocabulary_path
 
-#: Characters of text in a block, and the distinct words kept between blocks.
+#: Characters of text in a block.
 BLOCK_CHARS = 2_000_000
-KEPT_WORDS = 200_000
 #: The split of byte-level BPE (a fixed value of the file format).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -52,37 +50,28 @@ class Tokens:
 
 
 class ByteBpe:
-    """The byte-level tokenizer: distinct words are encoded by the library, once."""
+    """The byte-level tokenizer of a tokenizer file."""
 
     def __init__(self, path: str):
-        self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True  # their strings in texts are plain text
-        self.library.no_truncation()
-        self.library.no_padding()
+        with open(path, encoding="utf-8") as file:
+            spec = json.load(file)
+        vocab, merges = spec["model"]["vocab"], spec["model"]["merges"]
         byte_of = {c: b for b, c in enumerate(byte_characters())}
-        size = self.library.get_vocab_size()
-        entries = [self.library.id_to_token(i) for i in range(size)]
-        self.entries = [bytes(byte_of[c] for c in e) if set(e) <= byte_of.keys() else e.encode() for e in entries]
-        self.words = regex.compile(PATTERN).findall
-        self.kept: dict[str, np.ndarray] = {}
-
-    def split(self, text: str) -> list[str]:
-        """Words of a text; the library splits where its tables may know other letters."""
-        if BEYOND_LATIN(text) and any(unicodedata.category(c) == "Cn" for c in set(text)):
-            raw = text.encode()
-            ends = np.cumsum([len(piece) for piece, _ in self.library.pre_tokenizer.pre_tokenize_str(text)]).tolist()
-            return [raw[a:b].decode() for a, b in zip([0, *ends[:-1]], ends)]
-        return self.words(text)
+        special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        ranks = {bytes(byte_of[c] for c in entry): i for entry, i in vocab.items() if entry not in special}
+        made = [vocab["".join(m if isinstance(m, list) else m.split(" "))] for m in merges]
+        if made != sorted(made):
+            raise ValueError("the ids of merged entries do not follow the order of the merges")
+        self.entries = [b""] * (1 + max(*vocab.values(), *special.values()))
+        for entry, i in ranks.items():
+            self.entries[i] = entry
+        for entry, i in special.items():
+            self.entries[i] = entry.encode()
+        self.merged = tiktoken.Encoding(path, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.kept) > KEPT_WORDS:
-            self.kept.clear()
-        rows = [self.split(text) for text in texts]
-        fresh = list({word for row in rows for word in row if word not in self.kept})
-        for word, encoded in zip(fresh, self.library.encode_batch_fast(fresh, add_special_tokens=False)):
-            self.kept[word] = np.array(encoded.ids, np.int32)
-        none = np.empty(0, np.int32)
-        return [np.concatenate([*map(self.kept.__getitem__, row), none]) for row in rows]
+        """Ids of each text; strings of special tokens are plain text."""
+        return [self.merged.encode_to_numpy(text, disallowed_special=()).astype(np.int32) for text in texts]
 
 
 class Pieces:
@@ -215,11 +204,8 @@ class Aligner:
         none = np.empty(0, np.int32)
         both = []
         for text, a, b in zip(spaced, self.a.encode(spaced), self.b.encode(texts)):
-            raw = text.encode()
-            same = all(
-                b"".join(map(entries.__getitem__, ids.tolist())) == raw
-                for ids, entries in ((a, self.a.entries), (b, self.b.entries))
-            )
+            # Bytes never change on the A side, whose entries are merged from them.
+            same = b"".join(map(self.b.entries.__getitem__, b.tolist())) == text.encode()
             both.append((a, b) if same else (none, none))
         return Tokens([a for a, _ in both]), Tokens([b for _, b in both])
 
