@@ -39,8 +39,6 @@ BLOCK_WORDS = 1024
 SHARD_BLOCKS = 1024
 #: Sources above which the tree splits groups of sources first.
 FAN_OUT = 1024
-#: Rows of a source that are put in order together, on average.
-BUCKET_ROWS = 65_536
 #: Standard deviations on each side of the mode that a draw can reach: beyond lies less than
 #: the rounding of a double.
 REACH = 12
@@ -151,7 +149,7 @@ class Mix:
         block_words: int = BLOCK_WORDS,
         shard_blocks: int = SHARD_BLOCKS,
         fan_out: int = FAN_OUT,
-        bucket_rows: int = BUCKET_ROWS,
+        buckets: int | None = None,
     ):
         self.seed = F.lit(seed)
         self.block_words = block_words
@@ -166,7 +164,8 @@ class Mix:
             F.xxhash64(F.lit(1), self.seed, id_value.cast("string"), source, text).alias("tie"),
         )
         self.rows = stored(rows, "mix-rows")
-        self.buckets = max(1, math.ceil(self.rows.count() / bucket_rows))
+        # By default as many buckets as rows in each, on average: neither grows into a hot group.
+        self.buckets = buckets or max(1, math.isqrt(self.rows.count()))
         self.sources = stored(self._sources(), "mix-sources")
         self.documents = stored(self._placed(), "mix-documents")
 
