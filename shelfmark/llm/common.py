@@ -51,6 +51,30 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Numbered:
+    """A table with its columns named by position, so that no work column can clash with one.
+
+    Names may hold dots, repeat work names or differ in case alone; ``back`` restores them.
+    """
+
+    def __init__(self, documents: DataFrame):
+        self.columns = documents.columns
+        self.names = [f"c{i}" for i in range(len(self.columns))]
+        self.rows = documents.toDF(*self.names)
+
+    def __contains__(self, column: str) -> bool:
+        return column in self.columns
+
+    def name(self, column: str) -> str:
+        """The name by position of a column."""
+        return self.names[self.columns.index(column)]
+
+    def back(self, rows: DataFrame, *more: Column, without: tuple[str, ...] = ()) -> DataFrame:
+        """The columns under their own names, and more after them."""
+        kept = [F.col(n).alias(c) for n, c in zip(self.names, self.columns) if c not in without]
+        return rows.select(*kept, *more)
+
+
 def slices(texts: pd.Series, chars: int) -> Iterator[list[str]]:
     """The texts of a batch in order, null as empty, in runs of about so many characters."""
     run: list[str] = []

@@ -86,7 +86,7 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words and items of benchmark passages in every document."""
     found = decontamination.with_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), "found")
-    items = F.array_sort(F.array_distinct(F.transform("found.matches", lambda m: m["item"])))
+    items = F.array_sort(F.array_distinct("found.items"))
     n_hit = decontamination.n_hit(F.col("found.matches"))
     return found.select(
         "doc_id",
@@ -232,7 +232,8 @@ SELECT conv_id, count(*) AS n_turns,
        sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
        CAST(sum(length('<|im_start|>') + length('<|im_end|>') + 2
            + length(regexp_replace(replace(replace(role, '\', '\\'), chr(10), '\n'), '<(\\*)\|', '<\\\1|', 'g'))
-           + length(regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g'))) AS BIGINT) AS formatted_chars
+           + length(regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g'))) AS BIGINT) AS formatted_chars,
+       CAST(0 AS BIGINT) AS taken_back
 FROM turns GROUP BY conv_id
 """
 

@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import small
 
@@ -35,7 +36,8 @@ def check(spark, texts, items, window):
     found = dec.with_matches(small.documents(spark, texts), benchmark, "found", window=window)
     rows = small.by_id(found.select("doc_id", "found.*", dec.n_hit(found["found.matches"]).alias("n_hit")))
     for i, (n, hit, names) in enumerate(plain_hits(texts, items, window)):
-        assert (rows[i].n_words, rows[i].n_hit, {m.item for m in rows[i].matches}) == (n, hit, names), (i, texts[i])
+        assert (rows[i].n_words, rows[i].n_hit, set(rows[i]['items'])) == (n, hit, names), (i, texts[i])
+        assert {m.item for m in rows[i].matches} <= names
     return rows
 
 
@@ -60,6 +62,61 @@ def test_longest_matches_and_their_places(spark):
     assert rows[1].matches == []
 
 
+def longest(words, items, window):
+    """All verbatim matches that no longer one contains, by comparing every start with every item."""
+    out = set()
+    for i, item in enumerate(items):
+        need = min(window, len(item))
+        spans = set()
+        for a in range(len(words)):
+            ends = [a]
+            for j in range(len(item)):
+                n = 0
+                while a + n < len(words) and j + n < len(item) and words[a + n] == item[j + n]:
+                    n += 1
+                ends.append(a + n)
+            if max(ends) - a >= need:
+                spans.add((a, max(ends)))
+        out |= {(a, b, i) for a, b in spans if not any((c, d) != (a, b) and c <= a and b <= d for c, d in spans)}
+    return out
+
+
+def test_matches_are_the_longest(spark):
+    """Items without a window of their own twice, sharing windows with others."""
+    rnd = random.Random(3)
+    for _ in range(300):
+        alphabet = [f"w{k}" for k in range(rnd.choice([6, 12, 30]))]
+        pool = [rnd.sample(alphabet, rnd.randint(1, 5)) for _ in range(5)]
+        texts = [tuple(w for part in rnd.choices(pool, k=rnd.randint(1, 5)) for w in part) for _ in range(7)]
+        items = [t for t in dict.fromkeys(texts) if len({t[k : k + 4] for k in range(len(t) - 3)}) == max(0, len(t) - 3)]
+        documents = [[w for part in rnd.choices(pool + [["other"]], k=rnd.randint(0, 20)) for w in part] for _ in range(4)]
+        windows = dec.Windows([(str(i), " ".join(item)) for i, item in enumerate(items)], 4)
+        found = windows.found([[w.encode() for w in d] for d in documents])
+        for words, (matches, names) in zip(documents, found):
+            wanted = longest(words, items, 4)
+            assert {(a, b, int(i)) for a, b, i in matches} == wanted and set(names) == {str(i) for _, _, i in wanted}
+
+
+def test_repeated_words_take_no_pairs():
+    began = time.perf_counter()
+    windows = dec.Windows([("the", "the " * 800), ("short", "the the the"), ("other", "of the " * 300)], 10)
+    found = windows.found([[b"the"] * 80_000, [b"of", b"the"] * 40_000, [b"the"] * 5])
+    assert {(a, b) for a, b, i in found[0][0] if i == "the"} == {(0, 80_000)}
+    assert {(a, b) for a, b, i in found[1][0] if i == "other"} == {(0, 80_000)}
+    assert [names for _, names in found] == [["the", "short"], ["other"], ["short"]]
+    assert time.perf_counter() - began < 2
+
+
+def test_a_passage_of_many_items_is_followed_once():
+    passage = " ".join(f"p{k}" for k in range(200))
+    windows = dec.Windows([(str(i), f"head{i} {passage} tail{i}") for i in range(3000)], 10)
+    began = time.perf_counter()
+    matches, names = windows.found([[b"x", *passage.encode().split(), b"tail7", b"y"] * 20])[0]
+    assert len(names) == 3000 and len(matches) == 20 * 3000
+    assert sum(b - a == 201 for a, b, _ in matches) == 20
+    assert time.perf_counter() - began < 2
+
+
 def test_awkward_rows(spark):
     rows = small.awkward(spark)
     none = spark.createDataFrame([], "item_id long, text string")
