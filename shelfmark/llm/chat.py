@@ -9,9 +9,14 @@ place and seeing where the outputs part and meet again.
 
 Every prefix is rendered whole, so the template may number turns, move or repeat messages,
 demand an order of roles or drop old turns; the task holds one conversation and its work grows
-with the square of the conversation's length. A template made as ``TurnByTurn`` joins pieces
-of single turns by construction. There a prefix is the prefix before it and the piece of its
-last turn, so only that piece is rendered, with the same result, and no turn is held.
+with the square of the conversation's length.
+
+A template may promise to look back at most so many turns (``looks_back``). Then a long
+conversation is rendered in runs: after ``RUN_TURNS`` turns or ``RUN_CHARS`` characters the
+prefixes begin with the last turns promised and those that these look back to. Inside a run
+prefixes are rendered and compared as ever; where a run begins, its last turns must render as
+they did in the run before, else the promise is broken and the job stops. The task holds a run
+and its work grows with the length. A conversation of one run is rendered by whole prefixes.
 
 Rows: turns are ordered by turn, then role, then text (null first, then as empty); rows that
 repeat a turn are turns of their own. A null text or role is empty. Null conversation ids
@@ -31,6 +36,9 @@ from pyspark.sql import functions as F
 
 Turn = tuple[str, str]
 START, END = "<|im_start|>", "<|im_end|>"
+#: Turns, and characters of output, after which a template that looks back so far begins a run.
+RUN_TURNS = 32
+RUN_CHARS = 1_000_000
 PIECE = re.compile(re.escape(START) + r"([^\n]*)\n(.*)" + re.escape(END) + r"\n", re.DOTALL)
 
 
@@ -54,14 +62,14 @@ def unescape_role(role: str) -> str:
     return re.sub(r"\\(.)", lambda m: "\n" if m[1] == "n" else m[1], unescape(role))
 
 
-class TurnByTurn:
-    """A template that joins what ``piece`` makes of each turn alone."""
+def looks_back(turns: int) -> Callable[[Callable[[list[Turn]], str]], Callable[[list[Turn]], str]]:
+    """A promise: no output of a turn depends on, or changes, what lies more turns before it."""
 
-    def __init__(self, piece: Callable[[str, str], str]):
-        self.piece = piece
+    def promise(template: Callable[[list[Turn]], str]) -> Callable[[list[Turn]], str]:
+        template.looks_back = turns
+        return template
 
-    def __call__(self, turns: list[Turn]) -> str:
-        return "".join(self.piece(role, text) for role, text in turns)
+    return promise
 
 
 def marked(role: str, text: str) -> str:
@@ -69,8 +77,10 @@ def marked(role: str, text: str) -> str:
     return f"{START}{escape_role(role)}\n{escape(text)}{END}\n"
 
 
-#: The default template.
-chat_markup = TurnByTurn(marked)
+@looks_back(0)
+def chat_markup(turns: list[Turn]) -> str:
+    """The default template: marked turns, one after the other."""
+    return "".join(marked(role, text) for role, text in turns)
 
 
 def parsed(piece: str) -> Turn:
@@ -95,9 +105,48 @@ def text_place(template: Callable[[list[Turn]], str], before: list[Turn], role:
     return head, len(out) - tail
 
 
+class Prefixes:
+    """The prefixes of one conversation, rendered and compared as its turns come."""
+
+    def __init__(self, template: Callable[[list[Turn]], str], loss_role: str):
+        self.template, self.loss_role = template, loss_role
+        self.looks_back = getattr(template, "looks_back", None)
+        self.before: list[Turn] = []
+        self.kept = 0  # turns that an earlier run has rendered already
+        self.last, self.at = "", 0
+
+    def add(self, role: str, text: str) -> tuple[str, int, int, int | None, int | None, int]:
+        """span, start, end, loss_start, loss_end and taken_back of the next turn."""
+        out = self.template([*self.before, (role, text)])
+        base = len(self.last) if out.startswith(self.last) else shared_start(self.last, out)
+        start, taken_back = self.at, len(self.last) - base
+        loss_start = loss_end = None
+        if role == self.loss_role:
+            first, end = text_place(self.template, self.before, role, out)
+            loss_start, loss_end = start + first - base, start + end - base
+        self.at += len(out) - base
+        self.before.append((role, text))
+        self.last = out
+        if self.looks_back is not None:
+            self._begin_run(max(1, self.looks_back))
+        return out[base:], start, self.at, loss_start, loss_end, taken_back
+
+    def _begin_run(self, turns: int) -> None:
+        """Go on with the last turns alone, once there are many."""
+        many = len(self.before) - self.kept >= max(RUN_TURNS, 2 * turns) or len(self.last) > RUN_CHARS
+        if not many or len(self.before) <= 2 * turns:
+            return
+        self.before = self.before[-2 * turns :]
+        self.kept = len(self.before)
+        head, rendered = self.template(self.before[:-turns]), self.template(self.before)
+        if not self.last.endswith(rendered[shared_start(head, rendered) :]):
+            raise ValueError("the template looks back further than it promises")
+        self.last = rendered
+
+
 def formatted(
     conversations: DataFrame,
-    template: Callable[[list[Turn]], str] = chat_markup,
+    template: Callable[[list[Turn]], str] | None = None,
     loss_role: str = "assistant",
 ) -> DataFrame:
     """A row for each turn, those of a conversation in order in one partition.
@@ -105,7 +154,9 @@ def formatted(
     ``span`` is what the turn adds, [start, end) its place in the conversation's output in
     code points, [loss_start, loss_end) that of a text under the loss mask (else null), and
     ``taken_back`` the characters of earlier output that the template rewrote at this turn.
+    The template is ``chat_markup`` unless given.
     """
+    template = template or chat_markup
     kind = conversations.schema["conv_id"].dataType.simpleString()
     turn_kind = conversations.schema["turn"].dataType.simpleString()
     ordered = (
@@ -118,29 +169,14 @@ def formatted(
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current: object = run  # no id
-        alone = isinstance(template, TurnByTurn)
-        before: list[Turn] = []
-        last, at = "", 0
+        prefixes = Prefixes(template, loss_role)
         for batch in batches:
             rows = []
             for conv_id, turn, role, text in zip(batch["conv_id"], batch["turn"], batch["role"], batch["text"]):
                 conv_id = None if pd.isna(conv_id) else conv_id
                 if conv_id != current:
-                    current, last, at = conv_id, "", 0
-                    before.clear()
-                out = template([*before, (role, text)])
-                base = len(last) if out.startswith(last) else shared_start(last, out)
-                loss_start = loss_end = None
-                if role == loss_role:
-                    first, end = text_place(template, before, role, out)
-                    loss_start, loss_end = at + first - base, at + end - base
-                rows.append(
-                    (conv_id, None if pd.isna(turn) else turn, role, out[base:], at, at + len(out) - base, loss_start, loss_end, len(last) - base)
-                )
-                at += len(out) - base
-                if not alone:  # else the next piece is rendered without the earlier ones
-                    before.append((role, text))
-                    last = out
+                    current, prefixes = conv_id, Prefixes(template, loss_role)
+                rows.append((conv_id, None if pd.isna(turn) else turn, role, *prefixes.add(role, text)))
             yield pd.DataFrame(rows, columns=COLUMNS).astype(
                 {"conv_id": object, "turn": object, "loss_start": "Int64", "loss_end": "Int64"}
             )
@@ -155,44 +191,62 @@ def formatted(
 COLUMNS = ["conv_id", "turn", "role", "span", "start", "end", "loss_start", "loss_end", "taken_back"]
 
 
+class Digest:
+    """Counts and digests of one conversation, read back from its spans."""
+
+    def __init__(self, conv_id: object):
+        self.conv_id = conv_id
+        self.n = self.chars = self.loss_chars = self.taken_back = 0
+        self.whole, self.loss = hashlib.sha256(), hashlib.sha256()
+        self.readable = True
+
+    def add(self, row: tuple) -> None:
+        self.n += 1
+        self.chars += len(row.span) - row.taken_back
+        self.taken_back += row.taken_back
+        # Where history was rewritten, the spans are not the output any more.
+        self.readable = self.readable and not row.taken_back and PIECE.fullmatch(row.span) is not None
+        if not self.readable:
+            return
+        role, text = parsed(row.span)
+        self.whole.update(f"{role}\n{text}\n".encode("utf-8", "replace"))
+        if not pd.isna(row.loss_start):
+            under = unescape(row.span[int(row.loss_start) - row.start : int(row.loss_end) - row.start])
+            self.loss_chars += len(under)
+            self.loss.update(under.encode("utf-8", "replace"))
+
+    def row(self) -> tuple:
+        read = (self.whole.hexdigest(), self.loss_chars, self.loss.hexdigest()) if self.readable else (None, None, None)
+        return (self.conv_id, self.n, *read, self.chars, self.taken_back)
+
+
 def digests(turns: DataFrame) -> DataFrame:
     """One row for each conversation, read back from the spans of the default template.
 
-    ``turns`` comes from ``formatted``, whose partitions and order it relies on.
+    ``taken_back`` are the characters that the template rewrote in all. What cannot be read
+    back, because history was rewritten or a span has another form, is null. ``turns`` comes
+    from ``formatted``, whose partitions and order it relies on.
     """
     kind = turns.schema["conv_id"].dataType.simpleString()
+    names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "taken_back"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current: object = run  # no id
-        n = chars = loss_chars = 0
-        whole, loss = hashlib.sha256(), hashlib.sha256()
+        current: Digest | None = None
         for batch in batches:
             rows = []
             for row in batch.itertuples(index=False):
                 conv_id = None if pd.isna(row.conv_id) else row.conv_id
-                if conv_id != current:
-                    if n:
-                        rows.append((current, n, whole.hexdigest(), loss_chars, loss.hexdigest(), chars))
-                    current, n, chars, loss_chars = conv_id, 0, 0, 0
-                    whole, loss = hashlib.sha256(), hashlib.sha256()
-                role, text = parsed(row.span)
-                n += 1
-                chars += len(row.span)
-                whole.update(f"{role}\n{text}\n".encode("utf-8", "replace"))
-                if not pd.isna(row.loss_start):
-                    under = unescape(row.span[int(row.loss_start) - row.start : int(row.loss_end) - row.start])
-                    loss_chars += len(under)
-                    loss.update(under.encode("utf-8", "replace"))
-            yield _digest_rows(rows)
-        if n:
-            yield _digest_rows([(current, n, whole.hexdigest(), loss_chars, loss.hexdigest(), chars)])
+                if current is None or conv_id != current.conv_id:
+                    if current:
+                        rows.append(current.row())
+                    current = Digest(conv_id)
+                current.add(row)
+            yield pd.DataFrame(rows, columns=names).astype({"conv_id": object, "loss_chars": "Int64"})
+        if current:
+            yield pd.DataFrame([current.row()], columns=names).astype({"conv_id": object, "loss_chars": "Int64"})
 
     return turns.mapInPandas(
         run,
-        f"conv_id {kind}, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint",
+        f"conv_id {kind}, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, "
+        "formatted_chars bigint, taken_back bigint",
     )
-
-
-def _digest_rows(rows: list[tuple]) -> pd.DataFrame:
-    names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
-    return pd.DataFrame(rows, columns=names).astype({"conv_id": object})
