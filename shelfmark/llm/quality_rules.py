@@ -1,10 +1,17 @@
 """Quality rules: counts over whole texts, and lines labelled as content or boilerplate.
 
 A linear-chain conditional random field scores each line by its form (symbols, capitals,
-table bars, repeats, digits, ends of sentences) and each step from line to line. Viterbi
-decoding gives the best sequence of labels for the whole text; the share of words in content
-lines decides whether the text is kept. The weights are fitted on a bounded sample of
-documents with a quality label; without labels fixed default weights are used.
+table bars, repeats, digits, ends of sentences, words of notices) and each step from line to
+line. Viterbi decoding gives the best sequence of labels for the whole text; the share of words
+in content lines decides whether the text is kept.
+
+The weights are fitted on a bounded sample of documents with a quality label; without labels
+fixed default weights are used. A document's label says nothing about a single line. It bounds
+the expected share of boilerplate lines: at most ``GOOD_SHARE`` in a good document, at least
+``BAD_SHARE`` in a bad one. Which lines those are is latent, but for the seeds: a line that
+stands between different neighbours in several documents of the sample is boilerplate. The fit
+draws the model's line marginals to those closest to them that meet the bounds and the seeds
+(posterior regularisation; one number per document shifts all its lines).
 
 Rows: a null text has no words, fails the base rule and is not kept. Labels of null quality
 or for unknown documents are passed over. Repeated rows are judged each on their own, ties
@@ -19,23 +26,35 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import slices
+from shelfmark.llm.common import Numbered, slices
 
 #: Bounds of the sample that the weights are fitted on: documents, and lines of a document.
 SAMPLE_DOCS = 4_000
 SAMPLE_LINES = 200
 CONTENT_SHARE = 0.5
+#: Bounds of the expected share of boilerplate lines that a document's label sets.
+GOOD_SHARE, BAD_SHARE = 0.1, 0.9
+#: Different pairs of neighbours in which a line of the sample is a seed.
+SEED_CONTEXTS = 3
 FEATURES = (
     "bias", "symbols", "capitals", "bars", "exclamations", "seen", "repeats", "digits", "short", "sentence", "length", "empty",
+    "notice",
 )
+#: Words of licences, menus and notices (fixed values).
+NOTICES = frozenset(
+    b"copyright licence license licensed rights reserved cookie cookies privacy policy terms subscribe newsletter login "
+    b"register menu home share click advertisement sitemap navigation skip".split()
+)
 
 SYMBOLS = b"#*$%&|<>"
 UPPER = bytes(range(0x41, 0x5B))
 LETTERS = UPPER + bytes(range(0x61, 0x7B))
 DIGITS = bytes(range(0x30, 0x3A))
+PUNCTUATION = b".,;:!?()[]\"'"
 SPACES = b" \t\n\x0b\x0c\r"
 TAILS = bytes(range(0x80, 0xC0))  # bytes of a character after its first
 
@@ -46,7 +65,7 @@ class LineField:
 
     weights: np.ndarray = field(
         # What each feature says for boilerplate, where nothing could be fitted.
-        default_factory=lambda: np.array([-2.0, 3, 3, 4, 3, 2, 4, 2, 0.5, -1, 0, 0])
+        default_factory=lambda: np.array([-2.0, 6, 4, 6, 4, 2, 4, 2, 0.5, -0.5, 0, 0, 14])
     )
     steps: np.ndarray = field(default_factory=lambda: np.array([[0.5, -0.5], [-0.5, 0.5]]))
 
@@ -81,7 +100,7 @@ def line_features(lines: list[bytes], words: list[list[bytes]]) -> np.ndarray:
     for line, found in zip(lines, words):
         n = len(found)
         if not n:
-            rows.append((1, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 1))
+            rows.append((1, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 1, 0))
             continue
         size = sum(map(len, found))
         letters = missing(line, LETTERS)
@@ -99,6 +118,7 @@ def line_features(lines: list[bytes], words: list[list[bytes]]) -> np.ndarray:
                 found[-1][-1:] in (b".", b"!", b"?"),
                 min(2.0, size / n / 10),
                 0,
+                min(1.0, sum(w.lower().strip(PUNCTUATION) in NOTICES for w in found) ** 2 / n),
             )
         )
         seen.add(line)
@@ -177,22 +197,27 @@ def judged(text: Column, model: LineField, share: float = CONTENT_SHARE) -> Colu
     return run(text)
 
 
+def line_hashes(lines: list[bytes], words: list[list[bytes]]) -> np.ndarray:
+    """A number for each line, zero without words."""
+    return np.array([xxhash.xxh64_intdigest(line) >> 1 if found else 0 for line, found in zip(lines, words)], np.int64)
+
+
 def fitted(documents: DataFrame, labels: DataFrame, docs: int = SAMPLE_DOCS, lines: int = SAMPLE_LINES) -> LineField:
     """Weights fitted on at most ``docs`` labelled documents of at most ``lines`` lines.
 
-    The sample are the labels that come first by a hash of their id. Each line of a document
-    takes the label of the document.
+    The sample are the labels that come first by a hash of their id.
     """
 
-    @F.pandas_udf("binary")
-    def features(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf("struct<features: binary, hashes: binary>")
+    def described(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for texts in slices(batch, 1 << 30):
                 for text in texts:
                     _, split, words = _split(text)
-                    out.append(line_features(split, words).astype("<f4").tobytes() if len(split) <= lines else None)
-            yield pd.Series(out, dtype=object)
+                    made = line_features(split, words).astype("<f4").tobytes(), line_hashes(split, words).tobytes()
+                    out.append(made if len(split) <= lines else (None, None))
+            yield pd.DataFrame(out, columns=["features", "hashes"], dtype=object)
 
     chosen = (
         labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull())
@@ -204,61 +229,124 @@ def fitted(documents: DataFrame, labels: DataFrame, docs: int = SAMPLE_DOCS, lin
     sample = (
         documents.select("doc_id", "text")
         .join(F.broadcast(chosen), "doc_id")  # at most ``docs`` rows of two numbers
-        .select("quality", features("text").alias("lines"), F.xxhash64("doc_id", "text").alias("h"))
-        .where("lines is not null")
+        .select("quality", described("text").alias("lines"), F.xxhash64("doc_id", "text").alias("h"))
+        .where("lines.features is not null")
         .orderBy("h")
         .limit(docs)
         .collect()
     )
-    texts = [(np.frombuffer(r.lines, "<f4").reshape(-1, len(FEATURES)).astype(float), 1 - int(r.quality)) for r in sample]
-    return fit(texts) if len({y for _, y in texts}) == 2 else LineField()
+    texts = [np.frombuffer(r.lines.features, "<f4").reshape(-1, len(FEATURES)).astype(float) for r in sample]
+    bad = np.array([1 - int(r.quality) for r in sample], np.int64)
+    if len(set(bad.tolist())) < 2:
+        return LineField()
+    return fit(texts, bad, seeds([np.frombuffer(r.lines.hashes, np.int64) for r in sample]))
 
 
-def fit(texts: list[tuple[np.ndarray, int]], rounds: int = 120, ridge: float = 1e-3) -> LineField:
-    """Likeliest weights by gradient ascent; all lines of a text have its label."""
-    texts = sorted(texts, key=lambda t: -len(t[0]))
-    lengths = np.array([len(x) for x, _ in texts])
-    label = np.array([y for _, y in texts])
-    active = [int((lengths > t).sum()) for t in range(int(lengths[0]))]
-    rows = [np.stack([x[t] for x, _ in texts[:n]]) for t, n in enumerate(active)]
-    total = float(lengths.sum())
-    w, steps = np.zeros(rows[0].shape[1]), np.zeros((2, 2))
-    # Both kinds of text weigh the same, however rare one is.
-    mass = np.where(label == 1, 0.5 / max(1, (label == 1) @ lengths), 0.5 / max(1, (label == 0) @ lengths)) * total
-    speed_w, speed_s = np.zeros_like(w), np.zeros_like(steps)
-    for k in range(rounds):
-        forward = []
-        for t, x in enumerate(rows):
-            here = np.stack([np.zeros(len(x)), x @ w], axis=1)
+def seeds(texts: list[np.ndarray], contexts: int = SEED_CONTEXTS) -> list[np.ndarray]:
+    """For each text which of its lines stand between different neighbours in several texts.
+
+    A copied passage brings its neighbours along, a notice or a menu does not.
+    """
+    places: dict[int, set[tuple[int, int]]] = {}
+    for hashes in texts:
+        padded = [0, *(h for h in hashes.tolist() if h), 0]
+        for before, line, after in zip(padded, padded[1:], padded[2:]):
+            places.setdefault(line, set()).add((before, after))
+    return [np.array([len(places.get(h, ())) >= contexts for h in hashes.tolist()], bool) for hashes in texts]
+
+
+class Chains:
+    """Texts of different lengths side by side, the longest first, for sums over label sequences."""
+
+    def __init__(self, texts: list[np.ndarray]):
+        self.order = sorted(range(len(texts)), key=lambda i: -len(texts[i]))
+        self.lengths = np.array([len(texts[i]) for i in self.order])
+        self.active = [int((self.lengths > t).sum()) for t in range(int(self.lengths[0]))]
+        self.rows = [np.stack([texts[i][t] for i in self.order[:n]]) for t, n in enumerate(self.active)]
+
+    def beside(self, values: list[np.ndarray]) -> list[np.ndarray]:
+        """One value for each line, arranged like the rows."""
+        return [np.array([values[i][t] for i in self.order[:n]]) for t, n in enumerate(self.active)]
+
+    def marginals(self, scores: list[np.ndarray], steps: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Probability of boilerplate for each line, and of the four label pairs of each step.
+
+        ``scores`` say for each line how much boilerplate outweighs content.
+        """
+        forward: list[np.ndarray] = []
+        for t, score in enumerate(scores):
+            here = np.stack([np.zeros(len(score)), score], axis=1)
             if t:
-                before = forward[-1][: len(x)]
+                before = forward[-1][: len(score)]
                 here += np.logaddexp(before[:, :1] + steps[0], before[:, 1:] + steps[1])
             forward.append(here)
-        grad_w, grad_s = np.zeros_like(w), np.zeros_like(steps)
+        single: list[np.ndarray] = [np.empty(0)] * len(scores)
+        pairs: list[np.ndarray] = [np.empty((0, 2, 2))] * len(scores)
         ahead = np.zeros((0, 2))
-        for t in range(len(rows) - 1, -1, -1):
-            x, m = rows[t], mass[: active[t]]
-            behind = np.zeros((active[t], 2))
+        for t in range(len(scores) - 1, -1, -1):
+            behind = np.zeros((len(scores[t]), 2))
             behind[: len(ahead)] = ahead
             joint = forward[t] + behind
             norm = np.logaddexp(joint[:, 0], joint[:, 1])
-            grad_w += ((label[: active[t]] - np.exp(joint[:, 1] - norm)) * m) @ x
-            here = behind + np.stack([np.zeros(len(x)), x @ w], axis=1)
+            single[t] = np.exp(joint[:, 1] - norm)
+            here = behind + np.stack([np.zeros(len(joint)), scores[t]], axis=1)
             if t:
-                before = forward[t - 1][: len(x)]
-                pair = np.exp(before[:, :, None] + steps + here[:, None, :] - norm[:, None, None])
-                y = label[: active[t]]
-                grad_s -= (pair * m[:, None, None]).sum(axis=0)
-                grad_s[0, 0] += m[y == 0].sum()
-                grad_s[1, 1] += m[y == 1].sum()
+                before = forward[t - 1][: len(joint)]
+                pairs[t] = np.exp(before[:, :, None] + steps + here[:, None, :] - norm[:, None, None])
                 ahead = np.logaddexp(steps[:, 0] + here[:, :1], steps[:, 1] + here[:, 1:])
-        speed_w = 0.9 * speed_w + grad_w / total - ridge * w
-        speed_s = 0.9 * speed_s + grad_s / total - 10 * ridge * steps
+        return single, pairs
+
+
+def fit(
+    texts: list[np.ndarray],
+    bad: np.ndarray,
+    seeded: list[np.ndarray] | None = None,
+    rounds: int = 150,
+    ridge: float = 1e-3,
+) -> LineField:
+    """Weights whose marginals meet the bounds of the labels and the seeds as closely as they can.
+
+    ``bad`` is 1 for texts labelled bad. Each round shifts every text towards its bound and the
+    weights towards the shifted marginals.
+    """
+    chains = Chains(texts)
+    lengths, bad = chains.lengths, np.asarray(bad)[chains.order]
+    known = chains.beside(seeded if seeded is not None else [np.zeros(len(x), bool) for x in texts])
+    total = float(lengths.sum())
+    # What the sample says little of stays near the default.
+    prior = LineField() if texts[0].shape[1] == len(FEATURES) else LineField(np.zeros(texts[0].shape[1]))
+    w, steps = prior.weights.copy(), prior.steps.copy()
+    # Both kinds of text weigh the same, however rare one is.
+    mass = np.where(bad == 1, 0.5 / max(1, (bad == 1) @ lengths), 0.5 / max(1, (bad == 0) @ lengths)) * total
+    shift = np.where(bad == 1, 2.0, -2.0)
+    speed_w, speed_s = np.zeros_like(w), np.zeros_like(steps)
+    for _ in range(rounds):
+        scores = [x @ w for x in chains.rows]
+        own, own_pairs = chains.marginals(scores, steps)
+        drawn = [s + shift[: len(s)] + 30.0 * k for s, k in zip(scores, known)]
+        wanted, wanted_pairs = chains.marginals(drawn, steps)
+        share, free = np.zeros(len(bad)), np.zeros(len(bad))
+        grad_w, grad_s = np.zeros_like(w), np.zeros_like(steps)
+        for x, p, q, k, pp, qq in zip(chains.rows, own, wanted, known, own_pairs, wanted_pairs):
+            m = mass[: len(x)]
+            share[: len(x)] += q * ~k
+            free[: len(x)] += ~k
+            grad_w += ((q - p) * m) @ x
+            if len(pp):
+                grad_s += ((qq - pp) * m[:, None, None]).sum(axis=0)
+        # The shift pulls towards the bound and never beyond what the label says.
+        share /= np.maximum(free, 1)
+        shift = np.where(
+            bad == 1, np.clip(shift + 2 * (BAD_SHARE - share), 0, 8), np.clip(shift + 2 * (GOOD_SHARE - share), -8, 0)
+        )
+        speed_w = 0.9 * speed_w + grad_w / total - ridge * (w - prior.weights)
+        speed_s = 0.9 * speed_s + grad_s / total - 100 * ridge * (steps - prior.steps)
         w, steps = w + 0.5 * speed_w, steps + 0.1 * speed_s
     return LineField(w, steps)
 
 
 def kept_documents(documents: DataFrame, model: LineField) -> DataFrame:
     """The documents that the rules keep, columns as they were."""
-    into = "__rules"
-    return documents.withColumn(into, judged(F.col("text"), model)).where(F.col(f"{into}.kept")).select(*documents.columns)
+    numbered = Numbered(documents)
+    judgement = judged(F.col(numbered.name("text")), model)
+    return numbered.back(numbered.rows.withColumn("rules", judgement).where("rules.kept"))

@@ -75,12 +75,76 @@ def test_viterbi_finds_the_best_labels():
         assert np.isclose(score(model.decode(x)), score(best))
 
 
-def test_fit_tells_two_kinds_apart():
+def test_marginals_are_sums_over_all_labellings():
+    rnd = np.random.default_rng(6)
+    lengths = [4, 1, 6, 3, 6]
+    scores, steps = [rnd.normal(size=(n, 1)) for n in lengths], rnd.normal(size=(2, 2))
+    chains = rules.Chains(scores)
+    single, pairs = chains.marginals([x[:, 0] for x in chains.rows], steps)
+    for at, i in enumerate(chains.order):
+        n, x = lengths[i], scores[i][:, 0]
+        one, two, total = np.zeros(n), np.zeros((n, 2, 2)), 0.0
+        for labels in itertools.product((0, 1), repeat=n):
+            p = np.exp(sum(x * labels) + sum(steps[a, b] for a, b in zip(labels, labels[1:])))
+            total += p
+            one += p * np.array(labels)
+            for t in range(1, n):
+                two[t, labels[t - 1], labels[t]] += p
+        assert np.allclose([single[t][at] for t in range(n)], one / total)
+        assert all(np.allclose(pairs[t][at], two[t] / total) for t in range(1, n))
+
+
+def test_fit_finds_the_lines_that_labels_only_bound():
+    """Bad texts hold a few good lines and good texts a few bad ones; no line is labelled."""
     rnd = np.random.default_rng(4)
-    texts = [(np.hstack([np.ones((n, 1)), rnd.normal(3 * y, 1, (n, 2))]), y) for y in (0, 1) for n in rnd.integers(1, 7, 40)]
-    model = rules.fit(texts)
-    right = sum(np.mean(model.decode(x)) .round() == y for x, y in texts)
-    assert right / len(texts) > 0.9 and model.weights[1] > 0
+    texts, bad, truth = [], [], []
+    for doc in range(400):
+        lines = np.array([rnd.random() < (0.85 if doc % 2 else 0.1) for _ in range(rnd.integers(2, 9))], int)
+        texts.append(np.hstack([np.ones((len(lines), 1)), rnd.normal(4 * lines[:, None] - 2, 1, (len(lines), 2))]))
+        bad.append(doc % 2)
+        truth.append(lines)
+    model = rules.fit(texts, np.array(bad))
+    found = [np.array(model.decode(x)) for x in texts]
+    right = np.concatenate([a == b for a, b in zip(found, truth)])
+    assert right.mean() > 0.95
+    assert sum(0 < y.mean() < 1 for y in found) > 0.25 * len(texts)  # labels differ inside documents
+
+
+def test_seeds_stand_between_different_lines():
+    menu, copied = 1, [10, 11, 12, 13]
+    texts = [np.array([100 + k, menu, 200 + k, 0, 300 + k]) for k in range(4)] + [np.array(copied)] * 5
+    found = rules.seeds(texts)
+    assert all(x.tolist() == [False, True, False, False, False] for x in found[:4])
+    assert not any(x.any() for x in found[4:])
+
+
+PLANTS = [
+    "Home | About | Contact | Login", "Copyright 2024 Example Ltd. All rights reserved.", "### *** $$$ ### %%% &&&",
+    "CLICK HERE!! BUY NOW!! WIN!! FREE!!", "Subscribe to our newsletter", "Terms | Privacy Policy | Cookies",
+    "This work is licensed under the GNU General Public License, version 3.",
+]
+
+
+def test_planted_lines_in_good_documents(spark):
+    documents = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    half = F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.lit(2)) == 0
+    model = rules.fitted(documents, labels.where(half))
+    rnd = random.Random(3)
+    hit, others, lines, mixed = [], 0, 0, 0
+    for r in documents.join(labels.where(~half & (F.col("quality") == 1)), "doc_id").select("text").collect():
+        text = (r.text or "").split("\n")
+        if len(text) < 3:
+            continue
+        at = rnd.randint(0, len(text))
+        text.insert(at, rnd.choice(PLANTS))
+        _, split, words = rules._split("\n".join(text))
+        found = model.decode(rules.line_features(split, words))
+        hit.append(found.pop(at))
+        others, lines = others + sum(found), lines + len(found)
+        mixed += len({y for y, w in zip(found, words[:at] + words[at + 1 :]) if w}) > 1
+    assert len(hit) > 1000 and sum(hit) / len(hit) > 0.9 and others / lines < 0.05
+    assert mixed  # lines are labelled apart from their documents
 
 
 @pytest.fixture(scope="module")
@@ -112,7 +176,7 @@ def test_no_labels_and_awkward_rows(spark):
     odd = spark.createDataFrame([(None, 1, 0), (1, None, 0), (77, 0, 0)], "doc_id long, quality int, toxic int")
     for labels in (none, odd):
         model = rules.fitted(documents, labels)
-        assert np.array_equal(model.weights, rules.LineField().weights)
+        assert np.array_equal(model.weights, rules.LineField().weights) and np.array_equal(model.steps, rules.LineField().steps)
         kept = rules.kept_documents(documents, model)
         assert kept.columns == documents.columns
         assert {r.doc_id for r in kept.collect()} <= {3, 4}
