@@ -21,7 +21,7 @@ are returned as often as given. An empty table gives an empty one.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 from itertools import combinations
 
@@ -32,9 +32,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shelfmark.llm.common import stored
+from shelfmark.llm.common import Numbered, stored
 
 SHINGLE_WORDS = 3
+#: Bits in which linked fingerprints may differ; the keys find two and fewer.
+BITS = 2
 SEED = 42
 KEY_ROWS = 16
 #: Generator polynomial of the binary Golay code of length 23 (fixed value).
@@ -44,15 +46,15 @@ SEGMENTS = ((0, 23), (23, 23), (46, 18))
 LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 
 
-def fingerprint_of(text: str) -> int:
+def fingerprint_of(text: str, shingle_words: int = SHINGLE_WORDS) -> int:
     """Majority bits of the hashes of all shingles, as an unsigned number."""
     words = text.encode("utf-8", "replace").translate(LOWER).split()
     if not words:
         return 0
-    if len(words) < SHINGLE_WORDS:
+    if len(words) < shingle_words:
         shingles = [b" ".join(words)]
     else:
-        shingles = map(b" ".join, zip(*(words[k:] for k in range(SHINGLE_WORDS))))
+        shingles = map(b" ".join, zip(*(words[k:] for k in range(shingle_words))))
     digest = xxhash.xxh64_intdigest
     hashes = np.array([digest(s, SEED) for s in shingles], "<u8")
     ones = np.zeros(64, np.int64)
@@ -62,12 +64,17 @@ def fingerprint_of(text: str) -> int:
     return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
 
-@F.pandas_udf(T.LongType())
-def fingerprint(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+@cache
+def fingerprint(shingle_words: int = SHINGLE_WORDS) -> Callable[[Column], Column]:
     """SimHash of each whole text; the 64 bits as a signed number."""
-    for batch in texts:
-        found = np.array([fingerprint_of(t) if isinstance(t, str) else 0 for t in batch], np.uint64)
-        yield pd.Series(found.view(np.int64))
+
+    @F.pandas_udf(T.LongType())
+    def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in texts:
+            found = np.array([fingerprint_of(t, shingle_words) if isinstance(t, str) else 0 for t in batch], np.uint64)
+            yield pd.Series(found.view(np.int64))
+
+    return run
 
 
 def hex_digits(fp: Column) -> Column:
@@ -117,8 +124,12 @@ def golay_keys(fps: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield pd.Series(keys_of(batch.to_numpy(np.int64).view(np.uint64)), dtype=object)
 
 
-def links(fps: DataFrame, key_rows: int = KEY_ROWS) -> DataFrame:
-    """Links (a, b) at two or fewer bits that reach all that such links between ``fp`` reach."""
+def links(fps: DataFrame, key_rows: int = KEY_ROWS, bits: int = BITS) -> DataFrame:
+    """Links (a, b) at ``bits`` or fewer bits that reach all that such links between ``fp`` reach."""
+    if not 0 <= bits <= 2:
+        raise ValueError("the keys find fingerprints that differ in two or fewer bits")
+    if bits == 0:
+        return fps.select(F.col("fp").alias("a"), F.col("fp").alias("b")).where(F.lit(False))
     keys = stored(fps.select("fp", F.explode(golay_keys("fp")).alias("key")), "golay-keys")
     sizes = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     met = stored(keys.join(sizes, "key"), "golay-met")
@@ -126,13 +137,16 @@ def links(fps: DataFrame, key_rows: int = KEY_ROWS) -> DataFrame:
     pairs = (
         few.select("key", F.col("fp").alias("a"))
         .join(few.select("key", F.col("fp").alias("b")), "key")
-        .where((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2))
+        .where((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= bits))
         .select("a", "b")
     )
     masks = F.array(*[F.lit((1 << b) - (1 << 64 if b == 63 else 0)).cast("long") for b in range(64)])
     near = met.where(F.col("n") > key_rows).select("fp").distinct()
     points = near.select("fp", F.explode(F.transform(masks, lambda m: F.col("fp").bitwiseXOR(m))).alias("point"))
     points = points.unionByName(near.select("fp", F.col("fp").alias("point")))
+    if bits == 1:  # two differ in one bit exactly if one is a word one bit away from the other
+        hubs = points.join(near.select(F.col("fp").alias("point")), "point").where(F.col("fp") < F.col("point"))
+        return pairs.unionByName(hubs.select(F.col("fp").alias("a"), F.col("point").alias("b"))).distinct()
     shared = points.groupBy("point").agg(F.count("*").alias("n"), F.min("fp").alias("least")).where("n > 1")
     hubs = points.join(shared.select("point", "least"), "point").where(F.col("fp") != F.col("least"))
     return pairs.unionByName(hubs.select(F.col("least").alias("a"), F.col("fp").alias("b"))).distinct()
@@ -175,40 +189,43 @@ def components(edges: DataFrame) -> DataFrame:
             )
 
 
-def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", *more: Column) -> DataFrame:
-    """(doc_id, fp, component_id, *more) for each row of the documents, from one written table.
+def near_duplicates(
+    documents: DataFrame, doc_id: str = "doc_id", text: str = "text", *more: Column, shingle_words: int = SHINGLE_WORDS, bits: int = BITS
+) -> DataFrame:
+    """(doc_id, fp, root, component_id, *more) for each row of the documents, from one written table.
 
-    ``component_id`` is the smallest id reachable over links of fingerprints that differ in
-    at most two bits, the row's own included.
+    Links join fingerprints that differ in at most ``bits`` bits. ``root`` names the component
+    by one of its fingerprints, ``component_id`` by the smallest id in it.
     """
-    prints = stored(documents.select(F.col(doc_id).alias("doc_id"), fingerprint(text).alias("fp"), *more), "prints")
+    made = fingerprint(shingle_words)(F.col(f"`{text}`")).alias("fp")
+    prints = stored(documents.select(F.col(f"`{doc_id}`").alias("doc_id"), made, *more), "prints")
     distinct = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-prints")
-    rooted = components(links(distinct))
+    rooted = components(links(distinct, bits=bits))
     named = distinct.join(rooted, F.col("fp") == F.col("node"), "left").select(
         "fp", "least", F.coalesce("root", "fp").alias("root")
     )
     smallest = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    labels = named.join(smallest, "root").select("fp", "component_id")
+    labels = named.join(smallest, "root").select("fp", "root", "component_id")
     return prints.join(labels, "fp")
 
 
-def one_of_each(documents: DataFrame) -> DataFrame:
+def one_of_each(documents: DataFrame, shingle_words: int = SHINGLE_WORDS, bits: int = BITS) -> DataFrame:
     """One document of each group of near duplicates stays: the one with the smallest id.
 
     Rows that are equal in all columns are told apart by nothing; one of them stays. Ties of
     one id with different contents are settled by a hash of the whole row; a null id loses
     against any other.
     """
-    plain = [F.col(f"`{c}`") for c, kind in documents.dtypes if "map<" not in kind]
-    whole = F.xxhash64(F.lit(0), *plain)
-    groups = stored(near_duplicates(documents, "doc_id", "text", whole.alias("whole")), "groups")
+    numbered = Numbered(documents)
+    doc_id = F.col(numbered.name("doc_id"))
+    whole = F.xxhash64(F.lit(0), *[F.col(n) for n, kind in numbered.rows.dtypes if "map<" not in kind])
+    of = numbered.name("doc_id"), numbered.name("text")
+    groups = stored(near_duplicates(numbered.rows, *of, whole.alias("whole"), shingle_words=shingle_words, bits=bits), "groups")
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "whole")
-    first = groups.groupBy(F.struct("component_id", F.when(F.col("component_id").isNull(), F.col("fp")))).agg(
-        F.min(order).alias("first")
-    )
-    keep = first.select(F.col("first.doc_id").alias("__id"), F.col("first.whole").alias("__whole"))
-    met = documents.withColumn("__row", whole).join(
-        keep, (F.col("__row") == F.col("__whole")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi"
+    first = groups.groupBy("root").agg(F.min(order).alias("first"))
+    keep = first.select(F.col("first.doc_id").alias("keep_id"), F.col("first.whole").alias("keep_whole"))
+    met = numbered.rows.withColumn("whole", whole).join(
+        keep, (F.col("whole") == F.col("keep_whole")) & doc_id.eqNullSafe(F.col("keep_id")), "left_semi"
     )
-    n = F.row_number().over(Window.partitionBy("__row", "doc_id").orderBy("doc_id"))
-    return met.withColumn("__n", n).where("__n = 1").select(*documents.columns)
+    turn = F.row_number().over(Window.partitionBy("whole", doc_id).orderBy(doc_id))
+    return numbered.back(met.withColumn("turn", turn).where("turn = 1"))

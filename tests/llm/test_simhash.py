@@ -87,6 +87,29 @@ def test_awkward_rows(spark):
     assert one.columns == small.awkward(spark).columns
     assert sorted(str(r.doc_id) for r in one.collect()) == ["1", "3", "5", "None"]
     assert simhash.one_of_each(small.empty(spark)).count() == 0
+    assert small.others_kept(small.awkward(spark), one)
+
+
+def test_near_copies_without_ids_fold(spark):
+    words = [f"w{i}" for i in range(3000)]
+    near = " ".join([*words[:-1], "other"])
+    assert 0 < (simhash.fingerprint_of(" ".join(words)) ^ simhash.fingerprint_of(near)).bit_count() <= 2
+    rows = [(None, t, None, None, None) for t in (" ".join(words), near, "quite another text", near)]
+    kept = simhash.one_of_each(spark.createDataFrame(rows, small.SCHEMA)).collect()
+    assert len(kept) == 2 and {r.text[:2] for r in kept} == {"w0", "qu"}
+
+
+def test_shingles_and_bits_are_parameters(spark):
+    rnd = random.Random(12)
+    base = [rnd.getrandbits(63) for _ in range(30)]
+    fps = sorted({x ^ d for x in base for d in (0, 1, 3, 7, 1 << 40, (1 << 40) | 2)})
+    frame = spark.createDataFrame([(f,) for f in fps], "fp long")
+    for bits in (0, 1, 2):
+        wanted = {(a, b) for a in fps for b in fps if a < b and (a ^ b).bit_count() <= bits}
+        for key_rows in (1, 1000) if bits < 2 else (1000,):
+            assert {(r.a, r.b) for r in simhash.links(frame, key_rows, bits).collect()} == wanted
+    rows = {n: small.by_id(simhash.near_duplicates(small.documents(spark, ["a b c d e", "a b c d e f"]), shingle_words=n)) for n in (3, 5)}
+    assert rows[5][0].fp != rows[3][0].fp and rows[5][0].fp % 2**64 == simhash.fingerprint_of("a b c d e", 5)
 
 
 def test_whole_table(spark):
