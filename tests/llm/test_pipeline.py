@@ -87,6 +87,12 @@ def test_encoded(stages):
 
 def test_awkward_and_empty_tables(spark):
     for docs in (small.awkward(spark), small.empty(spark)):
-        for _, stage in corpus_pipeline.STAGES:
-            docs = stage(spark, docs, SF_DIR)
-        docs.collect()
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            after = stage(spark, docs, SF_DIR)
+            assert after.columns == docs.columns and (not set(small.CLASHING) <= set(docs.columns) or small.others_kept(docs, after))
+        last = corpus_pipeline.STAGES[-1][1](spark, docs, SF_DIR)
+        replaced = ("text", "n_tokens", "ids", "decoded_sha256")
+        assert last.columns == [c for c in docs.columns if c not in replaced] + ["n_tokens", "ids", "decoded_sha256"]
+        assert last.count() == docs.count()
+        if "a.b" in docs.columns:
+            assert all(r[c] == f"{c}!" for r in last.collect() for c in small.CLASHING if c not in replaced)
