@@ -9,9 +9,12 @@ from pyspark.sql import functions as F
 
 from shelfmark.functions.values import utc_instant
 from shelfmark.operators.selection import time_literal
+from shelfmark.session import fresh_dir
 
 # Up to this many rows per group Spark cuts a ranked group before the exchange.
 GROUP_LIMIT_SETTING = "spark.sql.optimizer.windowGroupLimitThreshold"
+# Sorts before, and after all of, what can follow a folder's path: a path holds no zero character.
+BELOW, BEYOND = "\0", "\1"
 # Into how many parts a folder is dealt where more rows than that are spared.
 PARTS = 1024
 
@@ -109,15 +112,32 @@ def expired_trees(
 ) -> DataFrame:
     """Everything that goes with the expired directories: they and all that lies below them.
 
-    Each path is joined by its folders, by equality, with the expired directories; a fresh
-    file in an old directory goes too.
+    With the separator sorted before every other character, all that lies below a directory
+    follows it without a gap, so each expired directory is an interval of paths, and intervals
+    lie apart or inside one another. A path is inside one exactly if an interval that began at
+    or before it reaches beyond it. The listing is dealt into ranges of paths and written once;
+    the furthest reach runs along each range, and along the ranges by one row each. Depth adds
+    no rows, and a directory with most of the listing below it is as many ranges as any other
+    paths. A fresh file in an old directory goes too; a null path stays.
     """
-    expired = expired_dirs(listing, now, days=days, kind=kind, ctime=ctime).select(F.col(path).alias("__dir")).distinct()
-    parts = F.split(path, "/")
-    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
-    below = listing.select(F.col(path).alias("__path"), F.explode(above).alias("__dir"))
-    gone = below.join(expired, "__dir", "left_semi").select("__path").distinct()
-    return listing.join(gone, F.col(path) == F.col("__path"), "left_semi")
+    names = [f"c{i}" for i in range(len(listing.columns))]  # no work column can clash with these
+    rows = listing.toDF(*names)
+    name = dict(zip(listing.columns, names))
+    inside = F.replace(F.regexp_replace(F.col(name[path]), "/+$", ""), F.lit("/"), F.lit(BELOW))
+    old = (F.col(name[kind]) == "d") & older_than_days(rows, name[ctime], days, now)
+    keyed = rows.where(F.col(name[path]).isNotNull()).select(
+        "*", inside.alias("key"), F.when(old, F.concat(inside, F.lit(BEYOND))).alias("reach")
+    )
+    ranged = keyed.repartitionByRange("key").withColumn("part", F.spark_partition_id())
+    target = fresh_dir(listing.sparkSession, "path-ranges")
+    ranged.write.parquet(target)
+    ranged = listing.sparkSession.read.schema(ranged.schema).parquet(target)
+    earlier = F.max("reach").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    parts = ranged.groupBy("part").agg(F.max("reach").alias("reach")).select("part", earlier.alias("earlier"))
+    # Equal paths are peers: a directory covers its own row, wherever that stands.
+    so_far = F.max("reach").over(Window.partitionBy("part").orderBy("key"))
+    covered = ranged.withColumn("so_far", so_far).join(parts, "part").where(F.greatest("so_far", "earlier") > F.col("key"))
+    return covered.select(*[F.col(n).alias(c) for c, n in name.items()])
 
 
 def within_ttl(df: DataFrame, column: str, now: datetime, days: int = 7) -> DataFrame:

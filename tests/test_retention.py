@@ -5,6 +5,8 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from helpers import executed_plan
+
 from shelfmark.operators import retention
 
 NOW = datetime(2024, 6, 1, 12)
@@ -107,6 +109,42 @@ def test_an_expired_folder_goes_with_all_that_it_holds(spark):
     assert sorted(r.path for r in retention.expired_trees(df, NOW).collect()) == ["/b/x", "/b/x/new", "/b/x/y", "/b/x/y/z"]
 
 
+def gone_trees(spark, rows):
+    made = [(p, k, NOW - timedelta(days=a) if a is not None else None, "x") for p, k, a in rows]
+    df = spark.createDataFrame(made, "path string, kind string, ctime timestamp_ntz, `key.part` string")
+    found = retention.expired_trees(df, NOW)
+    assert found.columns == df.columns and "Generate" not in executed_plan(found)
+    return sorted(r.path for r in found.collect())
+
+
+def plain_trees(rows):
+    old = {p.rstrip("/") for p, k, a in rows if p is not None and k == "d" and a is not None and a >= 31}
+    above = lambda p: ["/".join(p.split("/")[:n]) for n in range(1, p.count("/") + 2)]
+    return sorted(p for p, _, _ in rows if p is not None and old.intersection(above(p.rstrip("/"))))
+
+
+def test_deep_folders_and_one_above_all(spark):
+    deep = ["/r" + "/d" * n for n in range(51)]
+    rows = [(p, "d", 40 if n in (7, 30) else 1) for n, p in enumerate(deep)] + [(p + "/file", "f", 0) for p in deep]
+    assert gone_trees(spark, rows) == plain_trees(rows) and len(plain_trees(rows)) == 88
+    rows += [("/r", "d", 90), ("/other", "d", 1), (None, "d", 90), (None, "f", None), ("/r.x", "f", 90), ("/r ", "d", 2)]
+    assert gone_trees(spark, rows) == plain_trees(rows)
+    whole = [("/", "d", 90), ("/a", "d", 1), ("/a/b", "f", 2), ("rel", "f", 1)]
+    assert gone_trees(spark, whole) == ["/", "/a", "/a/b"]
+    assert gone_trees(spark, []) == []
+
+
+@settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.data())
+def test_trees_against_all_ancestors(spark, data):
+    """Names with characters below the separator, repeated rows, nested and neighbouring folders."""
+    name = st.sampled_from(["a", "a!", "a b", "a.", "-", "b", "\x01", "é", "\U0001F600"])
+    path = st.lists(name, min_size=1, max_size=5).map(lambda parts: "/" + "/".join(parts))
+    row = st.tuples(path, st.sampled_from("df"), st.sampled_from([1, 30, 31, 90, None]))
+    rows = data.draw(st.lists(row, max_size=60))
+    assert gone_trees(spark, rows) == plain_trees(rows)
+
+
 def test_bound_reaches_the_scan(spark, tmp_path):
     path = str(tmp_path / "t")
     listing(spark, [("f", "p", 3)]).write.parquet(path)
