@@ -16,7 +16,7 @@ from shelfmark.functions import text, urls, values
 from shelfmark.operators import counts, ingest, manifests, records, retention, selection
 from shelfmark.plans import restore, seeding
 from shelfmark.session import fresh_dir
-from shelfmark.sources import listings, prepared, snapshots
+from shelfmark.sources import arrays, listings, prepared, snapshots
 from shelfmark.sources import records as record_files
 from shelfmark.streaming import monitoring
 
@@ -302,6 +302,23 @@ def fixture_array(spark, sf_dir):
     return loaded.select("model", "pk", text.json_member(F.col("fields"), "name").alias("name"))
 
 
+@registered("""
+    SELECT 'crm.customer' AS model, c_custkey AS pk, concat('{"', c_name, '"}, \\', c_nationkey) AS name,
+           CAST(c_nationkey AS BIGINT) AS nation FROM customer
+""")
+def fixture_array_split(spark, sf_dir):
+    """All customers in one array file, read in ranges; names hold quotes, braces and backslashes."""
+    name = F.concat(F.lit('{"'), "c_name", F.lit('"}, \\'), "c_nationkey")
+    customers = table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("pk"), name.alias("name"), F.col("c_nationkey").cast("bigint").alias("nation")
+    )
+    path = fresh_dir(spark, "array")
+    arrays.write_array_file(record_files.to_records(customers, "crm.customer"), path)
+    read = arrays.read_array_records(spark, path)
+    typed = record_files.typed(read, "crm.customer", "name string, nation bigint")
+    return typed.select(F.lit("crm.customer").alias("model"), "pk", "name", "nation")
+
+
 @registered("""
     SELECT event_id AS pk, concat('app ', event_id) AS name, 'https://x.example.test/complete' AS redirect_uris,
            strftime(date_trunc('milliseconds', ts), '%Y-%m-%d %H:%M:%S.%g') AS created, concat('u', user_id) AS owner
