@@ -9,16 +9,16 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shelfmark.functions import text, urls, values
-from shelfmark.operators import counts, ingest, manifests, records, retention, selection
+from shelfmark.operators import counts, ingest, load_order, manifests, records, retention, selection
 from shelfmark.plans import restore, seeding
 from shelfmark.session import fresh_dir
 from shelfmark.sources import arrays, listings, prepared, snapshots
 from shelfmark.sources import records as record_files
-from shelfmark.streaming import monitoring
+from shelfmark.streaming import monitoring, overdue
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -319,6 +319,56 @@ def fixture_array_split(spark, sf_dir):
     return typed.select(F.lit("crm.customer").alias("model"), "pk", "name", "nation")
 
 
+@registered("""
+    WITH RECURSIVE placed AS (
+      SELECT concat('order ', o_orderkey) AS key, o_custkey,
+             concat('order ', lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)) AS earlier,
+             lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS earlier_key
+      FROM orders
+    ), refs AS (
+      SELECT concat('nation ', n_nationkey) AS key, concat('region ', n_regionkey) AS target FROM nation
+      UNION ALL SELECT concat('customer ', c_custkey), concat('nation ', c_nationkey) FROM customer
+      UNION ALL SELECT concat('supplier ', s_suppkey), concat('nation ', s_nationkey) FROM supplier
+      UNION ALL SELECT key, concat('customer ', o_custkey) FROM placed
+      UNION ALL SELECT key, earlier FROM placed WHERE earlier_key IS NOT NULL
+    ), walk AS (
+      SELECT concat('region ', r_regionkey) AS key, CAST(0 AS BIGINT) AS layer FROM region
+      UNION SELECT r.key, w.layer + 1 FROM walk w JOIN refs r ON r.target = w.key
+    )
+    SELECT w.key, max(w.layer) AS layer,
+           CAST(max(CASE WHEN b.c IS NULL THEN 0 ELSE 1 END) AS BIGINT) AS deferred, 'ready' AS state
+    FROM walk w LEFT JOIN (SELECT DISTINCT concat('customer ', o_custkey) AS c FROM orders) b ON b.c = w.key
+    GROUP BY w.key
+""")
+def load_order_layers(spark, sf_dir):
+    """Records of five tables by layer. A customer's newest order is an optional reference, so it
+    can be put off; an order needs its customer and the order before it."""
+    def refs(name, key, other, target, optional=False):
+        return table(spark, sf_dir, name).select(
+            F.concat(F.lit(f"{name} "), key).alias("key"), F.concat(F.lit(f"{other} "), target).alias("target"), F.lit(optional).alias("optional")
+        )
+
+    named = lambda key: F.concat(F.lit("order "), key)
+    orders = table(spark, sf_dir, "orders")
+    earlier = F.lag("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))
+    newest = orders.groupBy("o_custkey").agg(F.max(F.struct("o_orderdate", "o_orderkey"))["o_orderkey"].alias("newest"))
+    customer = F.concat(F.lit("customer "), "o_custkey")
+    chained = orders.select(named(F.col("o_orderkey")).alias("key"), customer.alias("customer"), named(earlier).alias("earlier"))
+    references = (
+        refs("nation", "n_nationkey", "region", "n_regionkey")
+        .unionByName(refs("customer", "c_custkey", "nation", "c_nationkey"))
+        .unionByName(refs("supplier", "s_suppkey", "nation", "s_nationkey"))
+        .unionByName(chained.select("key", F.col("customer").alias("target"), F.lit(False).alias("optional")))
+        .unionByName(chained.select("key", F.col("earlier").alias("target"), F.lit(False).alias("optional")))
+        .unionByName(newest.select(customer.alias("key"), named(F.col("newest")).alias("target"), F.lit(True).alias("optional")))
+    )
+    keys = {"region": "r_regionkey", "nation": "n_nationkey", "customer": "c_custkey", "supplier": "s_suppkey"}
+    records_ = chained.select("key")
+    for name, key in keys.items():
+        records_ = records_.unionByName(table(spark, sf_dir, name).select(F.concat(F.lit(f"{name} "), key).alias("key")))
+    return load_order.load_layers(records_, references)
+
+
 @registered("""
     SELECT event_id AS pk, concat('app ', event_id) AS name, 'https://x.example.test/complete' AS redirect_uris,
            strftime(date_trunc('milliseconds', ts), '%Y-%m-%d %H:%M:%S.%g') AS created, concat('u', user_id) AS owner
@@ -871,6 +921,34 @@ def monitor_windows_stream(spark, sf_dir):
     return windows.withColumn("window_start", start).withColumn("total", F.round("total", 2))
 
 
+@registered("""
+    WITH checks AS (
+      SELECT user_id, ts, lead(ts) OVER (PARTITION BY user_id ORDER BY ts) AS following,
+             CASE user_id % 3 WHEN 0 THEN 21600 WHEN 1 THEN 43200 ELSE 86400 END AS seconds
+      FROM events
+    ), closed AS (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 1 HOUR AS until FROM events),
+    dues AS (
+      SELECT user_id, seconds, ts, following, unnest(range(1, 604800 // seconds + 1)) AS missed FROM checks
+    )
+    SELECT CAST(user_id AS VARCHAR) AS service, CAST(seconds AS BIGINT) AS check_interval, ts AS last_check, missed,
+           ts + to_seconds(missed * seconds) AS due
+    FROM dues, closed
+    WHERE (following IS NULL OR ts + to_seconds(missed * seconds) < following) AND ts + to_seconds(missed * seconds) <= until
+""")
+def overdue_services(spark, sf_dir):
+    """Every event is a check of its user; checks missed up to an hour before the newest event."""
+    source = f"{sf_dir}/events.parquet"
+    schema = spark.read.parquet(source).schema
+    stream = spark.readStream.schema(schema).parquet(source.replace("events.parquet", "events.[p]arquet"))
+    every = F.when(F.col("user_id") % 3 == 0, "06:00:00").when(F.col("user_id") % 3 == 1, "12:00:00").otherwise("24:00:00")
+    path = fresh_dir(spark, "overdue")
+    checks = stream.select(F.col("user_id").alias("service"), F.col("ts").alias("last_check"), every.alias("check_interval"))
+    overdue.run_overdue_stream(checks, f"{path}/missed", f"{path}/progress", lateness="1 hour").awaitTermination()
+    utc = lambda c: F.convert_timezone(F.current_timezone(), F.lit("UTC"), F.col(c).cast("timestamp_ntz"))
+    missed = spark.read.parquet(f"{path}/missed")
+    return missed.withColumn("last_check", utc("last_check")).withColumn("due", utc("due"))
+
+
 # == text and URL columns ==========================================================
 
 _HOST = r"'^[a-z]+://(?:[^/?#]*@)?([^/:?#]*)'"

@@ -1,0 +1,87 @@
+"""Missed checks against a plain walk over sorted times; restarts, late and crowded services."""
+
+import random
+from datetime import datetime, timedelta
+
+from pyspark.sql import functions as F
+
+from shelfmark.streaming import overdue
+
+START = datetime(2024, 3, 1)
+MICROS = overdue.MICROS
+
+
+def plain(times, interval, life, until):
+    """(last check, number, due) from consecutive checks."""
+    out = []
+    times = sorted(times)
+    for at, following in zip(times, [*times[1:], None]):
+        number = 1
+        while number * interval <= life and at + number * interval <= until:
+            due = at + number * interval
+            if following is not None and due >= following:
+                break
+            out.append((at, number, due))
+            number += 1
+    return out
+
+
+def test_any_order_of_arrival_gives_the_same(spark):
+    rnd = random.Random(6)
+    for _ in range(400):
+        interval, life = rnd.randint(2, 9), rnd.choice([10, 25, 60])
+        times = sorted({rnd.randint(0, 200) for _ in range(rnd.randint(1, 40))})
+        waiting, stretches, reported, watermark, found, alarm = times[:], [], -1, -1, [], None
+        while waiting or (alarm is not None and watermark < 400):
+            batch = [t for t in waiting if rnd.random() < 0.4 and t > watermark]
+            waiting = [t for t in waiting if t not in batch]
+            for t in rnd.sample(batch, len(batch)):
+                overdue.with_check(stretches, t, interval)
+            # The watermark never passes a check that is still to come.
+            watermark = max(watermark, rnd.randint(0, 400) if not waiting else min(waiting) - 1)
+            missed, stretches, alarm = overdue.missed_until(stretches, interval, life, reported, watermark)
+            found += missed
+            reported = max([reported, *(due for *_, due in missed)]) if stretches else -1
+            assert sum(first <= watermark for first, _ in stretches) <= 1
+            if alarm is not None:
+                assert alarm > watermark
+        assert sorted(found) == plain(times, interval, life, watermark), (times, interval, life)
+
+
+def test_stretches_join():
+    stretches = []
+    for at in (10, 30, 20, 50, 41):
+        overdue.with_check(stretches, at, 10)
+    assert stretches == [(10, 30), (41, 50)]
+    overdue.with_check(stretches, 35, 10)
+    assert stretches == [(10, 50)]
+
+
+def test_a_stream_that_is_stopped_and_started_again(spark, tmp_path):
+    """Files come in one run each; checks arrive out of order within the lateness."""
+    rnd = random.Random(1)
+    checks = {"busy": [START + timedelta(seconds=20 * k) for k in range(2000)]}  # one third of the rows and more
+    for k in range(6):
+        checks[f"s{k}"] = [START + timedelta(seconds=rnd.randint(0, 40_000)) for _ in range(rnd.choice([1, 30, 600]))]
+    checks["dead"] = [START]
+    rows = sorted((t, s) for s, times in checks.items() for t in times)
+    rows = [r for _, r in sorted((t + timedelta(seconds=rnd.randint(0, 500)), (t, s)) for t, s in rows)]
+    source, target, progress = (str(tmp_path / n) for n in ("in", "out", "progress"))
+    schema = "last_check timestamp, service string, check_interval string, extra string"
+
+    def add(part):
+        made = [(str(t), s, "00:05:00", "x") for t, s in part] + [(None, "s0", "00:05:00", "x"), (str(START), None, "00:05:00", "x"), (str(START), "odd", "soon", "x")]
+        frame = spark.createDataFrame(made, "t string, service string, check_interval string, extra string")
+        frame.select(F.concat("t", F.lit("Z")).cast("timestamp").alias("last_check"), "service", "check_interval", "extra").coalesce(1).write.mode("append").parquet(source)
+
+    for part in range(4):
+        add(rows[part * len(rows) // 4 : (part + 1) * len(rows) // 4])
+        stream = spark.readStream.schema(schema).parquet(source)
+        overdue.run_overdue_stream(stream, target, progress, lateness="10 minutes", life_days=1).awaitTermination()
+    out = spark.read.parquet(target).select("service", "check_interval", F.unix_micros("last_check").alias("at"), "missed", F.unix_micros("due").alias("due")).collect()
+    micros = lambda t: int((t - datetime(1970, 1, 1)).total_seconds()) * MICROS
+    until = micros(max(t for t, _ in rows)) - 600 * MICROS
+    for service, times in checks.items():
+        wanted = plain([micros(t) for t in times], 300 * MICROS, 86_400 * MICROS, until)
+        assert sorted((r.at, r.missed, r.due) for r in out if r.service == service) == sorted(set(wanted)), service
+    assert {r.service for r in out} <= set(checks) and {r.check_interval for r in out} == {300}
