@@ -128,16 +128,26 @@ def expired_trees(
     keyed = rows.where(F.col(name[path]).isNotNull()).select(
         "*", inside.alias("key"), F.when(old, F.concat(inside, F.lit(BEYOND))).alias("reach")
     )
-    ranged = keyed.repartitionByRange("key").withColumn("part", F.spark_partition_id())
-    target = fresh_dir(listing.sparkSession, "path-ranges")
+    covered = covered_by_intervals(keyed).where("covered")
+    return covered.select(*[F.col(n).alias(c) for c, n in name.items()])
+
+
+def covered_by_intervals(rows: DataFrame) -> DataFrame:
+    """The rows with ``covered``: whether an interval from a ``key`` to its ``reach`` holds the row's key.
+
+    Intervals are rows with a reach; they lie apart or inside one another.
+    """
+    ranged = rows.repartitionByRange("key").withColumn("part", F.spark_partition_id())
+    target = fresh_dir(rows.sparkSession, "path-ranges")
     ranged.write.parquet(target)
-    ranged = listing.sparkSession.read.schema(ranged.schema).parquet(target)
+    ranged = rows.sparkSession.read.schema(ranged.schema).parquet(target)
     earlier = F.max("reach").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     parts = ranged.groupBy("part").agg(F.max("reach").alias("reach")).select("part", earlier.alias("earlier"))
-    # Equal paths are peers: a directory covers its own row, wherever that stands.
+    # Equal keys are peers: an interval covers its own row, wherever that stands.
     so_far = F.max("reach").over(Window.partitionBy("part").orderBy("key"))
-    covered = ranged.withColumn("so_far", so_far).join(parts, "part").where(F.greatest("so_far", "earlier") > F.col("key"))
-    return covered.select(*[F.col(n).alias(c) for c, n in name.items()])
+    furthest = F.greatest("so_far", "earlier")
+    covered = ranged.withColumn("so_far", so_far).join(parts, "part").withColumn("covered", F.coalesce(furthest > F.col("key"), F.lit(False)))
+    return covered.drop("part", "so_far", "earlier")
 
 
 def within_ttl(df: DataFrame, column: str, now: datetime, days: int = 7) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shelfmark.functions import text, urls, values
-from shelfmark.operators import counts, ingest, load_order, manifests, records, retention, selection
+from shelfmark.operators import counts, ingest, load_order, manifests, pattern_tables, records, retention, selection
 from shelfmark.plans import restore, seeding
 from shelfmark.session import fresh_dir
 from shelfmark.sources import arrays, listings, prepared, snapshots
@@ -157,6 +157,66 @@ def path_exclude(spark, sf_dir):
     return pages.where(selection.outside_paths(F.col("path"), ["/fr", "/e"]))
 
 
+_PATTERNS = """
+    SELECT CASE l_linenumber % 4 WHEN 0 THEN concat('*/', l_orderkey, '[?#]*') WHEN 1 THEN concat('http*.example.???/*/', l_orderkey)
+                WHEN 2 THEN concat('*[!a-d]/', l_orderkey, '.html') ELSE concat('https://*/f?/', l_orderkey, '/') END AS pattern FROM lineitem
+    UNION SELECT concat('*blog*', o_orderkey, '*top') FROM orders
+    UNION SELECT concat('*.com/e?/', event_id, '*x') FROM events
+    UNION SELECT url FROM pages WHERE page_id % 50 = 0
+"""
+
+
+def _patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A pattern per order line, order and event, and some whole names."""
+    key = F.col("l_orderkey")
+    of_line = (
+        F.when(F.col("l_linenumber") % 4 == 0, F.concat(F.lit("*/"), key, F.lit("[?#]*")))
+        .when(F.col("l_linenumber") % 4 == 1, F.concat(F.lit("http*.example.???/*/"), key))
+        .when(F.col("l_linenumber") % 4 == 2, F.concat(F.lit("*[!a-d]/"), key, F.lit(".html")))
+        .otherwise(F.concat(F.lit("https://*/f?/"), key, F.lit("/")))
+    )
+    return (
+        table(spark, sf_dir, "lineitem").select(of_line.alias("pattern"))
+        .unionByName(table(spark, sf_dir, "orders").select(F.concat(F.lit("*blog*"), "o_orderkey", F.lit("*top")).alias("pattern")))
+        .unionByName(table(spark, sf_dir, "events").select(F.concat(F.lit("*.com/e?/"), "event_id", F.lit("*x")).alias("pattern")))
+        .unionByName(table(spark, sf_dir, "pages").where("page_id % 50 = 0").select(F.col("url").alias("pattern")))
+    )
+
+
+@registered(f"SELECT page_id, url FROM pages p WHERE EXISTS (SELECT 1 FROM ({_PATTERNS}) q WHERE p.url GLOB q.pattern OR p.url = q.pattern)")
+def name_select_table(spark, sf_dir):
+    """Pages whose URL matches one of a large table of patterns."""
+    return pattern_tables.included_by(table(spark, sf_dir, "pages").select("page_id", "url"), "url", _patterns(spark, sf_dir))
+
+
+@registered(f"""
+    WITH q AS MATERIALIZED (SELECT DISTINCT pattern FROM ({_PATTERNS}) WHERE pattern NOT LIKE '%html')
+    SELECT page_id, url FROM pages p WHERE NOT EXISTS (SELECT 1 FROM q WHERE p.url GLOB q.pattern OR p.url = q.pattern)
+""")
+def name_exclude_table(spark, sf_dir):
+    """Pages whose URL matches none of them, those of HTML pages left out."""
+    patterns = _patterns(spark, sf_dir).where(~F.col("pattern").like("%html"))
+    return pattern_tables.not_excluded_by(table(spark, sf_dir, "pages").select("page_id", "url"), "url", patterns)
+
+
+@registered("""
+    WITH p AS (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+         f AS (SELECT concat('/', c_mktsegment) AS folder FROM customer UNION SELECT concat('/en/', event_id, '/') FROM events
+               UNION SELECT concat('/de/', o_orderkey) FROM orders WHERE o_orderkey % 3 = 0)
+    SELECT page_id, path FROM p
+    WHERE NOT EXISTS (SELECT 1 FROM f WHERE p.path = rtrim(folder, '/') OR starts_with(p.path, concat(rtrim(folder, '/'), '/')))
+""")
+def path_exclude_table(spark, sf_dir):
+    """Pages outside a large table of folders."""
+    pages = table(spark, sf_dir, "pages").select("page_id", urls.url_path(F.col("url")).alias("path"))
+    folders = (
+        table(spark, sf_dir, "customer").select(F.concat(F.lit("/"), "c_mktsegment").alias("folder"))
+        .unionByName(table(spark, sf_dir, "events").select(F.concat(F.lit("/en/"), "event_id", F.lit("/")).alias("folder")))
+        .unionByName(table(spark, sf_dir, "orders").where("o_orderkey % 3 = 0").select(F.concat(F.lit("/de/"), "o_orderkey").alias("folder")))
+    )
+    return pattern_tables.outside_folders(pages, "path", folders)
+
+
 # == record files ==================================================================
 
 @registered("""
