@@ -11,12 +11,15 @@ import hashlib
 import re
 from collections.abc import Iterator
 from fnmatch import fnmatchcase
+from functools import reduce
 
 import pandas as pd
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shelfmark.session import fresh_dir
+
 # Kinds that have a subfolder of their own.
 KINDS = ("vector", "raster", "time")
 
@@ -86,41 +89,57 @@ def file_digests(spark: SparkSession, root: str, pattern: str | None = None) ->
 
 WALKED = "path string, mtime timestamp, size bigint"
 CHUNK = 1 << 20
+#: Entries that a task lists before it hands back the folders it has not opened.
+WALK_BUDGET = 20_000
 
 
-def walk_files(spark: SparkSession, root: str, pattern: str | None = None) -> DataFrame:
+def walk_files(spark: SparkSession, root: str, pattern: str | None = None, budget: int = WALK_BUDGET) -> DataFrame:
     """All files below ``root`` with their paths below it: empty and hidden ones too.
 
-    The driver lists one level; each folder in it is walked by a task, one folder at a time.
-    ``root`` must be of a store that Arrow opens (a plain path, s3, gs, hdfs); ``pattern`` is
-    a shell-style pattern for the last part of the path.
+    The folders known so far are dealt out to tasks. A task opens folder after folder, those it
+    finds included, until it has seen ``budget`` entries, and hands the folders it has not
+    opened back to be dealt out again; each such round is written. So a small tree takes one
+    round, a deep or a lopsided one is spread anew in each, and the driver lists nothing.
+
+    ``root`` must be of a store that Arrow opens (a plain path, s3, gs, hdfs); one folder is
+    listed by one task. ``pattern`` is a shell-style pattern for the last part of the path.
     """
     store, base = fs.FileSystem.from_uri(root.rstrip("/"))
-    level = store.get_file_info(fs.FileSelector(base))
-    units = [(info.path, info.type == fs.FileType.Directory) for info in level]
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen = 0
         for batch in batches:
-            for path, folder in zip(batch["path"], batch["folder"]):
-                folders = [path] if folder else []
-                if not folder:
-                    yield listed([store.get_file_info(path)])
-                while folders:
-                    infos = store.get_file_info(fs.FileSelector(folders.pop()))
-                    folders += [i.path for i in infos if i.type == fs.FileType.Directory]
-                    yield listed([i for i in infos if i.type == fs.FileType.File])
+            folders = batch["path"].tolist()
+            while folders and seen < budget:
+                infos = store.get_file_info(fs.FileSelector(folders.pop()))
+                seen += 1 + len(infos)
+                folders += [i.path for i in infos if i.type == fs.FileType.Directory]
+                files = [i for i in infos if i.type == fs.FileType.File and (pattern is None or fnmatchcase(i.base_name, pattern))]
+                for first in range(0, len(files), WALK_BUDGET):  # a crowded folder goes out in pieces
+                    yield listed(files[first : first + WALK_BUDGET])
+            unopened = pd.DataFrame({"path": folders, "size": 0, "folder": True})
+            yield unopened.assign(mtime=pd.to_datetime([None] * len(folders), utc=True)).astype(kinds)[list(kinds)]
+
+    kinds = {"path": object, "mtime": "datetime64[ns, UTC]", "size": "int64", "folder": bool}
 
     def listed(infos: list[fs.FileInfo]) -> pd.DataFrame:
-        kept = [i for i in infos if pattern is None or fnmatchcase(i.base_name, pattern)]
         return pd.DataFrame(
             {
-                "path": [i.path[len(base) + 1 :] for i in kept],
-                "mtime": pd.to_datetime([i.mtime for i in kept], utc=True),
-                "size": [i.size for i in kept],
+                "path": [i.path[len(base) + 1 :] for i in infos],
+                "mtime": pd.to_datetime([i.mtime for i in infos], utc=True),
+                "size": [i.size for i in infos],
+                "folder": False,
             }
-        ).astype({"path": object, "size": "int64"})
-
-    return spark.createDataFrame(units, "path string, folder boolean").repartition("path").mapInPandas(walk, WALKED)
+        ).astype(kinds)
+
+    folders = spark.createDataFrame([(base,)], "path string")
+    rounds: list[DataFrame] = []
+    while not rounds or not folders.isEmpty():
+        target = fresh_dir(spark, "walk")
+        folders.repartition("path").mapInPandas(walk, f"{WALKED}, folder boolean").write.parquet(target)
+        rounds.append(spark.read.schema(f"{WALKED}, folder boolean").parquet(target))
+        folders = rounds[-1].where("folder").select("path")
+    return reduce(DataFrame.unionByName, rounds).where("NOT folder").drop("folder")
 
 
 def streamed_digests(spark: SparkSession, root: str, pattern: str | None = None) -> DataFrame:

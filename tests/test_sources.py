@@ -300,3 +300,26 @@ def test_every_file_is_walked_and_hashed(spark, tmp_path):
     (tmp_path / "_b.bin").write_bytes(b"x")
     verdict = manifests.gate(manifests.verify_manifest(digests, manifests.parse_manifest_lines(text))).first()
     assert (verdict.mismatch, verdict.missing, verdict.passed) == (1, 0, False)
+
+
+@pytest.mark.parametrize("budget", [1, 40, 20_000])
+def test_walk_of_deep_and_crowded_folders(spark, tmp_path, budget):
+    """A chain of folders, a crowded one, hidden and empty files, an empty folder; any budget sees all."""
+    wanted = set()
+    depth = 12 if budget == 1 else 60
+    for name in ["/".join(["d"] * n) + "/f" for n in range(1, depth)] + [f"crowd/{k:04}" for k in range(400)] + [f"crowd/s{k}/.h" for k in range(9)]:
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("" if name.endswith("7") else "x")
+        wanted.add(name)
+    (tmp_path / "nothing").mkdir()
+    (tmp_path / "_top").write_text("")
+    wanted.add("_top")
+    rows = listings.walk_files(spark, str(tmp_path), budget=budget).collect()
+    assert len(rows) == len(wanted) and {r.path for r in rows} == wanted
+    assert all(r.size == (not r.path.endswith("7") and r.path != "_top") and r.mtime is not None for r in rows)
+    hidden = listings.walk_files(spark, str(tmp_path), ".h", budget).collect()
+    assert {r.path for r in hidden} == {n for n in wanted if n.endswith(".h")}
+
+
+def test_walk_of_an_empty_folder(spark, tmp_path):
+    assert listings.walk_files(spark, str(tmp_path)).count() == 0
