@@ -28,6 +28,14 @@ def _element_pattern(tag: str) -> str:
     return rf"(?s)\A(.*?{re.escape(tag)}>)[^<]+"
 
 
+def spare_name(df: DataFrame, wanted: str) -> str:
+    """A column name that the table does not have yet, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while wanted.lower() in taken:
+        wanted += "_"
+    return wanted
+
+
 def rewrite_elements(df: DataFrame, column: str, values: Mapping[str, str]) -> DataFrame:
     """Put new text after the first ``tag>`` of each tag, in the given order.
 
@@ -35,7 +43,7 @@ def rewrite_elements(df: DataFrame, column: str, values: Mapping[str, str]) -> D
     whole content. A missing tag turns the draft null, and null stays null.
     Each step is a projection of its own so that no draft is computed twice.
     """
-    draft = "__draft"
+    draft = spare_name(df, "draft")
     out = df.withColumn(draft, F.col(column))
     for tag, text in values.items():
         pattern = _element_pattern(tag)
@@ -48,10 +56,10 @@ def rewrite_documents(
     df: DataFrame, column: str, document: Column, values: Mapping[str, Mapping[str, str]]
 ) -> DataFrame:
     """The same with tags and texts of their own for each document; other rows stay."""
-    own = "__own"
+    own = spare_name(df, "own")
     out = df.withColumn(own, document)
     for name, texts in values.items():
-        kept = "__kept"
+        kept = spare_name(out, "kept")
         out = rewrite_elements(out.withColumn(kept, F.col(column)), column, texts)
         chosen = F.when(F.col(own) == name, F.col(column)).otherwise(F.col(kept))
         out = out.withColumn(column, chosen).drop(kept)

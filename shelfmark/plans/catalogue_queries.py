@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.functions import text, urls, values
 from shelfmark.operators import counts, ingest, load_order, manifests, pattern_tables, records, retention, selection
-from shelfmark.plans import restore, seeding
+from shelfmark.plans import merged_store, restore, seeding
 from shelfmark.session import fresh_dir
 from shelfmark.sources import arrays, listings, prepared, snapshots
 from shelfmark.sources import records as record_files
@@ -320,6 +320,28 @@ def fixture_upsert(spark, sf_dir):
     return records.load_by_key([first, later], ["model", "pk"], ["o_orderdate", "o_orderkey"])
 
 
+@registered(SQL["fixture_upsert"])
+def fixture_upsert_stored(spark, sf_dir):
+    """The same into a stored table of customers, of which only files with a reloaded customer are rewritten."""
+    model = F.lit("crm.customer").alias("model")
+    first = table(spark, sf_dir, "customer").select(
+        model, F.col("c_custkey").alias("pk"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("status"), F.col("c_acctbal").alias("amount")
+    )
+    later = table(spark, sf_dir, "orders").select(
+        model,
+        F.col("o_custkey").alias("pk"),
+        F.concat(F.lit("order "), F.col("o_orderkey")).alias("name"),
+        F.col("o_orderpriority").alias("status"),
+        F.col("o_totalprice").alias("amount"),
+        "o_orderdate",
+        "o_orderkey",
+    )
+    store = fresh_dir(spark, "store")
+    merged_store.create_store(first, store, "pk")
+    merged_store.merge_into_store(spark, store, [later], ["o_orderdate", "o_orderkey"])
+    return merged_store.read_store(spark, store)
+
+
 @registered("""
     WITH later AS (
         SELECT CASE WHEN o_orderkey % 5 > 0 THEN o_custkey END AS pk, concat('order ', o_orderkey) AS name,

@@ -119,3 +119,9 @@ def test_element_rules_of_their_own_for_each_document(spark):
     assert [(r.name, r.html) for r in out.collect()] == [
         ("a", "<t>x</t><u>2</u>"), ("b", "<t>y</t><u>z</u>"), ("c", "<t>1</t>"), (None, "<t>1</t>"), ("a", None), ("b", "<t>1</t>"),
     ]
+
+
+def test_columns_named_like_work_columns_stay(spark):
+    df = spark.createDataFrame([("<a>x</a>", "d", "o", "k")], "v string, draft string, Own string, kept string")
+    out = text.rewrite_documents(df, "v", F.lit("n"), {"n": {"a": "y"}, "m": {"a": "z"}})
+    assert out.columns == df.columns and tuple(out.first()) == ("<a>y</a>", "d", "o", "k")
