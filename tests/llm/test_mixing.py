@@ -103,7 +103,7 @@ def test_more_sources_than_a_node_holds(spark):
 
 
 def test_streams_follow_contents_alone(spark):
-    rows = made_up(700, ["a", "b", None], seed=4)
+    rows = made_up(250, ["a", "b", None], seed=4)
     one, _ = mixed(spark, rows, block_words=16, shard_blocks=16, buckets=40)
     other = mixing.Mix(table(spark, rows[::-1]).repartition(13), "doc_id", block_words=16, shard_blocks=16, buckets=40)
     for name in ("taken", "pieces"):
