@@ -2,19 +2,23 @@
 
 High-recall generators propose overlapping spans: the four fixed formats, and looser ones
 (runs of digits in groups, dotted numbers, anything around an @). Boosted trees score the
-looser candidates by their form. They are fitted on two bounded sets. One are candidates of a
-sample of the texts, labelled by evidence that does not ask whether a fixed format overlaps and
+looser candidates by their form. They are fitted on two sets. One are the candidates of all
+texts, labelled by evidence that does not ask whether a fixed format overlaps and
 that the trees do not see: words before the candidate, a plus sign before it, checksums and
 rules of validity. Candidates without evidence are not in it. The other are made-up examples:
 number formats that are and that are not personal data, the same for every table, so that a
 table with few candidates, or with one kind only, still says where to draw the line. A
-threshold for each generator is calibrated on a held-out half; both labels count the same there
-and in the fit, however many rows the table gives to one of them. Selected spans that overlap no fixed format and have
+threshold for each generator is calibrated on the candidates of one half of all hashes, which
+the fit on the other half has not seen; both labels count the same there and in the fit,
+however many rows the table gives to one of them. Selected spans that overlap no fixed format and have
 no evidence against them are added. Everything is DataFrame and SQL functions; scores are CASE
 expressions made from the trees, so a row is scored where it is read, without a shuffle.
 
-Rows: a null text is empty and has no spans. Repeated rows are scanned each on their own, ties
-in the sample are broken by the candidate itself, other columns pass through whatever their
+Trees split features at fixed cuts, so candidates that no cut tells apart are one row with a
+count: the fit reads as many rows as there are forms, and no sample has to choose the splits.
+
+Rows: a null text is empty and has no spans. Repeated rows are scanned each on their own and
+count once in the fit, as do equal candidates after equal text; other columns pass through whatever their
 names (the result is one struct column), an empty table gives an empty one and the trees of the
 made-up examples.
 """
@@ -32,11 +36,12 @@ from pyspark.sql import functions as F
 
 from shelfmark.llm.common import Numbered, stored
 
-#: Bounds of the sample that the trees are fitted on, the half held out included: distinct texts
-#: that are searched for candidates, and candidates. Made-up examples of each form come on top.
-SAMPLE_TEXTS = 20_000
-SAMPLE = 8_000
+#: All candidates of a table together weigh as much as so many, or as many as there are, the half
+#: held out included. So made-up examples, of each form so many, keep their say in any table.
+OWN_WEIGHT = 8_000
 EXAMPLES = 24
+#: Distinct texts that are searched where the caller of ``fitted`` asks for a sample.
+SAMPLE_TEXTS = 20_000
 #: Least share of right selections among the held-out candidates at or above a threshold, were
 #: there as many of both labels, and the candidates of each label that smoothing adds.
 PRECISION = 0.98
@@ -113,6 +118,22 @@ SAYS = {
     "other": r"(?i)version|section|\bpage|\bpart\b|\bnumber|\bno\b|licen[sc]e|chapter|\bid\b|\bisbn|\border\b",
 }
 FEATURES = (*FORM, *CONTEXT, *(f"is_{kind}" for kind in LOOSE))
+#: Where trees may split a feature: up to a cut or above it. Others are 0 or 1.
+CUTS: dict[str, tuple[int, ...]] = {
+    "length": (*range(3, 21), 22, 24, 28, 32, 48, 64),
+    "digits": (*range(17), 18, 19, 24),
+    "groups": tuple(range(1, 13)),
+    "dots": tuple(range(7)),
+    "dashes": tuple(range(6)),
+    "brackets": (0, 1, 2),
+    "letters": (*range(9), 10, 12, 16, 24),
+    "high": (0, 1, 2, 9, 12, 19, 24, 31, 49, 99, 127, 199, 255, 299, 399, 499, 599, 699, 799, 899, 977, 979, 999,
+             1799, 1899, 1949, 1999, 2029, 2099, 2999, 4999),
+    "spaces": tuple(range(8)),
+    "first": tuple(range(9)),
+    "last": tuple(range(9)),
+}
+STEPS = [(name, cut) for name in FEATURES for cut in CUTS.get(name, (0,))]
 
 
 def _luhn(found: Column) -> Column:
@@ -289,9 +310,9 @@ def _before(span: Column, text: Column) -> Column:
     return F.substring(text, first + 1, span["start"].cast("int") - first)
 
 
-def _evidence(span: Column, text: Column) -> Column:
+def _evidence(span: Column | dict[str, Column], before: Column) -> Column:
     """1 or 0 where something besides its form says that a candidate is or is no personal data, else null."""
-    found, before = span["found"], _before(span, text)
+    found = span["found"]
     says = {name: before.rlike(pattern) for name, pattern in SAYS.items()}
     digits = _digits(found)
     number, dotted = span["kind"] == "number", span["kind"] == "dotted"
@@ -311,23 +332,24 @@ def _evidence(span: Column, text: Column) -> Column:
     )
 
 
-def _features(span: Column, text: Column) -> dict[str, Column]:
+def _features(span: Column | dict[str, Column], before: Column) -> dict[str, Column]:
     """Numbers that describe a candidate by its form and by what stands before it."""
-    before = F.regexp_replace(_before(span, text), r"\+$", "")
+    before = F.regexp_replace(before, r"\+$", "")
     made = {name: f(span["found"], before) for name, f in (FORM | CONTEXT).items()}
     made |= {f"is_{kind}": span["kind"] == kind for kind in LOOSE}
     return {name: made[name].cast("double") for name in FEATURES}
 
 
-def _tree(lines: list[str], value: Callable[[int], Column]) -> Column:
+def _tree(lines: list[str], value: Callable[[str], Column]) -> Column:
     """A CASE expression from the printed form of one tree; takes its lines off the list."""
     line = lines.pop(0).strip()
     if line.startswith("Predict:"):
         return F.lit(float(line.removeprefix("Predict:")))
-    feature, bound = re.fullmatch(r"If \(feature (\d+) <= (\S+)\)", line).groups()
-    below = _tree(lines, value)
+    step, above = map(int, re.fullmatch(r"If \(feature (\d+) in \{([01])\.0\}\)", line).groups())
+    name, cut = STEPS[step]
+    first = _tree(lines, value)
     lines.pop(0)  # Else
-    return F.when(value(int(feature)) <= float(bound), below).otherwise(_tree(lines, value))
+    return F.when(value(name) > cut if above else value(name) <= cut, first).otherwise(_tree(lines, value))
 
 
 class Selector:
@@ -341,36 +363,48 @@ class Selector:
 
     def score(self, features: Callable[[str], Column]) -> Column:
         """Sum of the trees for a candidate, given its features by name."""
-        value = lambda i: features(FEATURES[i])
         return reduce(
             lambda total, tree: total + tree,
-            [F.lit(w) * _tree(list(lines), value) for w, lines in zip(self.weights, self.trees)],
+            [F.lit(w) * _tree(list(lines), features) for w, lines in zip(self.weights, self.trees)],
             F.lit(0.0),
         )
 
-    def selects(self, span: Column, text: Column) -> Column:
+    def selects(self, span: Column, before: Column) -> Column:
         """Whether a candidate is personal data."""
         if not self.thresholds:
             return F.lit(False)
         bounds = F.coalesce(*[F.when(span["kind"] == k, F.lit(t)) for k, t in self.thresholds.items()])
-        made = F.array(F.struct(*[v.alias(k) for k, v in _features(span, text).items()]))
+        made = F.array(F.struct(*[v.alias(k) for k, v in _features(span, before).items()]))
         return F.get(F.transform(made, lambda f: self.score(lambda name: f[name]) >= bounds), F.lit(0)).eqNullSafe(True)
 
 
-def _labelled(texts: DataFrame, label: Callable[[Column, Column], Column]) -> DataFrame:
-    """h, label, kind and features of the labelled loose candidates of ``text``."""
+def _labelled(texts: DataFrame, label: Callable[[dict[str, Column], Column], Column]) -> DataFrame:
+    """h, label, kind, found and what stands before it, of the labelled loose candidates of ``text``."""
     whole = F.col("text")
-    spans = texts.withColumn("found", candidates(whole)).where(F.size("found.loose") > 0)
-    rows = F.transform(
-        "found.loose",
-        lambda s: F.struct(
-            F.xxhash64(s["found"], _before(s, whole)).alias("h"),
-            label(s, whole).alias("label"),
-            s["kind"].alias("kind"),
-            *[v.alias(k) for k, v in _features(s, whole).items()],
-        ),
-    )
-    return spans.select(F.inline(rows)).where("label is not null")
+    spans = texts.where(whole.rlike("[0-9@]")).withColumn("spans", candidates(whole)["loose"]).where(F.size("spans") > 0)
+    rows = F.transform("spans", lambda s: F.struct(s["kind"].alias("kind"), s["found"].alias("found"), _before(s, whole).alias("before")))
+    each = spans.select(*[c for c in texts.columns if c != "text"], F.inline(rows))
+    says = label({name: F.col(name) for name in ("kind", "found")}, F.col("before")).alias("label")
+    return each.select(F.xxhash64("found", "before").alias("h"), says, "kind", "found", "before").where("label is not null")
+
+
+def _forms(rows: DataFrame) -> DataFrame:
+    """part (whether held out), made, label, kind, features and n: how many candidates no cut tells apart.
+
+    A feature is raised to the next cut, or to infinity above the last one.
+    """
+
+    def raised(name: str) -> Column:
+        cuts = CUTS.get(name, (0,))
+        to_cut = reduce(lambda case, cut: case.when(F.col(name) <= cut, float(cut)), cuts[1:], F.when(F.col(name) <= cuts[0], float(cuts[0])))
+        return to_cut.otherwise(float("inf")).alias(name)
+
+    span = {name: F.col(name) for name in ("kind", "found")}
+    part = (F.pmod(F.shiftright("h", 7), F.lit(2)) == 0).alias("part")
+    described = rows.select(part, "made", "label", "kind", *[v.alias(k) for k, v in _features(span, F.col("before")).items()])
+    keys = ("part", "made", "label", "kind")
+    formed = described.select(*keys, *map(raised, FEATURES)).groupBy(*keys, *FEATURES).agg(F.count("*").alias("n"))
+    return formed.sortWithinPartitions(*keys, *FEATURES)
 
 
 def examples(spark: SparkSession) -> DataFrame:
@@ -387,54 +421,70 @@ def examples(spark: SparkSession) -> DataFrame:
 
 
 def _sample_texts(documents: DataFrame, text: str) -> DataFrame:
-    """At most ``SAMPLE_TEXTS`` distinct texts that can hold a candidate, first by their hash."""
+    """At most ``SAMPLE_TEXTS`` distinct texts that can hold a candidate, first by their hash; no query takes a sample."""
     whole = F.col(f"`{text}`")
     able = documents.select(whole.alias("text"), F.xxhash64(whole).alias("h")).where(whole.rlike("[0-9@]"))
     last = able.select("h").distinct().orderBy("h").limit(SAMPLE_TEXTS).agg(F.max("h")).first()[0]
     return able.where(F.lit(False) if last is None else F.col("h") <= last).groupBy("h").agg(F.min("text").alias("text"))
 
 
-def fitted(documents: DataFrame, text: str = "text", sample: int = SAMPLE) -> Selector:
-    """Trees and thresholds fitted on the made-up examples and a bounded sample of the documents.
+def fitted(documents: DataFrame, text: str = "text", sample: int | None = None) -> Selector:
+    """Trees and thresholds fitted on the made-up examples and on all candidates of all documents.
 
-    The sample are the candidates that come first by a hash of themselves and their context, in
-    the distinct texts that come first by their hash.
+    With ``sample``, only on so many candidates, first by a hash of themselves and their context,
+    in the distinct texts that come first by their hash.
     """
-    own = _labelled(_sample_texts(documents, text), _evidence).distinct().orderBy("h", "label", "kind").limit(sample)
-    made = _labelled(examples(documents.sparkSession), lambda span, _: F.col("label"))
-    rows = stored(own.unionByName(made), "pii-sample")
-    part = F.pmod(F.shiftright("h", 7), F.lit(2)) == 0
-    vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(rows.where(part))
-    sizes = {(r.kind, r.label): r["count"] for r in vectors.groupBy("kind", "label").count().collect()}
-    same = [F.when((F.col("kind") == kind) & (F.col("label") == label), F.lit(1000.0 / n)) for (kind, label), n in sizes.items()]
+    texts = documents.select(F.col(f"`{text}`").alias("text")) if sample is None else _sample_texts(documents, text).select("text")
+    own = _labelled(texts, _evidence).distinct()
+    if sample is not None:
+        own = own.orderBy("h", "label", "kind").limit(sample)
+    made = _labelled(examples(documents.sparkSession), lambda span, before: F.col("label"))
+    forms = stored(_forms(own.withColumn("made", F.lit(False)).unionByName(made.withColumn("made", F.lit(True)))), "pii-forms")
+    sizes = forms.groupBy("part", "made", "kind", "label").agg(F.sum("n").alias("n")).collect()
+    share = min(1.0, OWN_WEIGHT / max(1, sum(r.n for r in sizes if not r.made)))
+    weighed = F.col("n") * F.when(F.col("made"), 1.0).otherwise(share)
+    totals: dict[tuple[str, float], float] = {}
+    for r in sizes:
+        if r.part:
+            totals[r.kind, r.label] = totals.get((r.kind, r.label), 0.0) + r.n * (1.0 if r.made else share)
+    same = [F.when((F.col("kind") == kind) & (F.col("label") == label), F.lit(1000.0 / n)) for (kind, label), n in totals.items()]
+    # As features of two values the steps are split without a sample that looks for bounds.
+    steps = [
+        (F.col(name) > cut).cast("double").alias(f"{name}_{cut}", metadata={"ml_attr": {"type": "binary"}}) for name, cut in STEPS
+    ]
+    rows = forms.where("part").select("label", (weighed * F.coalesce(*same)).alias("weight"), *steps)
+    vectors = VectorAssembler(inputCols=[f"{name}_{cut}" for name, cut in STEPS], outputCol="features").transform(rows)
     booster = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=7, maxBins=32, weightCol="weight")
-    model = booster.fit(vectors.withColumn("weight", F.coalesce(*same)))
+    model = booster.fit(vectors.select("label", "weight", "features"))
     selector = Selector(model.toDebugString, list(model.treeWeights))
-    selector.thresholds = _thresholds(rows.where(~part), selector)
+    selector.thresholds = _thresholds(forms.where("not part"), selector, share)
     return selector
 
 
-def _thresholds(held_out: DataFrame, selector: Selector) -> dict[str, float]:
-    """The lowest score of each generator from which on the selections are precise enough."""
+def _thresholds(held_out: DataFrame, selector: Selector, share: float) -> dict[str, float]:
+    """The lowest score of each generator from which on the selections are precise enough.
+
+    ``share`` is the weight of a candidate that is not made up.
+    """
     score = F.round(selector.score(F.col), 3)
+    total = lambda made, label: F.sum(F.when((F.col("made") == made) & (F.col("label") == label), F.col("n")).otherwise(0))
     bins = (
         held_out.groupBy("kind", score.alias("score"))
-        .agg(F.sum("label").alias("right"), F.count("*").alias("n"))
+        .agg(*[total(made, label).alias(f"{name}_{of}") for made, of in ((True, "made"), (False, "own")) for label, name in ((1, "right"), (0, "wrong"))])
         .orderBy("kind", F.desc("score"))
         .collect()
     )
     found: dict[str, float] = {}
     for kind in LOOSE:
-        own = [b for b in bins if b.kind == kind]
-        all_right = sum(b.right for b in own)
-        all_wrong = sum(b.n for b in own) - all_right
+        own = [(b.score, b.right_made + share * b.right_own, b.wrong_made + share * b.wrong_own) for b in bins if b.kind == kind]
+        all_right, all_wrong = sum(b[1] for b in own), sum(b[2] for b in own)
         right = wrong = 0.0
-        for row in own:
-            right, wrong = right + row.right, wrong + row.n - row.right
+        for bound, more_right, more_wrong in own:
+            right, wrong = right + more_right, wrong + more_wrong
             hits = (right + SMOOTHING) / (all_right + 2 * SMOOTHING)
             misses = (wrong + SMOOTHING) / (all_wrong + 2 * SMOOTHING)
-            if row.score > 0 and hits / (hits + misses) >= PRECISION:
-                found[kind] = row.score
+            if bound > 0 and hits / (hits + misses) >= PRECISION:
+                found[kind] = bound
     return found
 
 
@@ -448,7 +498,8 @@ def spans_of(text: Column, selector: Selector) -> Column:
         if not loose:
             return F.struct(base.alias("base"), base.alias("spans"))
         picked = F.filter(
-            found["loose"], lambda s: ~s["hit"] & ~_evidence(s, whole).eqNullSafe(F.lit(0.0)) & selector.selects(s, whole)
+            found["loose"],
+            lambda s: ~s["hit"] & ~_evidence(s, _before(s, whole)).eqNullSafe(F.lit(0.0)) & selector.selects(s, _before(s, whole)),
         )
         added = F.transform(picked, lambda s: s.dropFields("hit"))
         return F.struct(base.alias("base"), F.array_sort(F.concat(base, added)).alias("spans"))

@@ -160,6 +160,40 @@ def test_sample_is_bounded_and_ignores_copies(spark, monkeypatch):
     assert pii._sample_texts(small.documents(spark, texts), "text").count() == 50
 
 
+def test_every_candidate_counts_once(spark, monkeypatch):
+    """More texts and candidates than any sample took; copies and equal candidates count once."""
+    kept, store = [], pii.stored
+    monkeypatch.setattr(pii, "stored", lambda df, label: kept.append(store(df, label)) or kept[-1])
+    texts = [f"see part {i:08d} there" for i in range(12_000)] + [f"please call 2{i:07d} now" for i in range(13_000)]
+    texts += texts[:3000] + ["see part 00000007 again", "no candidate", "some words without any evidence 12 34 56 78", None]
+    assert len(set(texts)) > pii.SAMPLE_TEXTS
+    pii.fitted(small.documents(spark, texts))
+    sizes = {r.label: r.n for r in kept[0].where("not made").groupBy("label").agg(F.sum("n").alias("n")).collect()}
+    assert sizes == {0.0: 12_000, 1.0: 13_000}
+
+
+LICENCES = [f"licence ({200 + i % 700}) {100 + i % 900}-{i:04d} there" for i in range(2000)]
+
+
+def test_the_whole_table_says_what_is_selected(spark, monkeypatch):
+    """A form that is a phone number in the made-up examples, and none in this table."""
+    probe = small.documents(spark, ["so dial (278) 555-6437 now"])
+    found = lambda selector: [s.found for s in pii.with_spans(probe, selector, "found").select("found.spans").first()[0]]
+    assert found(pii.fitted(small.empty(spark))) == ["(278) 555-6437"]
+    monkeypatch.setattr(pii, "SAMPLE_TEXTS", 1)
+    assert found(pii.fitted(small.documents(spark, LICENCES))) == []
+
+
+@pytest.mark.parametrize("name, cut", [("digits", 9), ("high", 199), ("length", 32)])
+def test_raised_features_lose_no_split(spark, name, cut):
+    """A tree sees the same in a feature and in the cut it was raised to."""
+    texts = [f"call {'12 ' * i}3456{i}" for i in range(2, 25)] + [f"call ({h}) 555-0100" for h in (0, 1, 199, 200, 9999)]
+    spans = pii._labelled(small.documents(spark, texts), lambda span, before: F.lit(1.0)).withColumn("made", F.lit(True))
+    plain = spans.select(pii._features({n: F.col(n) for n in ("kind", "found")}, F.col("before"))[name].alias(name))
+    above = lambda rows, n: rows.where(F.col(name) > cut).agg(n).first()[0]
+    assert above(plain, F.count("*")) == above(pii._forms(spans), F.coalesce(F.sum("n"), F.lit(0))) > 0
+
+
 def test_redaction(spark):
     texts = ["mail a@b.cd or +1 (578) 555-6437.", "none", "é🎉 10.0.0.1 x@y.z", None]
     out = pii.redacted_documents(small.documents(spark, texts), pii.Selector()).collect()
