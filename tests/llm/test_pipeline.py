@@ -77,6 +77,15 @@ def test_redacted(stages):
     assert changed
 
 
+def test_redaction_learns_from_every_document(spark, monkeypatch):
+    """Copies of a form that the made-up examples call a phone number, and this table does not."""
+    monkeypatch.setattr(test_pii.pii, "SAMPLE_TEXTS", 1)
+    probe = "so dial (278) 555-6437 now"
+    few, all_of_them = (small.documents(spark, [probe, *texts]) for texts in ([], test_pii.LICENCES))
+    assert rows(corpus_pipeline.redact(spark, few, SF_DIR))[0].text == "so dial [NUMBER] now"
+    assert rows(corpus_pipeline.redact(spark, all_of_them, SF_DIR))[0].text == probe
+
+
 def test_encoded(stages):
     library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     before, after = rows(stages[4]), rows(stages[5])
