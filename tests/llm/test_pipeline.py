@@ -1,11 +1,14 @@
 """The stages against brute-force versions of them, and on tables without rows."""
 
+import random
+
 import numpy as np
 import public_tokenizers
 import pytest
 import small
 import test_decontamination
 import test_pii
+import test_quality_rules
 import test_simhash
 from tokenizers import Tokenizer
 
@@ -49,6 +52,16 @@ def test_quality(spark, stages):
     assert set(rows(stages[1])) == wanted and wanted
 
 
+def test_quality_learns_from_every_document(spark, monkeypatch):
+    """From documents of many lines too, and from more than a sample would hold."""
+    models, kept = [], quality_rules.kept_documents
+    monkeypatch.setattr(quality_rules, "kept_documents", lambda docs, model: models.append(model) or kept(docs, model))
+    docs, labels = test_quality_rules.labelled(spark, *test_quality_rules.some_texts(30, 300, random.Random(9)))
+    monkeypatch.setattr(corpus_pipeline, "table", lambda spark, sf_dir, name: labels)
+    corpus_pipeline.keep_quality(spark, docs, SF_DIR)
+    assert not test_quality_rules.same(models[0], quality_rules.LineField())
+
+
 def test_near_copies(stages):
     before = sorted(rows(stages[1]).items())
     fps = [test_simhash.plain_fingerprint(r.text) for _, r in before]

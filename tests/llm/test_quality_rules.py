@@ -118,6 +118,75 @@ def test_seeds_stand_between_different_lines():
     assert not any(x.any() for x in found[4:])
 
 
+@pytest.mark.parametrize("lengths", [[4, 1, 6, 3, 6], [1], [1, 1], [700, 2, 300, 1]])
+def test_chances_in_runs_equal_the_plain_way(lengths):
+    rnd = np.random.default_rng(7)
+    scores, steps = [4 * rnd.normal(size=(n, 1)) for n in lengths], rnd.normal(size=(2, 2))
+    chains = rules.Chains(scores)
+    single, pairs = chains.marginals([x[:, 0] for x in chains.rows], steps)
+    starts = np.cumsum(lengths) - lengths
+    first = np.zeros(sum(lengths), bool)
+    first[starts] = True
+    one, two = rules.chances(np.concatenate(scores)[:, 0], first, steps)
+    for at, i in enumerate(chains.order):
+        assert np.allclose([single[t][at] for t in range(lengths[i])], one[starts[i] :][: lengths[i]])
+        assert all(np.allclose(pairs[t][at], two[:, :, starts[i] + t]) for t in range(1, lengths[i]))
+    assert not two[:, :, first].any()
+
+
+def labelled(spark, texts, bad):
+    labels = [(i, 1 - int(b), 0) for i, b in enumerate(bad)]
+    return small.documents(spark, texts), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+
+
+def some_texts(count, lines, rnd):
+    """Texts of about so many lines, one in three of them bad, and which are."""
+    good, odd = ["a plain line that says something.", "and one more, of some words.", "Yes"], ["### 12 $$", "BUY | NOW !", "x | y | z"]
+    bad = [i % 3 == 0 for i in range(count)]
+    return ["\n".join(f"{rnd.choice(odd if b else good)} {rnd.randint(0, 99)}" for _ in range(lines)) for b in bad], bad
+
+
+def same(a, b):
+    return np.allclose(a.weights, b.weights, atol=1e-9) and np.allclose(a.steps, b.steps, atol=1e-9)
+
+
+def test_every_labelled_document_counts(spark):
+    """Leaving out one of 4,100 documents changes the weights, wherever its hash puts it."""
+    documents, labels = labelled(spark, *some_texts(4100, 2, random.Random(8)))
+    model = rules.fitted(documents, labels)
+    last = labels.orderBy(F.xxhash64("doc_id").desc()).first().doc_id
+    assert not same(model, rules.fitted(documents, labels.where(F.col("doc_id") != last)))
+
+
+def test_long_documents_count(spark):
+    model = rules.fitted(*labelled(spark, *some_texts(30, 300, random.Random(9))))
+    assert not same(model, rules.LineField())
+
+
+@pytest.mark.parametrize("least", [5, 1000])
+def test_blocks_against_fits_in_memory(spark, monkeypatch, least):
+    """Weights are the mean over blocks of all texts; a rare label goes into each. Repeated rows count once."""
+    monkeypatch.setattr(rules, "BLOCK_TEXTS", 40)
+    monkeypatch.setattr(rules, "LEAST_TEXTS", least)
+    texts, bad = some_texts(150, 3, random.Random(10))
+    documents, labels = labelled(spark, texts, bad)
+    model = rules.fitted(documents.unionByName(documents.limit(20)), labels)
+    hashes = small.by_id(documents.select("doc_id", F.xxhash64("doc_id", "text").alias("h")))
+    split = [rules._split(t)[1:] for t in texts]
+    seeded = rules.seeds([rules.line_hashes(*s) for s in split])
+    parts = {b: min(4, max(1, bad.count(b) // least)) for b in (False, True)}
+    found = []
+    for block in range(4):
+        # A label with fewer parts than blocks comes round again.
+        own = [i for i in range(150) if block % parts[bad[i]] == hashes[i].h % parts[bad[i]]]
+        own.sort(key=lambda i: hashes[i].h)
+        lines = [rules.line_features(*split[i]).astype("<f4").astype(float) for i in own]
+        found.append((len(own), rules.fit(lines, np.array([int(bad[i]) for i in own]), [seeded[i] for i in own])))
+    mean = lambda of: sum(n * of(m) for n, m in found) / sum(n for n, _ in found)
+    assert same(model, rules.LineField(mean(lambda m: m.weights), mean(lambda m: m.steps)))
+    assert any(x.any() for x in seeded)
+
+
 PLANTS = [
     "Home | About | Contact | Login", "Copyright 2024 Example Ltd. All rights reserved.", "### *** $$$ ### %%% &&&",
     "CLICK HERE!! BUY NOW!! WIN!! FREE!!", "Subscribe to our newsletter", "Terms | Privacy Policy | Cookies",
