@@ -1,18 +1,20 @@
 """Selection by tables of name patterns and of folders, however many.
 
-A list of a few patterns is one expression (``selection``); a table of them is joined. Each
-pattern is filed under one anchor, a run of up to three characters that every match has to
-hold, the start and the end of the name counting as characters. Of its runs it is the one that
-the fewest names hold. Names meet the patterns of the runs they hold by equality, and only what
-meets is tested. Patterns without wildcards are joined as they are, and those of nothing but
-wildcards ask for a length. Names and patterns take part once, however often they occur; a run
+A list of a few patterns is one expression (``selection``); a table of them is joined. The start
+and the end of a name count as characters. The text between two wildcards of a pattern is a run
+that every match holds, or, beyond eight characters, so many of its runs; a run is as long as the
+sizes allow (``SIZES``) and stands for itself by its hash. Names are taken apart into runs of
+all sizes once, for the number of times each occurs. A pattern first asks for one of its runs,
+the longest that is not among the commonest; when no name holds it the pattern matches nothing
+and is gone, after one exchange. What is left is filed under the rarest of all its runs, its
+anchor. Names meet patterns by equality of anchors, and only what meets is tested. Patterns
+without wildcards are runs as any others, and those of nothing but wildcards ask for a length.
+Names take part once, however often they occur, and so do the patterns that are left; an anchor
 that many names hold is left to Spark's skew splitting.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,7 +23,11 @@ from shelfmark.session import fresh_dir
 
 START, END, GAP = "\x02", "\x03", "\x01"
 CLASS = r"\[!?\]?[^\]]*\]"
-ANCHOR = 3
+# Sizes of runs; one of the next smaller size and its neighbours cover a text between two sizes.
+SIZES = (1, 2, 3, 4, 6, 8)
+# The run a pattern first asks for is one of those that begin so many characters apart; it is none
+# of so many of the commonest, which the driver gets, whatever the number of names.
+STEP, COMMONEST = 4, 1024
 
 
 def _stored(df: DataFrame, label: str) -> DataFrame:
@@ -49,56 +55,81 @@ def glob_regex(glob: Column) -> Column:
     return F.concat(F.lit(r"(?s)\A"), F.array_join(F.transform(tokens, piece), ""), F.lit(r"\z"))
 
 
-def _runs(size: int) -> Callable[[Column], Column]:
-    """All runs of so many characters of a text."""
+def _name_runs(name: Column) -> Column:
+    """All runs of a name, by their hashes."""
+    padded = F.concat(F.lit(START), name, F.lit(END))
+
+    def of(size: int) -> Column:
+        places = F.when(F.length(padded) >= size, F.sequence(F.lit(1), F.length(padded) - (size - 1))).otherwise(F.array().cast("array<int>"))
+        return F.transform(places, lambda i: F.xxhash64(F.substring(padded, i, F.lit(size))))
+
+    return F.concat(*[of(size) for size in SIZES])
+
+
+def _pattern_runs(glob: Column, step: int = 1) -> Column:
+    """Runs that every match of a pattern holds, as (size, run): of each text between wildcards those of the greatest size."""
+    gaps = F.replace(F.replace(glob, F.lit("*"), F.lit(GAP)), F.lit("?"), F.lit(GAP))
+    gaps = F.when(glob.contains("["), F.regexp_replace(glob, f"(?s){CLASS}|[*?]", GAP)).otherwise(gaps)
+    pieces = F.filter(F.split(F.concat(F.lit(START), gaps, F.lit(END)), GAP), lambda piece: piece != "")
+
+    def sized(piece: Column) -> Column:
+        size = F.lit(SIZES[0])
+        for least in SIZES[1:]:
+            size = F.when(F.length(piece) >= least, least).otherwise(size)
+        return F.struct(piece.alias("piece"), size.alias("size"))
+
+    def of(sized: Column) -> Column:
+        piece, size = sized["piece"], sized["size"]
+        places = F.sequence(F.lit(1), F.length(piece) - size + 1, F.lit(step))
+        return F.transform(places, lambda i: F.struct(size.alias("size"), F.xxhash64(F.substring(piece, i, size)).alias("run")))
 
-    def of(text: Column) -> Column:
-        places = F.when(F.length(text) >= size, F.sequence(F.lit(1), F.length(text) - (size - 1))).otherwise(F.array().cast("array<int>"))
-        return F.transform(places, lambda i: F.substring(text, i, F.lit(size)))
+    return F.flatten(F.transform(F.transform(pieces, sized), of))
 
-    return of
 
+def _anchored(names: DataFrame, patterns: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The distinct patterns whose runs are all held by names: (pattern, run) with their anchor, and those of nothing but wildcards."""
+    counts = _stored(names.select(F.explode(_name_runs(F.col("name"))).alias("run")).groupBy("run").agg(F.count("*").alias("n")), "name-runs")
+    common = [r.run for r in counts.orderBy(F.desc("n")).limit(COMMONEST).collect()]
+    # Any run would do here; a rare one leaves the fewest patterns.
+    rare = f"r.run NOT IN ({', '.join(f'{run}L' if run > -(2**63) else 'CAST(-9223372036854775808 AS BIGINT)' for run in common)})" if common else "true"
+    asked = patterns.select("pattern", _pattern_runs(F.col("pattern"), STEP).alias("runs"))
+    # Every pattern has runs; without coalesce() Spark would find them once more to test that.
+    asked = asked.select("pattern", F.expr(f"coalesce(array_max(transform(runs, r -> named_struct('rare', {rare}, 'size', r.size, 'run', r.run))).run, 0L)").alias("run"))
+    left = _stored(asked.join(counts.select("run"), "run", "left_semi").select("pattern").distinct(), "patterns")
 
-def _pattern_runs(glob: Column) -> Column:
-    """The longest runs, up to ``ANCHOR`` characters, that every match of a pattern holds."""
-    marked = F.concat(F.lit(START), F.regexp_replace(glob, f"(?s){CLASS}|[*?]", GAP), F.lit(END))
-    pieces = F.split(marked, GAP)
-    by_size = [F.flatten(F.transform(pieces, _runs(size))) for size in range(ANCHOR, 0, -1)]
-    found = by_size[-1]
-    for runs in reversed(by_size[:-1]):
-        found = F.when(F.size(runs) > 0, runs).otherwise(found)
-    return F.array_distinct(found)
+    bare = F.col("pattern").rlike(r"\A[*?]+\z")
+    runs = left.where(~bare).select("pattern", F.explode(F.array_distinct(_pattern_runs(F.col("pattern"))["run"])).alias("run"))
+    rarest = runs.join(counts, "run", "left").groupBy("pattern").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "run")).alias("anchor"))
+    return _stored(rarest.where("anchor.n > 0").select("pattern", F.col("anchor.run").alias("run")), "anchors"), left.where(bare)
+
+
+def _meetings(names: DataFrame, anchors: DataFrame) -> DataFrame:
+    """(id, pattern) of the names that hold a pattern's anchor."""
+    held = names.select("id", F.explode(F.array_distinct(_name_runs(F.col("name")))).alias("run"))
+    return held.join(_stored(anchors.select("run").distinct(), "anchor-runs"), "run", "left_semi").join(anchors, "run").select("id", "pattern")
+
+
+def _named(names: DataFrame) -> DataFrame:
+    """(id, name) of the distinct names, in files enough for all cores: few bytes of names are many runs."""
+    distinct = names.select("name").where("name IS NOT NULL").distinct().repartition(names.sparkSession.sparkContext.defaultParallelism * 2)
+    return _stored(distinct.select(F.monotonically_increasing_id().alias("id"), "name"), "names")
 
 
 def matched_names(names: DataFrame, patterns: DataFrame) -> DataFrame:
     """The distinct ``name`` that equal or glob at least one ``pattern``; nulls match nothing."""
-    names = _stored(names.select("name").where("name IS NOT NULL").distinct(), "names")
-    patterns = _stored(patterns.select("pattern").where("pattern IS NOT NULL").distinct(), "patterns")
-    wild = F.col("pattern").rlike(f"(?s)[*?]|{CLASS}")
-    empty = F.col("pattern").rlike(r"\A[*?]+\z")
-    plain = names.join(patterns.where(~wild), F.col("name") == F.col("pattern"), "left_semi")
+    names = _named(names)
+    anchors, bare = _anchored(names, patterns.select("pattern").where("pattern IS NOT NULL"))
 
     # Nothing but wildcards: a length, or a least length.
-    lengths = patterns.where(empty).select(F.length(F.regexp_replace("pattern", r"\*", "")).alias("length"), F.col("pattern").contains("*").alias("open"))
+    lengths = bare.select(F.length(F.regexp_replace("pattern", r"\*", "")).alias("length"), F.col("pattern").contains("*").alias("open"))
     least = lengths.where("open").agg(F.min("length")).first()[0]
-    by_length = names.join(lengths.where(~F.col("open")).select("length").distinct(), F.length("name") == F.col("length"), "left_semi")
+    by_length = names.join(lengths.where(~F.col("open")).select("length").distinct(), F.length("name") == F.col("length"), "left_semi").select("name")
     if least is not None:
-        by_length = by_length.unionByName(names.where(F.length("name") >= least))
-
-    # The rest by their rarest run; a run that no name holds means no match.
-    runs = patterns.where(wild & ~empty).select("pattern", F.explode(_pattern_runs(F.col("pattern"))).alias("run"))
-    runs = _stored(runs, "pattern-runs")
-    padded = F.concat(F.lit(START), "name", F.lit(END))
-    held = F.array_distinct(F.concat(*[_runs(size)(padded) for size in range(1, ANCHOR + 1)]))
-    held = names.select("name", F.explode(held).alias("run")).join(runs.select("run").distinct(), "run", "left_semi")
-    held = _stored(held, "name-runs")
-    counts = held.groupBy("run").agg(F.count("*").alias("n"))
-    counted = runs.join(counts, "run", "left").groupBy("pattern").agg(
-        F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "run")).alias("anchor")
-    )
-    anchors = counted.where("anchor.n > 0").select("pattern", F.col("anchor.run").alias("run"), glob_regex(F.col("pattern")).alias("regex"))
-    met = held.join(anchors, "run").where(F.expr("name RLIKE regex")).select("name")
-    return plain.unionByName(by_length).unionByName(met).distinct()
+        by_length = by_length.unionByName(names.where(F.length("name") >= least).select("name"))
+
+    tested = _meetings(names, anchors).withColumn("regex", glob_regex(F.col("pattern"))).join(names, "id")
+    met = tested.where(F.expr("name = pattern OR name RLIKE regex")).select("name")
+    return by_length.unionByName(met).distinct()
 
 
 def included_by(df: DataFrame, column: str, patterns: DataFrame) -> DataFrame:

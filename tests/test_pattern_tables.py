@@ -46,6 +46,33 @@ def test_many_patterns_of_one_run_are_joined_by_it(spark):
     assert {r.name for r in found.collect()} == wanted
 
 
+def test_patterns_meet_few_names_where_short_runs_are_shared(spark):
+    """Every three digits occur in names, the numbers of most patterns in none, and one text in all."""
+    names = spark.range(4000).select(F.concat(F.lit("http://a.example.org/"), F.lpad("id", 4, "0")).alias("name"))
+    number = F.when(F.col("id") % 10 == 0, F.col("id") / 10).otherwise(F.col("id") * 1009 + 10_000).cast("bigint")
+    patterns = spark.range(40_000).select(F.concat(F.lit("*.example.???/*"), F.lpad(number, F.greatest(F.lit(4), F.length(number)), "0"), F.lit("*")).alias("pattern"))
+    named = pattern_tables._named(names)
+    anchors, bare = pattern_tables._anchored(named, patterns)
+    met = pattern_tables._meetings(named, anchors)
+    assert met.count() <= 16_000 and bare.isEmpty()
+    assert pattern_tables.matched_names(names, patterns).count() == 4000
+
+
+def test_more_common_runs_than_the_driver_gets(spark, monkeypatch):
+    """Which run a pattern asks for first changes no row."""
+    for common, step in ((0, 4), (1, 1), (10**6, 9)):
+        monkeypatch.setattr(pattern_tables, "COMMONEST", common)
+        monkeypatch.setattr(pattern_tables, "STEP", step)
+        patterns = ["ab*c*", "*longer than eight*", "exactly this one, without wildcards", "*[0-9]", "??", ""]
+        names = ["abxc", "abc", "a longer than eight or nine", "longer than eigh", "exactly this one, without wildcards", "exactly this one", "7", "77", "", "x"]
+        assert kept(spark, names, patterns, pattern_tables.included_by) == [0, 1, 2, 4, 6, 7, 8]
+
+
+def test_a_name_that_equals_a_pattern_with_wildcards(spark):
+    assert kept(spark, ["[x]", "x", "a[bc]d", "y"], ["[x]", "a[bc]d"], pattern_tables.included_by) == [0, 1, 2]
+    assert kept(spark, ["[x]", "x", "a[bc]d", "y"], ["[x]", "a[bc]d"], pattern_tables.not_excluded_by) == [3]
+
+
 @pytest.mark.parametrize("folders", [["/a"], ["/a/", "/b/c", "/a/x", None], ["/"], [], ["a", "/é"]])
 def test_folders_like_the_expression(spark, folders):
     paths = ["/a", "/a/b", "/ab", "/a!", "/b/c", "/b/c/d/e", "/b", "/", "", "a", "a/b", None, "/é/x", "/a", "/b/c.d"]
