@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from shelfmark.operators import load_order
 
 
@@ -91,3 +93,62 @@ def test_a_hot_record_and_a_cycle_at_the_end_of_a_chain(spark):
     found = run(spark, keys, chain + crowd)
     assert {found[f"x{i}"] for i in range(500)} == {(1, 0, "ready")}
     assert [found[f"c{i}"][2] for i in range(40)] == ["cycle"] * 2 + ["held"] * 38
+
+
+def families():
+    """A short tree above records with an optional reference to the end of a chain that begins at them."""
+    references = [(f"m{i}", "root", False) for i in range(3)] + [(f"l{i}", f"m{i % 3}", False) for i in range(9)]
+    for i in range(60):
+        orders = [f"o{i}-{j}" for j in range(i % 6)]
+        references += [(f"k{i}", f"l{i % 9}", False), *((o, f"k{i}", False) for o in orders)]
+        references += [(o, earlier, False) for earlier, o in zip(orders, orders[1:])]
+        references += [(f"k{i}", o, True) for o in orders[-1:]]
+    return sorted({k for k, _, _ in references} | {"root"}), references
+
+
+def test_following_few_records_or_all(spark, monkeypatch):
+    keys, references = families()
+    wanted = plain(keys, references)
+    for few in (1, 20, 10**9):
+        monkeypatch.setattr(load_order, "FEW", few)
+        assert run(spark, keys, references) == wanted, few
+
+
+def test_rounds_write_numbers_and_little_while_few_records_are_found(spark, monkeypatch):
+    written, stored = [], load_order._stored
+
+    def watched(df, label):
+        out = stored(df, label)
+        written.append((label, dict(out.dtypes), out.count()))
+        return out
+
+    monkeypatch.setattr(load_order, "_stored", watched)
+    # A small tree and a large cycle beside it.
+    tree = [(f"a{i}", "root", False) for i in range(2)] + [(f"b{i}", f"a{i % 2}", False) for i in range(8)]
+    cycle = [(f"c{i}", f"c{(i + 1) % 5000}", False) for i in range(5000)]
+    keys = [*{k for k, _, _ in tree + cycle}, "root"]
+    found = run(spark, keys, tree + cycle)
+    assert found["b7"] == (2, 0, "ready") and found["c9"] == (None, 0, "cycle")
+    assert all(types.get("key", "bigint") == "bigint" and types.get("target", "bigint") == "bigint" for label, types, _ in written if label != "keys")
+    # Once for the cycle's records in each direction; before, each round wrote all open references twice.
+    assert sum(rows for label, _, rows in written if label in ("layers", "open-references", "met-references")) < 4 * 5000
+
+
+def test_keys_of_one_hash_are_kept_apart(spark, monkeypatch):
+    keys, references = families()
+    keys, references = keys[:40], [*references, ("k1", "gone", False), ("gone", "k1", False)]
+    used, hashed = [], load_order._hash
+
+    def colliding(key, seed):
+        used.append(seed)
+        return hashed(key, seed) % 7 if seed < 2 else hashed(key, seed)
+
+    monkeypatch.setattr(load_order, "_hash", colliding)
+    assert run(spark, keys, references) == plain(keys, references)
+    assert max(used) == 2
+
+
+def test_steps_on_cycles_stay_numbers(spark):
+    end = F.lit(load_order.ENDLESS)
+    row = spark.range(1).select(load_order._sum(end, end).alias("a"), load_order._sum(F.lit(2), F.lit(3)).alias("b"), load_order._sum(F.lit(None).cast("bigint"), end).alias("c"))
+    assert tuple(row.first()) == (load_order.ENDLESS, 5, None)
